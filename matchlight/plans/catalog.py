@@ -1,0 +1,11 @@
+"""Queries of the core library by name, each with its SQL where SQL can express it."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
