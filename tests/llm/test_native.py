@@ -1,0 +1,264 @@
+"""Host rules, line templates, fair mixing and personal data against brute force."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from matchlight.llm import fair_mix, host_rules, pii_boost, template_tree
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(text):
+    return SPACE.findall(text or "")
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r.asDict(recursive=True) for r in df.collect()}
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(n))
+
+
+def corpus(seed=3):
+    rng = random.Random(seed)
+    shared = [prose(rng, 12) for _ in range(4)]
+    texts = [None, "", "   \n\t", "one\nline\none\n\none", prose(rng, 30) * 3, "\n".join(shared)]
+    for i in range(40):
+        lines = [prose(rng, rng.randint(1, 40)) for _ in range(rng.randint(1, 5))]
+        lines += rng.sample(shared, rng.randint(0, 2))
+        lines.append(f"log entry {i} took {i * 7} ms at node worker today again")
+        if i % 9 == 0:
+            lines.append("a b c d e f g h " * rng.randint(2, 9))
+        if i % 11 == 0:
+            lines.append("### $$$ " * 20)
+        texts.append("\n".join(lines))
+    return texts
+
+
+def table(spark, texts, sources=None):
+    sources = sources or [None if i % 7 == 0 else f"s{i % 3}" for i in range(len(texts))]
+    rows = [(i, t, "en", s, len(t or ""), True, 5, "x") for i, (t, s) in enumerate(zip(texts, sources))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, n_words string").repartition(3)
+
+
+def brute_figures(text):
+    ws, text = words(text), text or ""
+    wins = Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
+    hit = {p for i in range(len(ws) - 7) if wins[tuple(ws[i : i + 8])] > 1 for p in range(i, i + 8)}
+    lines = [x for x in text.split("\n") if words(x)]
+    return {"n_words": len(ws), "word_chars": sum(map(len, ws)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(hit)}
+
+
+def test_quality_figures_and_verdicts(spark):
+    texts = corpus()
+    docs = table(spark, texts)
+    got = by_id(host_rules.quality(docs))
+    assert len(got) == len(texts)
+    fails = defaultdict(list)
+    for r in docs.collect():
+        f = brute_figures(r["text"])
+        assert {k: got[r["doc_id"]][k] for k in f} == f
+        base = f["n_words"] < 20 or 100 * f["n_repeat_words"] > 30 * f["n_words"]
+        assert got[r["doc_id"]]["base_failed"] == base
+        fails[r["source"]].append((r["doc_id"], base or 4 * f["n_symbols"] > f["n_words"]))
+    rates = [sum(x for _, x in v) / len(v) for v in fails.values()]
+    mean = sum(rates) / len(rates)
+    a, b = host_rules.prior(mean, sum((x - mean) ** 2 for x in rates) / len(rates))
+    for v in fails.values():
+        bad = (sum(x for _, x in v) + a) / (len(v) + a + b) >= 0.5
+        for i, failed in v:
+            assert got[i]["kept"] == (not failed and not bad)
+    kept = host_rules.keep(docs)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
+
+
+def test_a_bad_host_takes_its_documents_along(spark):
+    rng = random.Random(1)
+    texts = ["short"] * 30 + [prose(rng, 40)] + [prose(rng, 40) for _ in range(30)]
+    docs = table(spark, texts, ["bad"] * 31 + ["good"] * 30)
+    got = by_id(host_rules.quality(docs))
+    assert not got[30]["kept"] and not got[30]["base_failed"] and all(got[i]["kept"] for i in range(31, 61))
+
+
+def test_empty_tables(spark):
+    docs = table(spark, ["x"]).limit(0)
+    assert host_rules.quality(docs).count() == host_rules.keep(docs).count() == 0
+    assert template_tree.lines_report(docs).count() == template_tree.dedup(docs).count() == 0
+    assert fair_mix.mix(docs).count() == fair_mix.mixed(docs).count() == 0
+    assert pii_boost.report(docs).count() == 0
+
+
+def brute_templates(line):
+    ws = words(line)
+    masked = ["<*>" if re.search("[0-9]", w) else w for w in ws]
+    if 2 * masked.count("<*>") > len(masked):
+        return [("line", *ws)]
+    if len(masked) < template_tree.MIN_TOKENS:
+        return [("short", *masked)]
+    return [(name, len(masked), *masked[:2], "|", *masked[first::2]) for name, first in (("odd", 0), ("even", 1))]
+
+
+def test_line_templates(spark):
+    texts = corpus()
+    docs = table(spark, texts)
+    places = defaultdict(list)
+    for i, text in enumerate(texts):
+        for p, line in enumerate((text or "").split("\n")):
+            if words(line):
+                for t in brute_templates(line):
+                    places[t].append((i, p))
+    drop = defaultdict(set)
+    for at in places.values():
+        if len({i for i, _ in at}) >= template_tree.MIN_DOCS:
+            for i, p in at:
+                if (i, p) != min(at):
+                    drop[i].add(p)
+    assert drop
+    got = by_id(template_tree.lines_report(docs))
+    out = by_id(template_tree.dedup(docs))
+    for i, text in enumerate(texts):
+        lines = (text or "").split("\n")
+        left = "\n".join(line for p, line in enumerate(lines) if p not in drop[i])
+        n = sum(1 for line in lines if words(line))
+        assert (got[i]["n_lines"], got[i]["n_dropped"], got[i]["kept_sha256"]) == (n, len(drop[i]), hashlib.sha256(left.encode()).hexdigest())
+        if drop[i] and len(drop[i]) == n:
+            assert i not in out
+        else:
+            assert out[i]["text"] == (text if not drop[i] else left) and (not drop[i] or out[i]["n_chars"] == len(left))
+    assert template_tree.dedup(docs).columns == docs.columns
+
+
+def brute_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    left, target, open_ = 1.5 * sum(sizes.values()), {}, set(order)
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * sizes[s] + 1e-9}
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        open_ -= over
+    return target
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mixing(spark, seed):
+    rng = random.Random(seed)
+    n = 900
+    sources = [None if x == 0 else f"s{min(x, 6)}" for x in (rng.randint(0, 12) for _ in range(n))]
+    texts = [prose(rng, rng.choice((0, 3, 10, 40))) for _ in range(n)]
+    docs = table(spark, texts, sources)
+    got = by_id(fair_mix.mix(docs))
+    sums = Counter()
+    for s, t in zip(sources, texts):
+        sums[s] += len(words(t))
+    targets, taken = brute_targets(sums), Counter()
+    for i, (s, t) in enumerate(zip(sources, texts)):
+        r = got[i]
+        assert (r["size"], r["source_size"]) == (len(words(t)), sums[s]) and r["target"] == pytest.approx(targets[s])
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        taken[s] += r["taken"]
+    for s in sums:
+        assert abs(taken[s] - targets[s]) <= 2 * 40 + 1
+    assert sum(taken.values()) <= 1.5 * sum(sums.values())
+    again = by_id(fair_mix.mix(docs.repartition(5)))
+    assert again == got
+    rows = Counter(r["doc_id"] for r in fair_mix.mixed(docs).collect())
+    assert all(rows[i] == got[i]["copies"] for i in range(n)) and fair_mix.mixed(docs).columns == docs.columns
+
+
+def test_mixing_equals_a_queue_served_in_order(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, rng.randint(1, 9)) for _ in range(300)]
+    sources = [rng.choice("ab") for _ in texts]
+    docs = table(spark, texts, sources)
+    u = {r["doc_id"]: r["u"] for r in docs.select("doc_id", fair_mix.place(docs["doc_id"]).alias("u")).collect()}
+    targets = brute_targets(Counter(s for s, t in zip(sources, texts) for _ in words(t)))
+    queue = []
+    for s in "ab":
+        run = 0
+        for e in (0, 1):
+            for i in sorted((i for i in range(300) if sources[i] == s), key=lambda i: (u[i], i)):
+                run += len(words(texts[i]))
+                queue.append((run / targets[s], "=" + s, e, u[i], i))
+    total, counts = 0, Counter()
+    for _, _, _, _, i in sorted(queue):
+        total += len(words(texts[i]))
+        if total > int(1.5 * sum(len(words(t)) for t in texts)):
+            break
+        counts[i] += 1
+    got = by_id(fair_mix.mix(docs))
+    assert all(got[i]["copies"] == counts[i] for i in range(300))
+
+
+def luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+RULES = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15),
+}
+
+
+def brute_base(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, (rx, ok) in RULES.items() for m in re.finditer(rx, text or "") if ok(m[0])]
+
+
+def pii_texts():
+    rng = random.Random(5)
+    texts = [None, "", "a@b.c_d@e.f@g.h a@b c@d.e.", "1.2.3.4.5.6.7.8 256.1.1.1 0255.0.00.1 1.2.3", "é𝄞 x@y.zz 𝄞 10.0.0.1 ü", "4111 1111 1111 1111 4111-1111-1111-1112 +1 (988) 555-2485.", "9" * 3000 + "a" * 3000 + "@", "+1 23 +12345678 +1234567890123456", "@@.@a.b+1 555 123 4567@x.y"]
+    for _ in range(150):
+        texts.append("".join(rng.choice(["a", "b@", ".", "1", "23", " ", "-", "+", "@", "é", "192.168.0.1", "x@y.com", "4111111111111111", "+44 20 7946 0958", "\n"]) for _ in range(60)))
+    return texts
+
+
+def test_base_spans(spark):
+    texts = pii_texts()
+    got = by_id(pii_boost.report(table(spark, texts)))
+    for i, text in enumerate(texts):
+        base = brute_base(text)
+        r = got[i]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest(), text
+        assert [r[f"n_{k}"] for k in RULES] == [sum(x.startswith(k + ":") for x in base) for k in RULES]
+        assert r["spans"].split(",")[: len(base)] == (base or r["spans"].split(",")[:0])
+
+
+def test_added_spans_and_clean_texts(spark):
+    rng = random.Random(8)
+    texts = ["login password=b7db7aa4a5fcc78305 here", "please call me at 555-123-4567 now", "write to joe (at) host (dot) com", "invoice 555-123-4567 of 2019", "the year 2019 had 365 days, 12 months", prose(rng, 300)]
+    got = by_id(pii_boost.report(table(spark, texts)))
+    assert got[0]["spans"] == "secret:6:33"
+    assert got[1]["spans"] == "number:18:30"
+    assert got[2]["spans"].startswith("mail:9:")
+    assert [got[i]["spans"] for i in (3, 4, 5)] == ["", "", ""]
+
+
+def test_trees_on_held_out_rows(spark):
+    trees, limits = pii_boost.model(spark)
+    assert len(trees) == pii_boost.ROUNDS and all(v < float("inf") for v in limits.values())
+    fresh = pii_boost.labelled(200, seed=99)
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(fresh)], "doc_id long, kind string, before string, m string, y int")
+    right = 0
+    for kind, _, _ in pii_boost.GENERATORS:
+        part = rows.where(rows["kind"] == kind)
+        import pyspark.sql.functions as F
+
+        x = part.select("y", F.array(*pii_boost.features(kind, F.col("m"), F.col("before")).values()).alias("x")).collect()
+        right += sum((sum(pii_boost.predict(t, r["x"]) for t in trees) >= limits[kind]) == bool(r["y"]) for r in x)
+    assert right >= 0.9 * len(fresh)
