@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, fair_mix, host_rules, license_scan, mpeg_audio, pii_boost, registry_sql, template_tree, token_trie
+from . import bpe_tree, chosen_path, fair_mix, host_rules, license_scan, mpeg_audio, pii_boost, registry_sql, template_tree, token_trie
 from .common import documents
 
 
@@ -36,6 +36,10 @@ def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_tree.lines_report(documents(spark, sf_dir))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(documents(spark, sf_dir))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mpeg_audio.features(mpeg_audio.media(documents(spark, sf_dir)))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", mpeg_audio.feature_text().alias("feature"))
@@ -45,7 +49,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_boost.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_bpe_round_trip, op3_token_counts, op4_host_rules, op5_fair_mix, op6_line_templates, op8_media_columns, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_bpe_round_trip, op3_token_counts, op4_host_rules, op5_fair_mix, op6_line_templates, op7_jaccard_join, op8_media_columns, op9_pii)}
 SQL = {"op4_host_rules": registry_sql.OP4, "op6_line_templates": registry_sql.OP6}
 
 
