@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, chosen_path, fair_mix, host_rules, license_scan, mpeg_audio, pii_boost, registry_sql, template_tree, token_trie
+from . import bpe_tree, chosen_path, fair_mix, host_rules, license_scan, mpeg_audio, pii_boost, registry_sql, run_index, template_tree, token_trie
 from .common import documents
 
 
@@ -49,7 +49,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_boost.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_bpe_round_trip, op3_token_counts, op4_host_rules, op5_fair_mix, op6_line_templates, op7_jaccard_join, op8_media_columns, op9_pii)}
+def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_bpe_round_trip, op3_token_counts, op4_host_rules, op5_fair_mix, op6_line_templates, op7_jaccard_join, op8_media_columns, op9_pii, op10_run_index)}
 SQL = {"op4_host_rules": registry_sql.OP4, "op6_line_templates": registry_sql.OP6}
 
 
