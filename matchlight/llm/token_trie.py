@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from .common import map_texts
 
 MARK = "▁"
 #: A task's trie begins anew beyond this many nodes, so memory stays bounded.
-MAX_NODES = 400_000
+MAX_NODES = 1_000_000
 #: Log probability of a byte piece.
 BYTE_SCORE = -16.0
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,73 +46,80 @@ def vocabulary(path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Nodes by number; node 0 is the empty prefix."""
-
-    def __init__(self, scores: dict[str, float], max_nodes: int = MAX_NODES):
-        self.scores, self.max_nodes = scores, max_nodes
-        self.longest = max(map(len, scores), default=1)
+    """Nodes by number, edges in one table by node and character; node 0 is the empty prefix."""
+
+    def __init__(self, scores: dict[str, float], max_nodes: int = MAX_NODES, mark: str = ""):
+        self.scores, self.max_nodes, self.mark = scores, max_nodes, mark
+        lengths: dict[str, set[int]] = {}
+        for piece in scores:
+            lengths.setdefault(piece[-2:], set()).add(len(piece))
+        #: Lengths of pieces by their last two characters (one, for pieces of one).
+        self.lengths = {tail: sorted(n) for tail, n in lengths.items()}
         self.counts: dict[str, int] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.best: list[float] = [0.0]
-        self.pieces: list[int] = [0]
+        self.edges: dict[int, int] = {}
+        self.best = array("d", [0.0])
+        self.pieces = array("l", [0])
         self.counts.clear()
 
     def count(self, word: str) -> int:
-        """Number of pieces of the best segmentation."""
+        """Number of pieces of the best segmentation of the word behind the mark; stored for its terminal node."""
         if (known := self.counts.get(word)) is not None:
             return known
         if len(self.best) > self.max_nodes:
             self.reset()
-        path, node = [0], 0
-        for i, c in enumerate(word):
-            child = self.children[node].get(c)
+        edges, path, node, text = self.edges, [0], 0, self.mark + word
+        for i, c in enumerate(text):
+            edge = node << 21 | ord(c)
+            child = edges.get(edge)
             if child is None:
-                child = self._grow(word, i + 1, path)
-                self.children[node][c] = child
+                child = edges[edge] = self._grow(text, i + 1, path)
             node = child
             path.append(node)
-        self.counts[word] = self.pieces[node]
-        return self.pieces[node]
+        self.counts[word] = n = self.pieces[node]
+        return n
 
     def _grow(self, word: str, end: int, path: list[int]) -> int:
-        n_bytes = len(word[end - 1].encode("utf-8", "surrogatepass"))
-        before = path[end - 1]
-        top, fewest = self.best[before] + n_bytes * BYTE_SCORE, self.pieces[before] + n_bytes
-        for first in range(max(0, end - self.longest), end):
-            s = self.scores.get(word[first:end])
-            if s is not None:
-                total, n = self.best[path[first]] + s, self.pieces[path[first]] + 1
-                if total > top or total == top and n < fewest:
-                    top, fewest = total, n
-        self.children.append({})
-        self.best.append(top)
-        self.pieces.append(fewest)
-        return len(self.best) - 1
+        best, pieces, scores = self.best, self.pieces, self.scores
+        before, c = path[end - 1], word[end - 1]
+        s = scores.get(c)
+        n_bytes = len(c.encode("utf-8", "surrogatepass"))
+        top, fewest = best[before] + n_bytes * BYTE_SCORE, pieces[before] + n_bytes
+        if s is not None and best[before] + s >= top:
+            fewest = pieces[before] + 1 if best[before] + s > top else min(fewest, pieces[before] + 1)
+            top = best[before] + s
+        if end > 1:
+            for length in self.lengths.get(word[end - 2 : end], ()):
+                if length > end:
+                    break
+                s = scores.get(word[end - length : end])
+                if s is not None:
+                    at = path[end - length]
+                    total = best[at] + s
+                    if total > top or total == top and pieces[at] + 1 < fewest:
+                        top, fewest = total, pieces[at] + 1
+        best.append(top)
+        pieces.append(fewest)
+        return len(best) - 1
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, number of pre-tokens and of tokens of every whole text."""
 
     def make():
-        trie = Trie(vocabulary(path))
+        trie = Trie(vocabulary(path), mark=MARK)
+        known, count = trie.counts, trie.count
 
         def kernel(text: str) -> tuple:
             words = SPACE.findall(text)
-            known = trie.counts
             total = 0
             for w in words:
                 n = known.get(w)
-                total += n if n is not None else count(w)
+                total += count(w) if n is None else n
             return len(words), total
 
-        def count(word: str) -> int:
-            n = trie.count(MARK + word)
-            trie.counts[word] = n
-            return n
-
         return kernel
 
     return map_texts(docs, make, "n_pretokens long, n_tokens long")
