@@ -60,7 +60,8 @@ def dropped(docs: DataFrame) -> DataFrame:
     found = places(docs.select("doc_id", "text"))
     by_doc = found.groupBy("__template", "doc_id").agg(F.min("__place").alias("__place"))
     recurring = by_doc.groupBy("__template").agg(F.count("*").alias("__n"), F.min(F.struct("doc_id", "__place")).alias("__first")).where(F.col("__n") >= MIN_DOCS)
-    again = found.join(recurring.select("__template", "__first"), "__template").where(F.struct("doc_id", "__place") != F.col("__first"))
+    recurring = cut(recurring.select("__template", "__first"))  # else the join stands in the aggregate's stage, where a hot template can't be split
+    again = found.join(recurring, "__template").where(F.struct("doc_id", "__place") != F.col("__first"))
     return again.groupBy("doc_id").agg(F.collect_set("__place").alias("__drop"))
 
 
