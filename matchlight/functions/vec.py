@@ -86,3 +86,14 @@ def pair_features(a: Column, b: Column, mu: float = 0.0, sigma: float = 1.0) ->
     return F.concat(F.zip_with(a, b, lambda x, y: F.abs(x - y) * g(x, y)), F.zip_with(a, b, lambda x, y: x * y * g(x, y)))
 
 
+
+
+def select(x: Column, places: Sequence[int]) -> Column:
+    """The cells at the given places, in their order."""
+    return F.transform(F.array(*map(F.lit, places)), lambda i: F.get(x, i))
+
+
+def reshape(x: Column, width: int) -> Column:
+    """A vector as rows of the given width."""
+    n = F.floor(F.size(x) / width).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda r: F.slice(x, r * width + 1, width))

@@ -51,8 +51,9 @@ def strip_histograms(v: DataFrame, strips: DataFrame, weight: str = "soft", pool
 
 def descriptor(hist: DataFrame, type_order: tuple[str, ...]) -> DataFrame:
     """Long descriptor (image_id, type, strip, word, v): all types and strips together, of length 1."""
+    hist = hist.where(F.col("type").isin(*type_order))
     norms = hist.groupBy("image_id").agg(F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("norm"))
-    x = hist.where(F.col("type").isin(*type_order)).join(norms, "image_id")
+    x = hist.join(norms, "image_id")
     return x.select("image_id", "type", "strip", "word", F.when(F.col("norm") == 0, F.lit(float("nan"))).otherwise(F.col("h") / F.col("norm")).alias("v"))
 
 

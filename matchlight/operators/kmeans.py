@@ -46,6 +46,29 @@ def assign(samples: DataFrame, centres: np.ndarray, scale: np.ndarray | None = N
     return samples.select("id", "x").mapInArrow(run, schema)
 
 
+def assign_pruned(samples: DataFrame, centres: np.ndarray) -> DataFrame:
+    """As assign, with the triangle inequality: a centre as far from the best one as twice the best distance can't be nearer."""
+    schema = samples.select("id", "x").schema.add("cluster", "integer").add("d", "double")
+    centres = np.asarray(centres, float)
+    apart = np.sqrt(((centres[:, None] - centres) ** 2).sum(axis=2))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(float)
+            at = np.zeros(len(x), np.int32)
+            best = np.sqrt(((x - centres[0]) ** 2).sum(axis=1))
+            for k in range(1, len(centres)):
+                open_ = np.flatnonzero(apart[at, k] < 2 * best)
+                d = np.sqrt(((x[open_] - centres[k]) ** 2).sum(axis=1))
+                nearer = open_[d < best[open_]]
+                best[nearer], at[nearer] = d[d < best[open_]], k
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(at), pa.array(best)], names=["id", "x", "cluster", "d"])
+
+    return samples.select("id", "x").mapInArrow(run, schema)
+
+
 def means(assigned: DataFrame) -> DataFrame:
     """cluster, i, v: cell means of the members, in the space of x."""
     return assigned.select("cluster", F.posexplode("x").alias("i", "v")).groupBy("cluster", "i").agg(F.avg("v").alias("v"))

@@ -93,3 +93,11 @@ def value_counts(df: DataFrame, value: str, bins: DataFrame) -> DataFrame:
 def bag_match(bags: DataFrame) -> DataFrame:
     """a, b, overlaps, shared of pairs of label sets: bags(a, b, la, lb)."""
     return bags.select("a", "b", F.arrays_overlap("la", "lb").alias("overlaps"), F.size(F.array_intersect("la", "lb")).alias("shared"))
+
+
+def nearest_impostors(samples: DataFrame, k: int) -> DataFrame:
+    """i, l, d, rk: the k nearest rows of other persons."""
+    x = samples.select("id", "person", "x")
+    s = score(x, x, vec.squared_distance, ("id", "person")).where("probe_person <> gallery_person")
+    s = s.withColumn("rk", F.row_number().over(Window.partitionBy("probe_id").orderBy("score", "gallery_id"))).where(F.col("rk") <= k)
+    return s.select(F.col("probe_id").alias("i"), F.col("gallery_id").alias("l"), F.col("score").alias("d"), "rk")

@@ -92,3 +92,21 @@ def pair_counts(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def sample_every(df: DataFrame, n: int, order: str) -> DataFrame:
     """Every n-th row in an order, from the first: a sampling operator."""
     return df.withColumn("__rn", F.row_number().over(Window.orderBy(order))).where(F.col("__rn") % n == 1).drop("__rn")
+
+
+def half_split(samples: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """samples with test: a fixed shuffle of the keys, of which the first half of the hash range is the test."""
+    return samples.withColumn("test", F.pmod(F.col(key) * 7919 + seed * 104729 + 31, F.lit(10007)) < 5003)
+
+
+def consecutive_labels(df: DataFrame, label: str) -> DataFrame:
+    """df with the label's place among the sorted distinct labels, from 0."""
+    places = df.select(label).distinct().withColumn("place", F.row_number().over(Window.orderBy(label)) - 1)
+    return df.join(places, label)
+
+
+def paired_classes(pairs: DataFrame) -> DataFrame:
+    """id, person, x: every matching pair as a class of two points."""
+    x = pairs.where("match").withColumn("person", F.row_number().over(Window.orderBy("id_a", "id_b")) - 1)
+    two = F.explode(F.array(F.struct(F.col("x_a").alias("x"), F.lit(0).alias("k")), F.struct(F.col("x_b").alias("x"), F.lit(1).alias("k"))))
+    return x.select("person", two.alias("p")).select((F.col("person") * 2 + F.col("p.k")).cast("long").alias("id"), "person", "p.x")

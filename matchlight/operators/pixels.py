@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 RGB = ("red", "green", "blue")
 
 
+# Fixed values of public standards: luma weights (here and below), sRGB to XYZ under D65, CIE Lab.
+
+
 def grey(red: Column, green: Column, blue: Column) -> Column:
     """Luma, rounded half up."""
     return F.floor(0.2989 * red + 0.5870 * green + 0.1140 * blue + 0.5).cast("int")
@@ -59,8 +62,12 @@ def colour_index(red: Column, green: Column, blue: Column) -> Column:
     return (F.floor(red / 8) + 32 * F.floor(green / 8) + 1024 * F.floor(blue / 8)).cast("int")
 
 
-ROWS = Window.partitionBy("image_id", "col").orderBy("row")
-COLS = Window.partitionBy("image_id", "row").orderBy("col")
+def down_rows():
+    return Window.partitionBy("image_id", "col").orderBy("row")
+
+
+def along_cols():
+    return Window.partitionBy("image_id", "row").orderBy("col")
 
 
 def gradients(pixels: DataFrame) -> DataFrame:
@@ -71,7 +78,7 @@ def gradients(pixels: DataFrame) -> DataFrame:
         before, after = F.lag("v").over(window), F.lead("v").over(window)
         return F.when(before.isNull(), after - F.col("v")).when(after.isNull(), F.col("v") - before).otherwise(after - before)
 
-    x = x.withColumns({"iy": slope(COLS), "ix": slope(ROWS)})
+    x = x.withColumns({"iy": slope(along_cols()), "ix": slope(down_rows())})
     phase = F.atan2("iy", "ix")
     turns = 9 * F.when(phase < 0, phase + 2 * 3.141592653589793).otherwise(phase) / (2 * 3.141592653589793)
     grid_bin = F.greatest(F.lit(1), F.least(F.lit(9), F.ceil(turns)))
@@ -81,11 +88,12 @@ def gradients(pixels: DataFrame) -> DataFrame:
 def siltp(pixels: DataFrame, radius: int, tolerance: float = 0.3) -> DataFrame:
     """pixels with code, the ternary pattern of four neighbours at the radius; borders repeat the edge."""
     x = with_grey(pixels)
+    rows, cols = down_rows(), along_cols()
     far = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    right = F.coalesce(F.lead("gray", radius).over(COLS), F.last("gray").over(far(COLS)))
-    left = F.coalesce(F.lag("gray", radius).over(COLS), F.first("gray").over(far(COLS)))
-    up = F.coalesce(F.lag("gray", radius).over(ROWS), F.first("gray").over(far(ROWS)))
-    down = F.coalesce(F.lead("gray", radius).over(ROWS), F.last("gray").over(far(ROWS)))
+    right = F.coalesce(F.lead("gray", radius).over(cols), F.last("gray").over(far(cols)))
+    left = F.coalesce(F.lag("gray", radius).over(cols), F.first("gray").over(far(cols)))
+    up = F.coalesce(F.lag("gray", radius).over(rows), F.first("gray").over(far(rows)))
+    down = F.coalesce(F.lead("gray", radius).over(rows), F.last("gray").over(far(rows)))
     g = F.col("gray").cast("double")
     ternary = lambda n: F.when(n < (1 - tolerance) * g, 1).when(n > (1 + tolerance) * g, 2).otherwise(0)
     x = x.withColumns({"n0": right, "n1": up, "n2": left, "n3": down})

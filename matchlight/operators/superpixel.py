@@ -60,6 +60,7 @@ def seeds(spark: SparkSession, width: int, height: int, n: int) -> DataFrame:
     return xs.join(ys, "seed")
 
 
+# Fixed values of public standards: sRGB to XYZ under D65, CIE Lab.
 def _lab(rgb: np.ndarray) -> np.ndarray:
     v = rgb / 255.0
     v = np.where(v <= 0.04045, v / 12.92, ((v + 0.055) / 1.055) ** 2.4)

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..metric import dense, learners
+from ..metric import dense, learners, protocol
 from ..operators import bow, cov, evaluate, features, kmeans, knn, pairs, pca, score, strips, superpixel
 from ..operators import pixels as P
 from ..scratch import cut
 from ..sources import images, mat5
 from . import oracles as O
+from . import pipeline
 from . import views as V
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -772,16 +773,12 @@ def splits(spark, sf) -> DataFrame:
 
 @query("SELECT id, person FROM samples WHERE NOT is_query", "samples")
 def train_split(spark, sf):
-    from .pipeline import split_trial
-
-    return split_trial(V.samples(spark, sf), splits(spark, sf), 0)[0].select("id", "person")
+    return pipeline.split_trial(V.samples(spark, sf), splits(spark, sf), 0)[0].select("id", "person")
 
 
 @query("SELECT id, person FROM samples WHERE is_query", "samples")
 def test_split(spark, sf):
-    from .pipeline import split_trial
-
-    return split_trial(V.samples(spark, sf), splits(spark, sf), 0)[1].select("id", "person")
+    return pipeline.split_trial(V.samples(spark, sf), splits(spark, sf), 0)[1].select("id", "person")
 
 
 @query("SELECT id, person, cam FROM samples", "samples")
@@ -828,3 +825,75 @@ def mat_roundtrip(spark, sf):
                 yield pd.DataFrame({"row": int(i), "col": np.arange(back.shape[1]), "value": np.round(back[0], 6) + 0.0})
 
     return V.samples(spark, sf).select("id", "x").mapInPandas(run, "row int, col int, value double")
+
+
+@query(f"SELECT i, l, round(d, 6) AS d, rk::INT AS rk FROM (SELECT a.id AS i, b.id AS l, {O.sqdist('a.x', 'b.x')} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {O.sqdist('a.x', 'b.x')}, b.id) AS rk FROM samples a JOIN samples b ON a.person <> b.person) WHERE rk <= 3", "samples")
+def nearest_impostors(spark, sf):
+    return knn.nearest_impostors(V.samples(spark, sf), 3).select("i", "l", r6("d").alias("d"), "rk")
+
+
+@query("SELECT id, person, (id * 7919 + 31) % 10007 < 5003 AS test FROM samples", "samples")
+def half_split(spark, sf):
+    return pairs.half_split(V.samples(spark, sf), "id").select("id", "person", "test")
+
+
+@query("SELECT id, (dense_rank() OVER (ORDER BY person) - 1)::INT AS place FROM samples", "samples")
+def consecutive_labels(spark, sf):
+    return pairs.consecutive_labels(V.samples(spark, sf), "person").select("id", F.col("place").cast("int").alias("place"))
+
+
+@query("SELECT id, list_transform([x[4], x[1], x[64]], lambda v: round(v, 6) + 0.0) AS x FROM samples", "samples")
+def select_cells(spark, sf):
+    x = V.samples(spark, sf).select("id", vec.select(F.col("x"), [3, 0, 63]).alias("x"))
+    return x.select("id", F.transform("x", lambda v: F.round(v, 6) + 0.0).alias("x"))
+
+
+@query("SELECT id, cluster::INT AS cluster, round(d, 6) AS d FROM assigned", "assigned")
+def elkan_equivalence(spark, sf):
+    return kmeans.assign_pruned(V.samples(spark, sf), np.array(V.centres())).select("id", "cluster", r6("d").alias("d"))
+
+
+O.cte("cuhk_hits", f"SELECT min(r) AS first_hit FROM (SELECT probe_id, match, row_number() OVER (PARTITION BY probe_id ORDER BY d, gallery_id) AS r FROM (SELECT p.id AS probe_id, g.id AS gallery_id, p.person = g.person AND p.id % 3 = g.id % 3 AS match, {O.sqdist('p.x', 'g.x')} AS d FROM samples p JOIN samples g ON p.cam = 0 AND g.cam = 1)) WHERE match GROUP BY probe_id", "samples")
+
+
+@query(O.curve("cuhk_hits", 20), "cuhk_hits")
+def camera_pair_cmc(spark, sf):
+    """A match needs the person and the pair of cameras (here id % 3)."""
+    s = V.samples(spark, sf)
+    x = score.score(s.where("cam = 0"), s.where("cam = 1"), vec.squared_distance)
+    same = (F.col("probe_person") == F.col("gallery_person")) & (F.col("probe_id") % 3 == F.col("gallery_id") % 3)
+    x = x.select(F.col("probe_id").alias("probe"), F.col("gallery_id").alias("gallery"), same.alias("match"), "score")
+    return evaluate.matching_cmc(x, 20).select("rank", r6("rate").alias("rate"))
+
+
+@query()
+def half_split_cmc(spark, sf):
+    return pipeline.half_split_trials(reduced(spark, sf), 3, 20)
+
+
+@query()
+def itml_autotune(spark, sf):
+    return protocol.tune_itml(reduced(spark, sf, 4), powers=(-2, 0, 2), max_constraints=100)[1]
+
+
+@query()
+def metric_evaluation(spark, sf):
+    """Components, pairs, a learned metric and its mean average precision."""
+    samples, m = pipeline.train_metric(V.samples(spark, sf), "kissme", dims=16)
+    return pipeline.evaluate_metric(samples, m)[0]
+
+
+@query()
+def learner_cross_validation(spark, sf):
+    p = labelled_pairs(reduced(spark, sf)).withColumns({"fold": (F.col("id_a") % 2).cast("int"), "key": F.col("id_a") * 100_000 + F.col("id_b")})
+    return evaluate.fold_errors(pipeline.cross_validate(p, learners.kissme, [0, 1]))
+
+
+@query()
+def image_descriptors(spark, sf):
+    """Codebooks by k-means and a descriptor for every raster."""
+    s = pipeline.Settings(width=8, height=8, patch=2, words=4, top=2, strip=4, step=2, radii=(1, 2), segment="patch", types=("HSV", "HOG"))
+    p = V.pixels(spark, sf)
+    algorithm = pipeline.BagOfWords(s)
+    algorithm.train(p)
+    return algorithm.test(p)

@@ -35,6 +35,7 @@ class Settings:
     types: tuple[str, ...] = ("HSV", "CN", "HOG", "SILTP")
     word_level: bool = False
     segment: str = "slic"
+    parts: bool = False
     pooling: str = "mean"
     segmenters: dict[str, Callable] = field(default_factory=dict)
 
@@ -79,13 +80,16 @@ class BagOfWords:
         s = self.settings
         table, sp = self.features(pixels)
         v = cut(bow.votes(table, self.codebook, s.top))
-        bands = strips.bands(sp, s.height, s.strip, s.step, s.shift) if s.shift else strips.strips(sp, s.height, s.strip, s.step)
+        if s.parts:
+            bands = strips.body_strips(sp)
+        else:
+            bands = strips.bands(sp, s.height, s.strip, s.step, s.shift) if s.shift else strips.strips(sp, s.height, s.strip, s.step)
         return bow.strip_histograms(v, bands, s.weight, s.pooling)
 
     def test(self, pixels: DataFrame) -> DataFrame:
         """image_id, x: one dense descriptor an image."""
         s = self.settings
-        n_strips = (s.height - s.strip) // s.step + 1
+        n_strips = len(strips.BODY_PARTS) if s.parts else (s.height - s.strip) // s.step + 1
         order = ("ALL",) if s.word_level else s.types
         return bow.dense_descriptor(self.histograms(pixels), order, n_strips, s.words)
 
@@ -123,3 +127,49 @@ def split_trial(samples: DataFrame, splits: DataFrame, trial: int) -> tuple[Data
     """Rows to train on and to test with in a trial: rows of the split are the test."""
     held = splits.where(F.col("trial") == trial).select(F.col("idx").alias("id"))
     return samples.join(held, "id", "left_anti"), samples.join(held, "id", "left_semi")
+
+
+def train_application(pixels: DataFrame, people: DataFrame, settings: Settings, folder: str, learner: str = "kissme") -> BagOfWords:
+    """Metrics by type, then codebooks under them; each is written to the folder as soon as it is there, so a failure later loses none before.
+
+    people(image_id, person, cam): superpixel features of one strip-aligned image pair make the pairs; here a type's mean feature of an image stands for it.
+    """
+    algorithm = BagOfWords(settings)
+    table, _ = algorithm.features(pixels)
+    table = cut(table)
+    metrics = {}
+    for t in settings.types:
+        cells = table.where(F.col("type") == t).select("image_id", F.posexplode("feat").alias("i", "v")).groupBy("image_id", "i").agg(F.avg("v").alias("v"))
+        x = cells.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("x"))
+        s = cut(x.join(people, "image_id").withColumnRenamed("image_id", "id"))
+        _, metrics[t] = train_metric(s, learner)
+        m = metrics[t]
+        rows = [(t, i, j, float(m[i, j])) for i in range(len(m)) for j in range(len(m))]
+        pixels.sparkSession.createDataFrame(rows, "type string, i int, j int, v double").write.mode("append").parquet(f"{folder}/metric")
+    algorithm.train(pixels, metrics).write.mode("overwrite").parquet(f"{folder}/codebook")
+    return algorithm
+
+
+def aligned_pairs(features_: DataFrame, strip_table: DataFrame, people: DataFrame, type_: str) -> DataFrame:
+    """i, j, v, n: scatter of superpixel differences inside equal strips over all pairs of images of a person, by sums of strips and without the pairs."""
+    from ..operators import cov
+
+    x = strip_table.where("band = 'mid'").join(features_.where(F.col("type") == type_), ["image_id", "sp"]).join(people, "image_id")
+    x = x.withColumn("key", F.concat_ws(":", F.col("person").cast("string"), F.col("strip").cast("string")))
+    return cov.class_pair_scatter(x.withColumn("x", F.col("feat")), F.col("x"), label="key")
+
+
+def half_split_trials(samples: DataFrame, trials: int, ranks: int) -> DataFrame:
+    """rank, rate: the match curve of discriminant metrics over random halves of the persons, averaged."""
+    out = None
+    for t in range(trials):
+        x = pairs.half_split(samples, "person", t)
+        train, test = x.where("not test"), x.where("test")
+        w, m = learners.xqda(train)
+        l = vec.matrix(factor(learners.psd(m)) @ w.T)
+        moved = cut(test.withColumn("x", vec.matvec(l, F.col("x"))))
+        s = score.score(moved.where("cam = 0"), moved.where("cam = 1"), vec.squared_distance)
+        s = s.select(F.col("probe_id").alias("probe"), F.col("gallery_id").alias("gallery"), (F.col("probe_person") == F.col("gallery_person")).alias("match"), (-F.col("score")).alias("score"))
+        part = evaluate.closed_set_cmc(s, ranks)
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("rank").agg(F.avg("rate").alias("rate"))

@@ -164,26 +164,38 @@ def cells(name: str, value, path: str = ""):
             yield name, path, i, j, float(v), None
 
 
-class _Blob(InputPartition):
-    def __init__(self, data: bytes):
+class _File(InputPartition):
+    def __init__(self, uri: str):
         super().__init__(None)
-        self.data = data
+        self.uri = uri
+
+
+def _store(uri: str):
+    """File system and path of a place; planning runs outside of Spark, so stores are those that Arrow knows. read() takes any store."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
 
 
 class Mat5Reader(DataSourceReader):
     def __init__(self, options: dict):
-        from pyspark.sql import SparkSession
-
-        spark = SparkSession.getActiveSession()
+        self.uri = options["path"]
         self.names = set(filter(None, options.get("names", "").split(",")))
-        # Files are read by Spark's own reader, so any store that Spark knows will do.
-        self.blobs = [bytes(r["content"]) for r in spark.read.format("binaryFile").load(options["path"]).select("content").toLocalIterator()]
 
     def partitions(self):
-        return [_Blob(b) for b in self.blobs]
+        from pyarrow import fs
+
+        store, path = _store(self.uri)
+        info = store.get_file_info(path)
+        files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path))
+        base = self.uri[: len(self.uri) - len(path)] if "://" in self.uri else ""
+        return [_File(base + f.path) for f in files if f.is_file]
 
     def read(self, partition):
-        for name, value in loads(partition.data).items():
+        store, path = _store(partition.uri)
+        with store.open_input_file(path) as f:
+            data = f.read()
+        for name, value in loads(data).items():
             if not self.names or name in self.names:
                 yield from cells(name, value)
 
@@ -213,7 +225,8 @@ class Mat5Writer(DataSourceWriter):
             for i, j, v in rows:
                 a[i, j] = v
             values[name] = a
-        with open(self.path, "wb") as f:
+        store, path = _store(self.path)
+        with store.open_output_stream(path) as f:
             f.write(dumps(values))
 
 
