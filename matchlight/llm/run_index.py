@@ -146,8 +146,26 @@ def by_document(owner: np.ndarray, values: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": pa.array(docs, pa.int64()), "__values": pa.array([values[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())})
 
 
+def collapse(grams: list, docs: list, starts: list, contexts: list) -> tuple[list[int], np.ndarray]:
+    """For contexts ordered by place: the numbers of the first of each kind, and the ranges (document, start, end) of the others, which those cover."""
+    seen: dict[tuple[int, bytes], tuple[int, int]] = {}
+    firsts, ready = [], []
+    for i, (gram, doc, start, context) in enumerate(zip(grams, docs, starts, contexts)):
+        first = seen.get((gram, context))
+        if first is None:
+            seen[gram, context] = (doc, start)
+            firsts.append(i)
+        elif first != (doc, start):
+            ready.append((doc, start, start + len(context)))
+    return firsts, np.array(ready, np.int64).reshape(-1, 3)
+
+
 def deal_contexts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Step 2: docs(doc_id, __z, __values) to blobs of contexts by bucket."""
+    """Step 2: docs(doc_id, __z, __values) to blobs of contexts by bucket.
+
+    Of equal contexts in a chunk only the first is dealt; the ranges of the others are
+    certain and go along by document, so a common passage makes one entry a chunk.
+    """
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -166,13 +184,20 @@ def deal_contexts(docs: DataFrame, buckets: int) -> DataFrame:
                 if not contexts:
                     continue
                 g, o, s = np.concatenate(grams), np.concatenate(owners), np.concatenate(starts)
+                order = np.lexsort((s, o))
+                firsts, ready = collapse(g[order].tolist(), o[order].tolist(), s[order].tolist(), [contexts[i] for i in order.tolist()])
+                sent = order[firsts]
                 rows = []
-                for kind, at in split_by(bucket_of(g, buckets)):
+                for kind, at in split_by(bucket_of(g[sent], buckets)):
+                    at = sent[at]
                     at = at[g[at].argsort(kind="stable")]
                     own = [contexts[i] for i in at.tolist()]
                     sizes = np.array([len(c) for c in own], np.uint8)
-                    body = len(at).to_bytes(4, "little") + pack48(g[at]) + o[at].tobytes() + s[at].astype("<u4").tobytes() + sizes.tobytes() + b"".join(own)
-                    rows.append((kind, squeeze.compress(body)))
+                    body = pack48(g[at]) + o[at].tobytes() + s[at].astype("<u4").tobytes() + sizes.tobytes() + b"".join(own)
+                    rows.append((kind, squeeze.compress(b"C" + len(at).to_bytes(4, "little") + body)))
+                if len(ready):
+                    for kind, at in split_by(bucket_of(mix(ready[:, 0].astype(np.uint64)), buckets)):
+                        rows.append((kind, squeeze.compress(b"M" + ready[at].tobytes())))
                 yield deal(rows)
 
     return docs.mapInArrow(run, "__bucket long, __blob binary")
@@ -259,39 +284,40 @@ class RunIndex:
 
 def mark(table: pa.Table) -> pa.Table:
     """Step 3: the byte ranges of documents that occur earlier, by document."""
-    grams, owners, starts, contexts = [], [], [], []
+    grams, owners, starts, contexts, marks = [], [], [], [], []
     for blob in table.column("__blob").to_pylist():
         body = zstandard.decompress(blob)
-        n = int.from_bytes(body[:4], "little")
-        at = 4
+        if body[:1] == b"M":
+            marks.append(np.frombuffer(body, np.int64, offset=1).reshape(-1, 3))
+            continue
+        n = int.from_bytes(body[1:5], "little")
+        at = 5
         grams.append(unpack48(body[at : at + 6 * n]))
         owners.append(np.frombuffer(body, np.int64, n, at + 6 * n))
         starts.append(np.frombuffer(body, "<u4", n, at + 14 * n))
         sizes = np.frombuffer(body, np.uint8, n, at + 18 * n)
         ends = np.cumsum(sizes, dtype=np.int64) + at + 19 * n
         contexts += [body[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist())]
-    g, o, s = np.concatenate(grams), np.concatenate(owners), np.concatenate(starts).astype(np.int64)
-    seen: dict[tuple[int, bytes], tuple[int, int]] = {}
-    kinds: dict[int, int] = {}
-    marks: list[tuple[int, int, int]] = []
-    order = np.lexsort((s, o))
-    for i, gram, doc, start in zip(order.tolist(), g[order].tolist(), o[order].tolist(), s[order].tolist()):
-        key = (gram, contexts[i])
-        first = seen.setdefault(key, (doc, start))
-        if first == (doc, start):
-            continue
-        marks.append((doc, start, start + len(contexts[i])))
-    for gram, _ in seen:
-        kinds[gram] = kinds.get(gram, 0) + 1
-    several = [(context, place) for (gram, context), place in seen.items() if kinds[gram] > 1]
-    if several:
-        marks += mark_index([c for c, _ in several], np.array([p[0] for _, p in several]), np.array([p[1] for _, p in several]))
-    if not marks:
-        return by_document(np.empty(0, np.int64), np.empty((0, 2), np.int64))
-    found = np.array(marks, np.int64)
+    if contexts:
+        marks += mark_contexts(np.concatenate(grams), np.concatenate(owners), np.concatenate(starts).astype(np.int64), contexts)
+    found = np.concatenate([np.empty((0, 3), np.int64), *marks])
     return by_document(found[:, 0], found[:, 1:])
 
 
+def mark_contexts(g: np.ndarray, o: np.ndarray, s: np.ndarray, contexts: list[bytes]) -> list[np.ndarray]:
+    """Ranges of all but the first of equal contexts, and of windows in firsts that another first has earlier."""
+    order = np.lexsort((s, o))
+    g, o, s, contexts = g[order].tolist(), o[order], s[order], [contexts[i] for i in order.tolist()]
+    firsts, ready = collapse(g, o.tolist(), s.tolist(), contexts)
+    kinds: dict[int, int] = {}
+    for i in firsts:
+        kinds[g[i]] = kinds.get(g[i], 0) + 1
+    several = [i for i in firsts if kinds[g[i]] > 1]
+    if not several:
+        return [ready]
+    return [ready, np.array(mark_index([contexts[i] for i in several], o[several], s[several]), np.int64).reshape(-1, 3)]
+
+
 def mark_index(strings: list[bytes], docs: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
     """Ranges of the strings' windows that an earlier window equals."""
     index = RunIndex(strings)
