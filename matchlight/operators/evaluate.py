@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Table of ranks 1 .. n by probe; a curve has one row a rank.
-
-
 def judged(scores: DataFrame) -> DataFrame:
     """scores with good (same person, other camera) and junk (same person and camera, or person -1)."""
     same, cam = F.col("gallery_person") == F.col("probe_person"), F.col("gallery_cam") == F.col("probe_cam")
@@ -44,10 +41,10 @@ def curve(first_hits: DataFrame, n: Column, max_rank: int) -> DataFrame:
     """rank, rate: share of n with first_hit up to the rank, for ranks 1 .. max_rank."""
     counts = first_hits.where(F.col("first_hit") <= max_rank).groupBy(F.col("first_hit").cast("long").alias("rank")).agg(F.count("*").alias("c"))
     ranks = first_hits.sparkSession.range(1, max_rank + 1).select(F.col("id").alias("rank"))
-    total = first_hits.agg(n.alias("n"))
+    total = first_hits.agg(n.alias("n")).first()["n"]
     w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     x = ranks.join(counts, "rank", "left").withColumn("c", F.sum(F.coalesce("c", F.lit(0))).over(w))
-    return x.join(F.broadcast(total)).select("rank", (F.col("c") / F.col("n")).alias("rate"))
+    return x.select("rank", (F.col("c") / F.lit(total or 1)).alias("rate"))
 
 
 def market_cmc(scores: DataFrame, max_rank: int, order: str = "best_first") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def named(df: DataFrame, suffix: str, columns: tuple[str, ...] = ("id", "person", "cam", "x")) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{c}_{suffix}") for c in columns if c in df.columns])
@@ -91,7 +93,7 @@ def pair_counts(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def sample_every(df: DataFrame, n: int, order: str) -> DataFrame:
     """Every n-th row in an order, from the first: a sampling operator."""
-    return df.withColumn("__rn", F.row_number().over(Window.orderBy(order))).where(F.col("__rn") % n == 1).drop("__rn")
+    return numbered(df, order, name="__rn").where(F.col("__rn") % n == 1).drop("__rn")
 
 
 def half_split(samples: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -101,12 +103,12 @@ def half_split(samples: DataFrame, key: str, seed: int = 0) -> DataFrame:
 
 def consecutive_labels(df: DataFrame, label: str) -> DataFrame:
     """df with the label's place among the sorted distinct labels, from 0."""
-    places = df.select(label).distinct().withColumn("place", F.row_number().over(Window.orderBy(label)) - 1)
+    places = numbered(df.select(label).distinct(), label, name="place").withColumn("place", F.col("place") - 1)
     return df.join(places, label)
 
 
 def paired_classes(pairs: DataFrame) -> DataFrame:
     """id, person, x: every matching pair as a class of two points."""
-    x = pairs.where("match").withColumn("person", F.row_number().over(Window.orderBy("id_a", "id_b")) - 1)
+    x = numbered(pairs.where("match"), "id_a", "id_b", name="person").withColumn("person", F.col("person") - 1)
     two = F.explode(F.array(F.struct(F.col("x_a").alias("x"), F.lit(0).alias("k")), F.struct(F.col("x_b").alias("x"), F.lit(1).alias("k"))))
     return x.select("person", two.alias("p")).select((F.col("person") * 2 + F.col("p.k")).cast("long").alias("id"), "person", "p.x")

@@ -143,10 +143,7 @@ def scored_pairs(spark, sf) -> DataFrame:
     b = pairs.balanced(s, 20_000)
     x = s.select("id", "x")
     d = b.join(x.select(F.col("id").alias("id_a"), F.col("x").alias("xa")), "id_a").join(x.select(F.col("id").alias("id_b"), F.col("x").alias("xb")), "id_b")
-    d = d.select("match", "id_a", "id_b", vec.euclidean(F.col("xa"), F.col("xb")).alias("distance"))
-    from pyspark.sql import Window
-
-    return cut(d.withColumn("key", F.row_number().over(Window.orderBy("match", "id_a", "id_b")).cast("long") - 1).select("key", "match", "distance"))
+    return cut(d.select((F.col("id_a") * 1_000_003 + F.col("id_b")).alias("key"), "match", vec.euclidean(F.col("xa"), F.col("xb")).alias("distance")))
 
 
 O.cte("points", "SELECT row_number() OVER w AS k, sum(match::INT) OVER w / (SELECT sum(match::INT) FROM scored) AS tpr, sum((NOT match)::INT) OVER w / (SELECT sum((NOT match)::INT) FROM scored) AS fpr FROM scored WINDOW w AS (ORDER BY distance, key ROWS UNBOUNDED PRECEDING) UNION ALL SELECT 0, 0.0, 0.0", "scored")

@@ -65,7 +65,7 @@ cte("neg", "SELECT a.id AS id_a, b.id AS id_b, k AS draw, a.x AS xa, b.x AS xb F
 cte("n", "SELECT count(*) AS n FROM samples", "samples")
 cte("drawn", """SELECT d, a.id AS id_a, b.id AS id_b, a.person AS pa, b.person AS pb, a.x AS xa, b.x AS xb FROM (SELECT d, (d * 7919 + 1 * 104729 + 3) % n AS ia, (d * 31 * 7919 + 2 * 104729 + 11) % n AS ib FROM n, (SELECT unnest(range(0, 20000)) AS d)) JOIN idx a ON a.idx = ia JOIN idx b ON b.idx = ib WHERE a.person <> b.person AND a.cam <> b.cam""", "n", "idx")
 cte("balanced", "SELECT id_a, id_b, true AS match FROM pos UNION ALL SELECT id_a, id_b, false FROM (SELECT *, row_number() OVER (ORDER BY d) AS r FROM drawn) WHERE r <= (SELECT count(*) FROM pos)", "pos", "drawn")
-cte("scored", f"SELECT row_number() OVER (ORDER BY match, id_a, id_b, g) - 1 AS key, match, sqrt({sqdist('a.x', 'b.x')}) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY match, id_a, id_b) AS g FROM balanced) JOIN samples a ON a.id = id_a JOIN samples b ON b.id = id_b", "balanced", "samples")
+cte("scored", f"SELECT id_a * 1000003 + id_b AS key, match, sqrt({sqdist('a.x', 'b.x')}) AS distance FROM balanced JOIN samples a ON a.id = id_a JOIN samples b ON b.id = id_b", "balanced", "samples")
 cte("matches", "SELECT t AS trial, a.pid AS probe, b.pid AS gallery, a.pid = b.pid AS match, a.x AS a, b.x AS b FROM (SELECT unnest([0, 1]) AS t) JOIN (SELECT id // 2 AS pid, x FROM samples WHERE cam = 0) a ON (a.pid + t) % 2 = 0 JOIN (SELECT id // 2 AS pid, x FROM samples WHERE cam = 1) b ON (b.pid + t) % 2 = 0", "samples")
 cte("near", f"SELECT t.id AS test, t.person AS truth, g.id AS train, g.person AS label, {sqdist('t.x', 'g.x')} AS d, row_number() OVER (PARTITION BY t.id ORDER BY {sqdist('t.x', 'g.x')}, g.id) AS rk FROM samples t, samples g WHERE t.is_query AND NOT g.is_query", "samples")
 cte("targets", f"SELECT i, j, d, rk FROM (SELECT a.id AS i, b.id AS j, {sqdist('a.x', 'b.x')} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {sqdist('a.x', 'b.x')}, b.id) AS rk FROM samples a JOIN samples b ON a.person = b.person AND a.id <> b.id) WHERE rk <= 3", "samples")
