@@ -1,14 +1,15 @@
 """Jaccard join of word shingles by the chosen-path method.
 
 Texts with equal shingle sets are one set. Each set is embedded in T min-hash
-coordinates. In each run a set goes down a tree of buckets: at a node, BRANCH
-coordinates are chosen by a hash of the node's path, and the set goes into the child
-of each with its value there. Two sets of similarity s meet in a child with
-probability s a coordinate, so at s >= THRESHOLD a run loses a pair at any depth with
-the probability q that solves q = (1 - s + s q) ** BRANCH; runs are repeated until
-1 - q ** runs reaches TARGET. Buckets of up to LIMIT sets are compared by brute force
-over the coordinates' low bytes. Larger buckets are compared with a leader: sets near
-it are linked to it and rest, the others go further down.
+coordinates. In each run a set goes down a tree of buckets: at a node one coordinate is
+chosen by a hash of the node's path, two at a quarter of the nodes, and the set goes
+into the child of each with its value there. Two sets of similarity s share a child
+with probability s a coordinate, so 1 / THRESHOLD coordinates a node let pairs above the
+threshold live on and groups below it die out. Runs are repeated until a pair at the
+threshold is lost in all of them with probability 1 - TARGET at most, DEPTH levels down
+(`loss`). Buckets of up to LIMIT sets are compared by brute force over the coordinates'
+low bytes. Larger buckets are compared with a leader: sets near it are linked to it, and
+all that are not clearly near go further down.
 
 That gives candidate links, cut per bucket to a spanning forest. Their components are
 then compared exactly: a component is dealt in blocks, each pair of blocks is one
@@ -36,22 +37,28 @@ from .common import map_texts
 from .components import components
 from .shingles import MinHash, mix, shingle_set
 
-THRESHOLD, TARGET = 0.8, 0.99999
-T, BRANCH, LIMIT, DEPTH = 128, 2, 256, 8
+THRESHOLD, TARGET = 0.8, 0.9999
+T, LIMIT, DEPTH = 128, 256, 4
+#: A node has two children instead of one if its hash falls in this share, so 1 / THRESHOLD on average.
+SECOND = 1 / THRESHOLD - 1
+#: Orders in which a bucket's leader is the first: few, so that buckets of one group share leaders.
+LEADER_ORDERS = 3
 #: Least number of equal low bytes of T for a candidate: five deviations under what THRESHOLD gives.
 NEAR = int(T * (THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / T)))
-#: From so many equal bytes on, a set rests with the leader of a large bucket.
-REST = int(T * THRESHOLD)
+#: From so many equal bytes on, a set rests with the leader of a large bucket. A partner of it is then near the leader too, or
+#: under REST and not over NEAR by chance; that would have to happen in every bucket where both meet, each with a leader of its own.
+REST = int(T * 0.7)
 #: Sets in a block of the exact comparison; a component has at most MAX_BLOCKS blocks, larger ones beyond.
 BLOCK, MAX_BLOCKS = 128, 64
 
 
-def loss(s: float = THRESHOLD, branch: int = BRANCH) -> float:
-    """Probability that one run separates a pair of similarity s, at any depth."""
+def loss(s: float = THRESHOLD, depth: int = DEPTH) -> float:
+    """Probability that one run separates a pair of similarity s by the given depth."""
     q = 0.0
-    for _ in range(1000):
-        q = (1 - s + s * q) ** branch
-    return q
+    for _ in range(depth):
+        one = 1 - s + s * q
+        q = (1 - SECOND) * one + SECOND * one * one
+    return 1 - s * (1 - q)
 
 
 RUNS = math.ceil(math.log(1 - TARGET) / math.log(loss()))
@@ -62,7 +69,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def make():
         minima = MinHash(T)
-        path = mix(np.arange(1, RUNS * BRANCH + 1, dtype=np.uint64))
+        path = mix(np.arange(1, RUNS + 1, dtype=np.uint64))
         chosen = (path % np.uint64(T)).astype(int)
 
         def kernel(text: str) -> tuple:
@@ -80,7 +87,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def with_size(rows: DataFrame) -> DataFrame:
     """rows of buckets with two sets or more, with __n."""
-    sizes = rows.groupBy("__key").agg(F.count("*").alias("__n")).where("__n > 1")
+    sizes = cut(rows.groupBy("__key").agg(F.count("*").alias("__n")).where("__n > 1"))  # apart from the join, which can then split a large bucket
     return rows.join(sizes, "__key")
 
 
@@ -151,46 +158,47 @@ def compare_buckets(batches):
 
 def compare_leaders(batches):
     """Adds __equal, the equal bytes of a set and its bucket's leader."""
+    names = ["__key", "__rep", "__sk", "__leader"]
     for batch in batches:
-        equal = (sketches(batch.column("__sk")) == sketches(batch.column("__lsk"))).sum(axis=1) if batch.num_rows else []
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("__key", "__rep", "__sk", "__leader")] + [pa.array(equal, pa.int32())], names=["__key", "__rep", "__sk", "__leader", "__equal"])
+        if batch.num_rows:
+            equal = (sketches(batch.column("__sk")) == sketches(batch.column("__lsk"))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(equal, pa.int32())], names=[*names, "__equal"])
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """Candidate links of buckets that fit a task."""
+    return rows.select("__key", "__rep", "__sk").repartition("__key").sortWithinPartitions("__key").mapInArrow(compare_buckets, "a long, b long")
 
 
 def candidates(sets: DataFrame) -> DataFrame:
     """Candidate links (a, b) between sets(__rep, __sk, __keys)."""
     first = sets.select("__rep", F.explode("__keys").alias("__key"))
-    sized = with_size(first)
-    rows = cut(sized.join(sets.select("__rep", "__sk"), "__rep"))
-    found = None
-    for level in range(DEPTH):
-        small = rows.where(F.col("__n") <= LIMIT).select("__key", "__rep", "__sk")
-        links = small.repartition("__key").sortWithinPartitions("__key").mapInArrow(compare_buckets, "a long, b long")
-        links = cut(links)
-        found = links if found is None else found.unionByName(links)
+    rows = cut(with_size(first).join(sets.select("__rep", "__sk"), "__rep"))
+    found = compared(rows.where(F.col("__n") <= LIMIT))
+    for _ in range(DEPTH):
         large = rows.where(F.col("__n") > LIMIT)
         if large.limit(1).count() == 0:
             return found
         large = large.select("__key", "__rep", "__sk")
-        leaders = large.groupBy("__key").agg(F.min(F.struct(F.xxhash64("__key", "__rep").alias("h"), F.col("__rep").alias("r"), F.col("__sk").alias("k"))).alias("l"))
-        led = large.join(leaders.select("__key", F.col("l.r").alias("__leader"), F.col("l.k").alias("__lsk")), "__key")
-        led = cut(led.mapInArrow(compare_leaders, "__key long, __rep long, __sk binary, __leader long, __equal int"))
+        leaders = large.groupBy("__key").agg(F.min(F.struct(F.xxhash64(F.pmod("__key", F.lit(LEADER_ORDERS)), "__rep").alias("h"), F.col("__rep").alias("r"), F.col("__sk").alias("k"))).alias("l"))
+        leaders = cut(leaders.select("__key", F.col("l.r").alias("__leader"), F.col("l.k").alias("__lsk")))
+        led = cut(large.join(leaders, "__key").mapInArrow(compare_leaders, "__key long, __rep long, __sk binary, __leader long, __equal int"))
         found = found.unionByName(led.where(F.col("__equal") >= NEAR).select(F.col("__leader").alias("a"), F.col("__rep").alias("b")))
-        further = led.where((F.col("__equal") < REST) & (F.col("__rep") != F.col("__leader")))
-        child = further.select("__rep", "__sk", F.explode(F.array(*[F.xxhash64("__key", F.lit(j)) for j in range(BRANCH)])).alias("__node"))
+        further = led.where(F.col("__equal") < REST)
+        one, two = F.xxhash64("__key", F.lit(0)), F.xxhash64("__key", F.lit(1))
+        twice = F.pmod(two, F.lit(1000)) < int(1000 * SECOND)
+        child = further.select("__rep", "__sk", F.explode(F.when(twice, F.array(one, two)).otherwise(F.array(one))).alias("__node"))
         at = F.pmod(F.col("__node"), F.lit(T)).cast("int")
-        child = child.select("__rep", "__sk", F.xxhash64("__node", F.substring(F.col("__sk"), at + 1, F.lit(1))).alias("__key"))
-        rows = cut(with_size(child))
-    deep = rows.select("__key", "__rep", "__sk", "__n")
-    # What is still large after DEPTH levels is compared in blocks: each set with the leaders of its bucket's blocks.
-    blocks = deep.withColumn("__block", F.pmod(F.xxhash64("__rep"), F.greatest(F.col("__n") / LIMIT, F.lit(1)).cast("long")))
-    n_blocks = F.greatest(F.col("__n") / LIMIT, F.lit(1)).cast("int")
-    paired = blocks.withColumn("__other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    keyed = paired.select(F.xxhash64("__key", F.least("__block", "__other"), F.greatest("__block", "__other")).alias("__key"), "__rep", "__sk")
-    links = keyed.repartition("__key").sortWithinPartitions("__key").mapInArrow(compare_buckets, "a long, b long")
-    return found.unionByName(cut(links))
+        rows = cut(with_size(child.select("__rep", "__sk", F.xxhash64("__node", F.substring(F.col("__sk"), at + 1, F.lit(1))).alias("__key"))))
+        found = found.unionByName(compared(rows.where(F.col("__n") <= LIMIT)))
+    # What is still large after DEPTH levels meets in blocks of its bucket, each pair of blocks in one task.
+    n_blocks = F.ceil(F.col("__n") / LIMIT).cast("long")
+    deep = rows.where(F.col("__n") > LIMIT).withColumn("__block", F.pmod(F.xxhash64("__rep"), n_blocks))
+    deep = deep.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+    return found.unionByName(compared(deep.withColumn("__key", F.xxhash64("__key", F.least("__block", "__other"), F.greatest("__block", "__other")))))
 
 
-VERIFIED = "__rep long, __root long, __links long"
+VERIFIED = "__rep long, __root long, __links long, __whole boolean"
 
 
 def verify(table: pa.Table) -> pa.Table:
@@ -221,7 +229,7 @@ def verify(table: pa.Table) -> pa.Table:
         near &= side[:, None] != side[None, :]
     roots = {int(b): a for a, b in forest(ids, near)}
     links = (near * times[None, :]).sum(axis=1)
-    return pa.table({"__rep": pa.array(ids, pa.int64()), "__root": pa.array([roots.get(int(i), int(i)) for i in ids], pa.int64()), "__links": pa.array(links, pa.int64())})
+    return pa.table({"__rep": pa.array(ids, pa.int64()), "__root": pa.array([roots.get(int(i), int(i)) for i in ids], pa.int64()), "__links": pa.array(links, pa.int64()), "__whole": table.column("__nb").combine_chunks().cast(pa.int64()).to_numpy() == 1})
 
 
 def exact(docs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -232,7 +240,7 @@ def exact(docs: DataFrame, parts: DataFrame) -> DataFrame:
     with_text = dealt.join(docs.select(F.col("doc_id").alias("__rep"), "text"), "__rep")
     pairs = with_text.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)))
     pairs = pairs.withColumns({"__i": F.least("__block", "__other"), "__j": F.greatest("__block", "__other")})
-    pairs = pairs.select("__part", "__i", "__j", "__block", "__rep", "__times", "text")
+    pairs = pairs.select("__part", "__i", "__j", "__block", "__nb", "__rep", "__times", "text")
     return pairs.groupBy("__part", "__i", "__j").applyInArrow(verify, VERIFIED)
 
 
@@ -247,7 +255,10 @@ def join(docs: DataFrame) -> DataFrame:
     parts = sets.select("__rep", "__times").join(parts.select(F.col("node").alias("__rep"), F.col("root").alias("__part")), "__rep")
     found = cut(exact(docs, parts))
     links = found.groupBy("__rep").agg(F.sum("__links").alias("__links"))
-    classes = components(found.select(F.col("__root").alias("a"), F.col("__rep").alias("b")))
+    classes = found.where("__whole").select(F.col("__rep").alias("node"), F.col("__root").alias("root"))
+    parted = found.where("not __whole and __root <> __rep").select(F.col("__root").alias("a"), F.col("__rep").alias("b"))
+    if parted.limit(1).count():
+        classes = classes.unionByName(components(parted))
     told = sets.select("__set", "__rep", "__times").join(links, "__rep", "left").join(classes.withColumnRenamed("node", "__rep"), "__rep", "left")
     told = told.select("__set", F.coalesce("root", "__rep").alias("class_id"), (F.col("__times") - 1 + F.coalesce("__links", F.lit(0))).alias("n_links"))
     out = sig.select("doc_id", "__set").join(cut(told), "__set", "left")
