@@ -105,3 +105,16 @@ def test_components(spark, links):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert {r["node"]: r["root"] for r in components(df).collect()} == root
+
+
+def test_repeated_rows_are_copies(spark):
+    rng = random.Random(8)
+    base = prose(rng, 60)
+    texts = [None, "", base, edited(rng, base, 1), prose(rng, 40), "one two"]
+    docs = table(spark, texts)
+    once, twice = got(chosen_path.join(docs)), chosen_path.join(docs.union(docs)).collect()
+    assert len(twice) == 12
+    for r in twice:
+        c, n = once[r["doc_id"]]
+        assert (r["class_id"], r["n_links"]) == (c, 2 * n + 1 if texts[r["doc_id"]] else 0)
+    assert sorted(r["doc_id"] for r in chosen_path.distinct(docs.union(docs)).collect()) == sorted(r["doc_id"] for r in chosen_path.distinct(docs).collect())
