@@ -40,6 +40,8 @@ LENGTH, GRAM = 100, 32
 WIDTH = LENGTH - GRAM + 1
 _PLACE = np.uint64((1 << 24) - 1)
 _SLICE = 1 << 22
+#: Contexts of so many anchors are held at once, of one long text too.
+ANCHORS_AT_ONCE = 200_000
 #: Groups are dealt in so many buckets for each shuffle partition.
 BUCKETS_PER_PARTITION = 4
 
@@ -99,7 +101,11 @@ def deal(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def deal_grams(docs: DataFrame, buckets: int) -> DataFrame:
-    """Step 1, map side: blobs of (gram, document, number of the anchor in it) by bucket."""
+    """Step 1, map side: blobs of (gram, document, number of the anchor in it) by bucket.
+
+    A gram that a chunk holds several times is sent twice only; its anchors in the
+    chunk are known to be repeated and go along by document.
+    """
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -112,10 +118,17 @@ def deal_grams(docs: DataFrame, buckets: int) -> DataFrame:
                     owners.append(np.full(len(g), doc, np.int64))
                     numbers.append(np.arange(len(g), dtype=np.uint32))
                 g, o, k = np.concatenate(grams), np.concatenate(owners), np.concatenate(numbers)
+                _, first, at, n = np.unique(g, return_index=True, return_inverse=True, return_counts=True)
+                again = n[at] > 1
+                sent = np.sort(np.concatenate((first, first[n > 1])))  # twice in the chunk: the gram is sent twice, its anchors are certain
                 rows = []
-                for kind, at in split_by(bucket_of(g, buckets)):
+                for kind, at in split_by(bucket_of(g[sent], buckets)):
+                    at = sent[at]
                     step = np.diff(o[at], prepend=np.int64(0))
-                    rows.append((kind, len(at).to_bytes(4, "little") + pack48(g[at]) + squeeze.compress(step.tobytes() + k[at].tobytes())))
+                    rows.append((kind, b"G" + len(at).to_bytes(4, "little") + pack48(g[at]) + squeeze.compress(step.tobytes() + k[at].tobytes())))
+                o, k = o[again], k[again]
+                for kind, at in split_by(bucket_of(mix(o.astype(np.uint64)), buckets)):
+                    rows.append((kind, b"R" + squeeze.compress(o[at].tobytes() + k[at].tobytes())))
                 yield deal(rows)
 
     return docs.select("doc_id", "text").mapInArrow(run, "__bucket long, __blob binary")
@@ -123,18 +136,25 @@ def deal_grams(docs: DataFrame, buckets: int) -> DataFrame:
 
 def repeated(table: pa.Table) -> pa.Table:
     """Step 1, reduce side: the anchors whose gram is seen twice or more, by document."""
-    grams, owners, numbers = [], [], []
+    grams, owners, numbers, ready = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint32)], []
     for blob in table.column("__blob").to_pylist():
-        n = int.from_bytes(blob[:4], "little")
-        rest = zstandard.decompress(blob[4 + 6 * n :])
-        grams.append(unpack48(blob[4 : 4 + 6 * n]))
+        if blob[:1] == b"R":
+            rest = zstandard.decompress(blob[1:])
+            n = len(rest) // 12
+            ready.append((np.frombuffer(rest, np.int64, n), np.frombuffer(rest, np.uint32, n, 8 * n)))
+            continue
+        n = int.from_bytes(blob[1:5], "little")
+        rest = zstandard.decompress(blob[5 + 6 * n :])
+        grams.append(unpack48(blob[5 : 5 + 6 * n]))
         owners.append(np.cumsum(np.frombuffer(rest[: 8 * n], np.int64)))
         numbers.append(np.frombuffer(rest[8 * n :], np.uint32))
     g, o, k = np.concatenate(grams), np.concatenate(owners), np.concatenate(numbers)
     order = g.argsort(kind="stable")
-    same = g[order][1:] == g[order][:-1]
-    twice = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-    return by_document(o[twice], k[twice][:, None])
+    g = g[order]
+    same = g[1:] == g[:-1]
+    twice = order[(np.concatenate(([False], same)) | np.concatenate((same, [False])))[: len(order)]]
+    o, k = np.concatenate([o[twice], *(r[0] for r in ready)]), np.concatenate([k[twice], *(r[1] for r in ready)])
+    return by_document(o, k[:, None])
 
 
 def by_document(owner: np.ndarray, values: np.ndarray) -> pa.Table:
@@ -171,34 +191,40 @@ def deal_contexts(docs: DataFrame, buckets: int) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in chunks(batch, "__z"):
-                grams, owners, starts, contexts = [], [], [], []
+                held: list[tuple] = []
+                size = 0
                 for doc, z, values in zip(*(part.column(c).to_pylist() for c in ("doc_id", "__z", "__values"))):
                     data = zstandard.decompress(z) if z else b""
                     g, a, b = anchors(data)
                     k = np.unique(np.frombuffer(b"".join(values), "<u4"))
                     k = k[k < len(g)]
-                    grams.append(g[k])
-                    owners.append(np.full(len(k), doc, np.int64))
-                    starts.append(a[k])
-                    contexts += [data[x : y + LENGTH] for x, y in zip(a[k].tolist(), b[k].tolist())]
-                if not contexts:
-                    continue
-                g, o, s = np.concatenate(grams), np.concatenate(owners), np.concatenate(starts)
-                order = np.lexsort((s, o))
-                firsts, ready = collapse(g[order].tolist(), o[order].tolist(), s[order].tolist(), [contexts[i] for i in order.tolist()])
-                sent = order[firsts]
-                rows = []
-                for kind, at in split_by(bucket_of(g[sent], buckets)):
-                    at = sent[at]
-                    at = at[g[at].argsort(kind="stable")]
-                    own = [contexts[i] for i in at.tolist()]
-                    sizes = np.array([len(c) for c in own], np.uint8)
-                    body = pack48(g[at]) + o[at].tobytes() + s[at].astype("<u4").tobytes() + sizes.tobytes() + b"".join(own)
-                    rows.append((kind, squeeze.compress(b"C" + len(at).to_bytes(4, "little") + body)))
-                if len(ready):
-                    for kind, at in split_by(bucket_of(mix(ready[:, 0].astype(np.uint64)), buckets)):
-                        rows.append((kind, squeeze.compress(b"M" + ready[at].tobytes())))
-                yield deal(rows)
+                    for at in np.array_split(k, len(k) // ANCHORS_AT_ONCE + 1):
+                        held.append((g[at], np.full(len(at), doc, np.int64), a[at], [data[x : y + LENGTH] for x, y in zip(a[at].tolist(), b[at].tolist())]))
+                        size += len(at)
+                        if size >= ANCHORS_AT_ONCE:
+                            yield deal(blobs(held, squeeze))
+                            held, size = [], 0
+                if size:
+                    yield deal(blobs(held, squeeze))
+
+    def blobs(held: list[tuple], squeeze) -> list[tuple[int, bytes]]:
+        g, o, s = (np.concatenate([h[i] for h in held]) for i in range(3))
+        contexts = [c for h in held for c in h[3]]
+        order = np.lexsort((s, o))
+        firsts, ready = collapse(g[order].tolist(), o[order].tolist(), s[order].tolist(), [contexts[i] for i in order.tolist()])
+        sent = order[firsts]
+        rows = []
+        for kind, at in split_by(bucket_of(g[sent], buckets)):
+            at = sent[at]
+            at = at[g[at].argsort(kind="stable")]
+            own = [contexts[i] for i in at.tolist()]
+            sizes = np.array([len(c) for c in own], np.uint8)
+            body = pack48(g[at]) + o[at].tobytes() + s[at].astype("<u4").tobytes() + sizes.tobytes() + b"".join(own)
+            rows.append((kind, squeeze.compress(b"C" + len(at).to_bytes(4, "little") + body)))
+        if len(ready):
+            for kind, at in split_by(bucket_of(mix(ready[:, 0].astype(np.uint64)), buckets)):
+                rows.append((kind, squeeze.compress(b"M" + ready[at].tobytes())))
+        return rows
 
     return docs.mapInArrow(run, "__bucket long, __blob binary")
 

@@ -87,6 +87,11 @@ def test_index_lengths_equal_direct_comparison():
     assert len(index.heads) <= len(index.text)
 
 
+def test_a_long_text_of_one_character(spark, monkeypatch):
+    texts = {1: "a" * 30_000, 2: "b" * 99 + "a" * 150, 3: "ab" * 9_000}
+    assert got(run_index.report(table(spark, texts))) == brute(texts)
+
+
 def test_slices_of_long_texts(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 101, 5000, dtype=np.uint8).tobytes()
