@@ -54,7 +54,7 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_bpe_round_trip, op3_token_counts, op4_host_rules, op5_fair_mix, op6_line_templates, op7_jaccard_join, op8_media_columns, op9_pii, op10_run_index)}
-SQL = {"op4_host_rules": registry_sql.OP4, "op6_line_templates": registry_sql.OP6}
+SQL = {"op4_host_rules": registry_sql.OP4, "op6_line_templates": registry_sql.OP6, "op7_jaccard_join": registry_sql.OP7, "op10_run_index": registry_sql.OP10}
 
 
 def queries() -> dict:

@@ -69,3 +69,47 @@ WITH l AS (
 SELECT documents.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(txt, '')) AS kept_sha256
 FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN c ON c.doc_id = documents.doc_id LEFT JOIN kept ON kept.doc_id = documents.doc_id
 """
+
+OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, list_slice(ws, i, i + 4) AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 9 * c >= 4 * (na.n + nb.n)
+), r AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node
+), k AS (
+  SELECT a, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT node AS doc_id, min(root) AS class_id, coalesce(any_value(n_links), 0)::BIGINT AS n_links FROM r LEFT JOIN k ON k.a = r.node GROUP BY node
+"""
+
+OP10 = r"""
+WITH t AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), g AS (
+  SELECT doc_id, i, array_slice(b, i, i + 99) AS win FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM t WHERE octet_length(b) >= 100)
+), m AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM g) WHERE r > 1
+), o AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM m
+), k AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o
+), runs AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 99 AS z FROM k GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS s, a - 1 AS e FROM runs
+  UNION ALL SELECT doc_id, 4000000000, max(z) + 1, 4000000000 FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT gaps.doc_id, string_agg(CASE WHEN e < s OR s > octet_length(b) THEN '' ELSE hex(array_slice(b, s, least(e, octet_length(b)))) END, '' ORDER BY a) AS h FROM gaps JOIN t ON t.doc_id = gaps.doc_id GROUP BY gaps.doc_id
+), c AS (
+  SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id
+)
+SELECT t.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, CASE WHEN h IS NULL THEN sha256(b) ELSE sha256(unhex(h)) END AS kept_sha256
+FROM t LEFT JOIN c ON c.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
