@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import vec
 
 TOP, SIGMA = 10, 3.0
-#: A codebook is broadcast up to so many words; beyond it is dealt in blocks.
-BROADCAST_WORDS = 10_000
+#: A codebook is broadcast up to so many words; beyond, each superpixel meets it in blocks of BLOCK_WORDS.
+BROADCAST_WORDS, BLOCK_WORDS = 10_000, 1024
 
 
 def votes(features: DataFrame, codebook: DataFrame, k: int = TOP, metric: Column | None = None) -> DataFrame:
@@ -19,11 +19,17 @@ def votes(features: DataFrame, codebook: DataFrame, k: int = TOP, metric: Column
     one row; the nearest words are cut from the sorted array before rows are made.
     """
     entries = F.array_sort(F.collect_list(F.struct("word", "center")))
-    books = codebook.groupBy("type").agg(entries.alias("book"))
-    n = codebook.count()
-    x = features.join(F.broadcast(books) if n <= BROADCAST_WORDS else books, "type")
     measure = (lambda c: vec.euclidean(F.col("feat"), c)) if metric is None else (lambda c: vec.mahalanobis(F.col("feat"), c, metric))
     near = F.slice(F.array_sort(F.transform("book", lambda b: F.struct(measure(b["center"]).alias("distance"), b["word"].alias("word")))), 1, k)
+    if codebook.count() <= BROADCAST_WORDS:
+        x = features.join(F.broadcast(codebook.groupBy("type").agg(entries.alias("book"))), "type")
+    else:
+        books = codebook.groupBy("type", F.floor(F.col("word") / BLOCK_WORDS).alias("block")).agg(entries.alias("book"))
+        n_blocks = int(codebook.agg(F.max("word")).first()[0]) // BLOCK_WORDS + 1
+        dealt = features.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+        x = dealt.join(books, ["type", "block"]).select("image_id", "sp", "type", near.alias("part"))
+        x = x.groupBy("image_id", "sp", "type").agg(F.flatten(F.collect_list("part")).alias("all"))
+        near = F.slice(F.array_sort("all"), 1, k)
     x = x.select("image_id", "sp", "type", F.posexplode(near).alias("p", "v"))
     return x.select("image_id", "sp", "type", F.col("v.word").alias("word"), F.col("v.distance").alias("distance"), (F.col("p") + 1).alias("rank"))
 

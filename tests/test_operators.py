@@ -299,6 +299,17 @@ def test_votes_prefer_near_then_low_words(spark):
     assert [r["distance"] for r in bow.votes(f, c, 2, m).orderBy("rank").collect()] == [1.0, 2.0]
 
 
+def test_a_large_codebook_is_met_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    f = spark.createDataFrame([(i, 0, "HOG", [float(v) for v in r.normal(size=2)]) for i in range(20)], "image_id long, sp int, type string, feat array<double>")
+    c = spark.createDataFrame([("HOG", w, [float(v) for v in r.normal(size=2)]) for w in range(50)], "type string, word int, center array<double>")
+    key = lambda r: (r["image_id"], r["rank"], r["word"], round(r["distance"], 9))
+    want = sorted(map(key, bow.votes(f, c, 4).collect()))
+    monkeypatch.setattr(bow, "BROADCAST_WORDS", 10)
+    monkeypatch.setattr(bow, "BLOCK_WORDS", 8)
+    assert sorted(map(key, bow.votes(f, c, 4).collect())) == want and len(want) == 80
+
+
 def test_vectors(spark):
     r = spark.createDataFrame([([3.0, 4.0], [1.0, 2.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>")
     x = r.select(vec.l2_normalise(F.col("a")).alias("n"), vec.l2_normalise(F.col("z")).alias("nan"), vec.euclidean(F.col("a"), F.col("b")).alias("e"), vec.mahalanobis(F.col("a"), F.col("b"), vec.matrix([[1, 0], [0, -9]])).alias("m"), vec.hellinger(F.col("a")).alias("h"), F.array(*vec.opq([F.col("a"), F.col("b"), F.array(F.lit(5.0), F.lit(6.0))], vec.matrix(np.eye(8).tolist()), 4)).alias("o")).first()
