@@ -19,7 +19,8 @@ classes.
 
 Null texts and texts without words have no shingles: each is a class of its own
 without links. Texts under five words are one shingle. doc_id names a row: rows that
-repeat an id and its text are copies of each other. Extra columns stay in ``distinct``.
+repeat an id and its text are copies of each other; rows without an id have no class
+and no links, and stay. Extra columns stay in ``distinct``.
 """
 
 from __future__ import annotations
@@ -272,4 +273,5 @@ def distinct(docs: DataFrame) -> DataFrame:
     stay = join(docs.select("doc_id", "text")).where("doc_id = class_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
     stay = cut(stay)
     left = docs.join(stay, docs["doc_id"] == stay["__id"], "left_semi")
-    return left.dropDuplicates(["doc_id"]) if stay.where("__rows > 1").limit(1).count() else left
+    left = left.dropDuplicates(["doc_id"]) if stay.where("__rows > 1").limit(1).count() else left
+    return left.unionByName(docs.where("doc_id is null"))

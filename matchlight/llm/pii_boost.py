@@ -42,6 +42,9 @@ LABELLED_ROWS = 480
 ROUNDS, SHRINK, PRECISION, SEED = 20, 0.4, 0.98, 7
 
 
+KINDS = (*BASE_KINDS, *(g[0] for g in GENERATORS))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Start, end and text of each match, in code points: lengths of matches and of what stands between, accumulated."""
 
@@ -254,10 +257,10 @@ def told(kind: str, found: Column) -> Column:
     return F.transform(found, lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, the base spans by kind, all spans by kind (arrays of start, end, text)."""
+def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, and the spans by kind (arrays of start, end, text) of every document."""
     trees, limits = model(docs.sparkSession)
-    x = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
+    x = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
     x = x.withColumns({f"__{k}": v for k, v in base_spans(F.col("__text")).items()})
     blank = F.col("__text")
     for k in BASE_KINDS:
@@ -267,7 +270,7 @@ def find(docs: DataFrame) -> DataFrame:
         x = x.withColumn(f"__{kind}", chosen(F.col("__text"), blank, kind, pattern, need, trees, limits.get(kind, math.inf)))
         x = x.withColumn(f"__b_{kind}", blanked(blank, F.col(f"__{kind}")))
         blank = F.col(f"__b_{kind}")
-    return x.select("doc_id", *[F.col(f"__{k}").alias(k) for k in (*BASE_KINDS, *(g[0] for g in GENERATORS))])
+    return x.select(*keep, *[F.col(f"__{k}").alias(k) for k in KINDS])
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -277,3 +280,24 @@ def report(docs: DataFrame) -> DataFrame:
     every = F.concat(base, *[told(g[0], F.col(g[0])) for g in GENERATORS])
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return x.select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """doc_id and the text with every found span replaced by its kind in brackets; of overlapping spans the first one's kind stands for all. A null text stays null."""
+    x = find(docs, ("doc_id", "text"))
+
+    def named(kind: str) -> Column:
+        return F.transform(kind, lambda v: F.struct(v["s"].alias("s"), v["e"].alias("e"), F.lit(kind).alias("k")))
+
+
+    def over(ordered: Column) -> Column:
+        def step(state: Column, v: Column) -> Column:
+            apart = v["s"] >= state["at"]
+            parts = F.array(F.substring(F.col("text"), state["at"] + 1, v["s"] - state["at"]), F.concat(F.lit("["), v["k"], F.lit("]")))
+            return F.struct(F.greatest(state["at"], v["e"]).alias("at"), F.when(apart, F.concat(state["out"], parts)).otherwise(state["out"]).alias("out"))
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(ordered, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+
+    every = F.array_sort(F.concat(*map(named, KINDS)))
+    return x.select("doc_id", F.when(F.size(every) == 0, F.col("text")).otherwise(let(every, over)).alias("text"))

@@ -17,7 +17,8 @@ the corpus falls apart into independent groups by gram:
 
 Texts are UTF-8; null counts as empty; texts under LENGTH bytes keep all. Windows
 never cross documents. doc_id orders documents and names a text: rows that repeat an
-id and its text are one place and get equal results. Other columns are ignored.
+id and its text are one place and get equal results; rows without an id keep all and
+cover nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -391,7 +392,7 @@ def marked(docs: DataFrame) -> DataFrame:
     """doc_id, __z and __values: blobs of the (start, end) ranges to cut, null where there are none."""
     docs = docs.select("doc_id", "text")
     buckets = min(1 << 16, BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    grams = deal_grams(docs, buckets).groupBy("__bucket").applyInArrow(repeated, "doc_id long, __values binary")
+    grams = deal_grams(docs.where("doc_id is not null"), buckets).groupBy("__bucket").applyInArrow(repeated, "doc_id long, __values binary")
     asked = grams.groupBy("doc_id").agg(F.collect_list("__values").alias("__values"))
     texts = packed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     contexts = deal_contexts(texts.join(asked, "doc_id"), buckets)

@@ -249,6 +249,12 @@ def test_added_spans_and_clean_texts(spark):
     assert [got[i]["spans"] for i in (3, 4, 5)] == ["", "", ""]
 
 
+def test_redaction(spark):
+    texts = [None, "no data é", "é mail a@b.cc, +1 (988) 555-2485 and 10.0.0.1; password=b7db7aa4a5fcc78305 end", "a@b.cc"]
+    got = {r["doc_id"]: r["text"] for r in pii_boost.redact(table(spark, texts)).collect()}
+    assert got == {0: None, 1: texts[1], 2: "é mail [email], [phone] and [ip]; [secret] end", 3: "[email]"}
+
+
 def test_trees_on_held_out_rows(spark):
     trees, limits = pii_boost.model(spark)
     assert len(trees) == pii_boost.ROUNDS and all(v < float("inf") for v in limits.values())
