@@ -44,7 +44,7 @@ _SLICE = 1 << 22
 #: Contexts of so many anchors are held at once, of one long text too.
 ANCHORS_AT_ONCE = 200_000
 #: Groups are dealt in so many buckets for each shuffle partition.
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 8
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
