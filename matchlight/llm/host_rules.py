@@ -25,6 +25,8 @@ REPEAT_PERCENT = 30
 #: A text with a symbol for every so many words, or fewer, fails.
 WORDS_PER_SYMBOL = 4
 SYMBOLS = "#*$%&|<>"
+#: A text of which more words than this equal the word before fails.
+STUTTER_PERCENT = 30
 #: Hosts with a shrunk failure rate of this or more are rejected whole.
 HOST_LIMIT = 0.5
 #: Strength of the prior where the hosts' rates do not vary or there is one host only.
@@ -63,7 +65,8 @@ def figures(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def of_words(tokens: Column) -> Column:
-        return F.struct(F.size(tokens).cast("long").alias("n_words"), repeated_words(tokens).cast("long").alias("n_repeat_words"))
+        stutter = F.size(F.filter(tokens, lambda w, i: F.coalesce(F.get(tokens, i - 1) == w, F.lit(False))))
+        return F.struct(F.size(tokens).cast("long").alias("n_words"), repeated_words(tokens).cast("long").alias("n_repeat_words"), stutter.alias("n_stutter"))
 
     def of_lines(lines: Column) -> Column:
         return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
@@ -83,9 +86,10 @@ def rated(docs: DataFrame, text: str = "text", host: str = "source", columns: li
     w = F.col("__q.w")
     base = (w["n_words"] < MIN_WORDS) | (100 * w["n_repeat_words"] > REPEAT_PERCENT * w["n_words"])
     symbols = WORDS_PER_SYMBOL * F.col("__q.n_symbols") > w["n_words"]
+    stutter = 100 * w["n_stutter"] > STUTTER_PERCENT * w["n_words"]
     q = F.struct(
         w["n_words"].alias("n_words"), F.col("__q.word_chars").alias("word_chars"), F.col("__q.n_symbols").alias("n_symbols"),
-        F.col("__q.n_dup_lines").alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"), base.alias("base_failed"), (base | symbols).alias("failed"),
+        F.col("__q.n_dup_lines").alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"), base.alias("base_failed"), (base | symbols | stutter).alias("failed"),
     )
     return cut(x.withColumn("__q", q))
 

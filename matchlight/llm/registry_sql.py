@@ -20,11 +20,11 @@ WITH w AS (
          length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(list_filter(ws, lambda x, i: i > 1 AND x = ws[i - 1])) AS n_stutter
   FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id
 ), j AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-         n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 4 * n_symbols > n_words AS failed
+         n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 4 * n_symbols > n_words OR 100 * n_stutter > 30 * n_words AS failed
   FROM m
 ), h AS (
   SELECT source, count(*) AS n, sum(failed::INT) AS f FROM j GROUP BY source

@@ -36,6 +36,8 @@ def corpus(seed=3):
             lines.append("a b c d e f g h " * rng.randint(2, 9))
         if i % 11 == 0:
             lines.append("### $$$ " * 20)
+        if i % 13 == 0:
+            lines = [f"w{j} " * 7 for j in range(6)]
         texts.append("\n".join(lines))
     return texts
 
@@ -54,6 +56,12 @@ def brute_figures(text):
     return {"n_words": len(ws), "word_chars": sum(map(len, ws)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(hit)}
 
 
+def brute_failed(text):
+    f, ws = brute_figures(text), words(text)
+    n = len(ws)
+    return n < 20 or 100 * f["n_repeat_words"] > 30 * n or 4 * f["n_symbols"] > n or 100 * sum(a == b for a, b in zip(ws, ws[1:])) > 30 * n
+
+
 def test_quality_figures_and_verdicts(spark):
     texts = corpus()
     docs = table(spark, texts)
@@ -65,7 +73,7 @@ def test_quality_figures_and_verdicts(spark):
         assert {k: got[r["doc_id"]][k] for k in f} == f
         base = f["n_words"] < 20 or 100 * f["n_repeat_words"] > 30 * f["n_words"]
         assert got[r["doc_id"]]["base_failed"] == base
-        fails[r["source"]].append((r["doc_id"], base or 4 * f["n_symbols"] > f["n_words"]))
+        fails[r["source"]].append((r["doc_id"], brute_failed(r["text"])))
     rates = [sum(x for _, x in v) / len(v) for v in fails.values()]
     mean = sum(rates) / len(rates)
     a, b = host_rules.prior(mean, sum((x - mean) ** 2 for x in rates) / len(rates))

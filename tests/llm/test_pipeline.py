@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_join import brute as brute_join
-from test_native import brute_figures, brute_targets, brute_templates, words
+from test_native import brute_failed, brute_targets, brute_templates, words
 
 import corpus_pipeline
 from matchlight.llm import bpe_tree, fair_mix, host_rules, template_tree
@@ -42,8 +42,7 @@ def test_pipeline(spark, tmp_path):
 
     fails = defaultdict(list)
     for r in rows:
-        f = brute_figures(r[1])
-        fails[r[3]].append(f["n_words"] < 20 or 100 * f["n_repeat_words"] > 30 * f["n_words"] or 4 * f["n_symbols"] > f["n_words"])
+        fails[r[3]].append(brute_failed(r[1]))
     rates = [sum(v) / len(v) for v in fails.values()]
     mean = sum(rates) / len(rates)
     a, b = host_rules.prior(mean, sum((x - mean) ** 2 for x in rates) / len(rates))
