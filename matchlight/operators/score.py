@@ -2,32 +2,74 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vec
 
 #: Probes in a block; a block is one row of the small side.
 BLOCK = 256
-#: So many blocks at most are broadcast; more are dealt to the gallery's partitions by block.
+#: So many blocks at most go along with the tasks or are broadcast; more are dealt to the gallery's partitions by block.
 BROADCAST_BLOCKS = 8
 
 
-def score(probes: DataFrame, gallery: DataFrame, measure=vec.dot, columns=("id", "person", "cam")) -> DataFrame:
-    """probe and gallery columns with score for each pair of a probe and a gallery row.
+#: Measures that numpy computes for a batch of gallery rows and one probe.
+KERNELS = {
+    vec.dot: lambda g, p: (g * p).sum(axis=1),
+    vec.squared_distance: lambda g, p: ((g - p) ** 2).sum(axis=1),
+    vec.euclidean: lambda g, p: np.sqrt(((g - p) ** 2).sum(axis=1)),
+}
+#: Gallery rows that meet all probes at once.
+ROWS = 512
+
+
+def score_small(probes: DataFrame, gallery: DataFrame, measure, columns) -> DataFrame:
+    """As score, for at most BROADCAST_BLOCKS * BLOCK probes: they go along with the tasks and numpy compares."""
+    kernel = KERNELS[measure]
+    rows = probes.select(*columns, "x").collect()
+    table = pa.table({f"probe_{c}": pa.array([r[c] for r in rows], type=t) for c, t in zip(columns, to_arrow_schema(probes.select(*columns).schema).types)})
+    vectors = [np.array(r["x"], float) for r in rows]
+    g = gallery.select(*[F.col(c).alias(f"gallery_{c}") for c in columns], "x")
+    schema = StructType([StructField(f"probe_{c}", probes.schema[c].dataType) for c in columns] + g.drop("x").schema.fields + [StructField("score", DoubleType())])
+    target = to_arrow_schema(schema)
+
+    def run(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                b = whole.slice(first, ROWS)
+                x = np.array(b.column("x").to_pylist(), float)
+                scores = np.stack([kernel(x, p) for p in vectors], axis=1) if vectors else np.empty((len(x), 0))
+                n, k = scores.shape
+                left = table.take(pa.array(np.tile(np.arange(k), n)))
+                right = pa.Table.from_batches([b]).drop_columns(["x"]).take(pa.array(np.repeat(np.arange(n), k)))
+                cells = [*left.columns, *right.columns, pa.chunked_array([pa.array(scores.ravel())])]
+                yield from pa.table(cells, names=target.names).cast(target).combine_chunks().to_batches()
+
+    return g.mapInArrow(run, schema)
+
+
+def score(probes: DataFrame, gallery: DataFrame, measure=vec.dot, columns=("id", "person", "cam"), keys: tuple[str, ...] = ()) -> DataFrame:
+    """probe and gallery columns with score for each pair of a probe and a gallery row (of equal keys, if there are any).
 
     Probes stand in blocks of BLOCK by a hash of their id. Each gallery row meets each
     block once, so a task holds one block however many probes there are.
     """
     n = probes.count()
     n_blocks = max(1, -(-n // BLOCK))
+    if n_blocks <= BROADCAST_BLOCKS and measure in KERNELS and not keys:
+        return score_small(probes, gallery, measure, columns)
     own = F.struct(*[F.col(c).alias(c) for c in columns], F.col("x").alias("x"))
-    blocks = probes.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(own).alias("probes"))
-    g = gallery.select(*[F.col(c).alias(f"gallery_{c}") for c in columns], F.col("x").alias("__gx"))
+    blocks = probes.groupBy(*keys, F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(own).alias("probes"))
+    g = gallery.select(*keys, *[F.col(c).alias(f"gallery_{c}") for c in columns], F.col("x").alias("__gx"))
     g = g.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    pairs = g.join(F.broadcast(blocks) if n_blocks <= BROADCAST_BLOCKS else blocks, "block")
-    pairs = pairs.select(*[c for c in g.columns if c not in ("block",)], F.explode("probes").alias("p"))
-    return pairs.select(*[F.col(f"p.{c}").alias(f"probe_{c}") for c in columns], *[f"gallery_{c}" for c in columns], measure(F.col("p.x"), F.col("__gx")).alias("score"))
+    pairs = g.join(F.broadcast(blocks) if n_blocks <= BROADCAST_BLOCKS else blocks, ["block", *keys])
+    pairs = pairs.select(*[f"gallery_{c}" for c in columns], "__gx", F.explode("probes").alias("p"))
+    pairs = pairs.select(*[F.col(f"p.{c}").alias(f"probe_{c}") for c in columns], *[f"gallery_{c}" for c in columns], "__gx", F.col("p.x").alias("__px"))
+    return pairs.select(*[c for c in pairs.columns if c not in ("__gx", "__px")], measure(F.col("__px"), F.col("__gx")).alias("score"))
 
 
 def expanded_distance(a: Column, b: Column) -> Column:
@@ -36,10 +78,19 @@ def expanded_distance(a: Column, b: Column) -> Column:
 
 
 def score_by_camera_pair(probes: DataFrame, gallery: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Distance under the metric of the pair of cameras: metrics(test_cam, query_cam, m), one row a pair of cameras."""
-    pairs = score(probes, gallery, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    x = pairs.join(F.broadcast(metrics) if metrics.count() <= 10_000 else metrics, (F.col("gallery_cam") == F.col("test_cam")) & (F.col("probe_cam") == F.col("query_cam")))
-    return x.withColumn("score", vec.mahalanobis(F.col("score.a"), F.col("score.b"), F.col("m"))).drop("m", "test_cam", "query_cam")
+    """Distance under the metric of the pair of cameras: metrics(test_cam, query_cam, m), one row a pair of cameras.
+
+    (a-b)' M (a-b) = a'Ma + b'Mb - 2 b'(Ma) for a symmetric M is one dot product of longer vectors, so the
+    metric is applied once to each row and pair of cameras, not to each pair of rows.
+    """
+    small = F.broadcast(metrics) if metrics.count() <= 10_000 else metrics
+    moved = vec.matvec(F.col("m"), F.col("x"))
+    p = probes.join(small, F.col("cam") == F.col("query_cam")).withColumn("y", moved)
+    p = p.withColumn("x", F.concat("y", F.array(vec.dot(F.col("x"), F.col("y")), F.lit(1.0))))
+    g = gallery.join(small, F.col("cam") == F.col("test_cam")).withColumn("q", vec.dot(F.col("x"), moved))
+    g = g.withColumn("x", F.concat(F.transform("x", lambda v: -2 * v), F.array(F.lit(1.0), F.col("q"))))
+    x = score(p, g, vec.dot, keys=("test_cam", "query_cam"))
+    return x.withColumn("score", F.sqrt(F.greatest("score", F.lit(0.0))))
 
 
 def mean_metric(metrics: DataFrame) -> DataFrame:

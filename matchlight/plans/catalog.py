@@ -577,7 +577,8 @@ def ldml_fit(spark, sf):
 
 @query()
 def lmnn_fit(spark, sf):
-    l, _ = learners.lmnn(reduced(spark, sf, 4), steps=3)
+    s = reduced(spark, sf, 4).withColumn("x", F.transform("x", lambda v: 10 * v))  # the margin is 1
+    l, _ = learners.lmnn(s, steps=3)
     return dense.cells(spark, l.T @ l)
 
 

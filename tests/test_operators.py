@@ -217,10 +217,13 @@ def test_cross_validation_over_folds(spark):
     assert all(0 <= r["eer"] < 0.5 for r in x.collect())
 
 
-def test_many_probe_blocks(spark):
+@pytest.mark.parametrize("most", [8, 2, 1])
+def test_many_probe_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(score, "BROADCAST_BLOCKS", most)
     rows = [(i, i % 3, i % 2, [float(i % 7), float(i % 5)]) for i in range(700)]
     s = spark.createDataFrame(rows, "id long, person int, cam int, x array<double>")
     got = {(r["probe_id"], r["gallery_id"]): r["score"] for r in score.score(s, s.where("id < 3")).collect()}
+    assert score.score(s.limit(0), s).count() == score.score(s, s.limit(0)).count() == 0
     assert len(got) == 2100 and all(v == sum(a * b for a, b in zip(rows[p][3], rows[g][3])) for (p, g), v in got.items())
 
 
