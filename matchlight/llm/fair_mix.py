@@ -73,7 +73,7 @@ def queued(rows: DataFrame) -> DataFrame:
     before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("__key", "__range", F.coalesce(F.sum("__in").over(before), F.lit(0)).alias("__before"))
     x = x.join(ranges, ["__key", "__range"])
-    inside = Window.partitionBy("__key", "__range").orderBy("__u", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__key", "__range").orderBy("__u", "doc_id")  # rows of one place end together
     x = x.withColumn("__cum", F.col("__before") + F.sum("__size").over(inside))
     time = lambda c: F.when(F.col("__target") > 0, c / F.col("__target")).otherwise(F.lit(0.0))
     x = x.withColumns({"__v0": time(F.col("__cum")), "__v1": time(F.col("__cum") + F.col("__sum"))})
