@@ -9,7 +9,7 @@ threshold live on and groups below it die out. Runs are repeated until a pair at
 threshold is lost in all of them with probability 1 - TARGET at most, DEPTH levels down
 (`loss`). Buckets of up to LIMIT sets are compared by brute force over the coordinates'
 low bytes. Larger buckets are compared with a leader: sets near it are linked to it, and
-all that are not clearly near go further down.
+all go further down but those so near that the leader stands for them.
 
 That gives candidate links, cut per bucket to a spanning forest. Their components are
 then compared exactly: a component is dealt in blocks, each pair of blocks is one
@@ -46,9 +46,10 @@ SECOND = 1 / THRESHOLD - 1
 LEADER_ORDERS = 3
 #: Least number of equal low bytes of T for a candidate: five deviations under what THRESHOLD gives.
 NEAR = int(T * (THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / T)))
-#: From so many equal bytes on, a set rests with the leader of a large bucket. A partner of it is then near the leader too, or
-#: under REST and not over NEAR by chance; that would have to happen in every bucket where both meet, each with a leader of its own.
-REST = int(T * 0.7)
+#: From so many equal bytes on, a set rests with the leader of a large bucket: a partner of it has, but for a
+#: probability of 1 - TARGET, at most 3.72 deviations fewer equal bytes than THRESHOLD gives, loses T - REST more to the leader, and is
+#: still NEAR it. All other sets go further down.
+REST = NEAR + T - int(T * (THRESHOLD - 3.72 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / T)))
 #: Sets in a block of the exact comparison; a component has at most MAX_BLOCKS blocks, larger ones beyond.
 BLOCK, MAX_BLOCKS = 128, 64
 

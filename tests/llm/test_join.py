@@ -74,6 +74,17 @@ def test_large_group_of_near_copies(spark):
     assert got(chosen_path.join(table(spark, texts))) == brute(texts)
 
 
+def test_excerpts_of_a_large_group(spark):
+    """An excerpt at 0.77 of a large group's leader, and an excerpt of it that is not near the leader and meets it in the large buckets only."""
+    texts = []
+    for seed in (744, 1135, 1424):
+        rng = random.Random(seed)
+        base = prose(rng, 200)
+        w = base.split()
+        texts += [edited(rng, base, 1) for _ in range(320)] + [" ".join(w[:155]), " ".join(w[:126])]
+    assert got(chosen_path.join(table(spark, texts))) == brute(texts)
+
+
 def test_near_the_threshold(spark):
     rng = random.Random(2)
     texts = []
