@@ -3,7 +3,8 @@
 ``scan`` gives one row per document. All phrases (the base ones, notices and the
 tags that introduce an expression) are found in one pass of an Aho-Corasick
 automaton over the lower-cased words of the whole text. Where a tag is found, the
-expression behind it is parsed with a shunting-yard parser and evaluated with
+longest valid expression behind it, up to the next tag or the end of the line, is
+parsed with a shunting-yard parser and evaluated with
 ``or`` as the best, ``and`` as the worst of its parts and ``with`` as an exception
 that lifts a copyleft licence.
 
@@ -43,7 +44,7 @@ NOTICES = {
 
 #: Words that introduce a licence expression, and the place of the expression in the text.
 TAGS = ("spdx license identifier", "license expression")
-EXPRESSION = re.compile(r"(?:SPDX-License-Identifier|License-Expression)[ \t]*[:=][ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
+EXPRESSION = re.compile(r"(?:SPDX-License-Identifier|License-Expression)[ \t]*[:=][ \t]*", re.IGNORECASE | re.ASCII)
 
 #: How freely a text under the licence can be used again, by the start of its label; 0.5 if unknown.
 FREEDOM = {
@@ -52,6 +53,8 @@ FREEDOM = {
     "mpl": 0.7, "epl": 0.65, "lgpl": 0.6, "agpl": 0.3, "gpl": 0.4, "proprietary": 0.0,
 }
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
+TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+|\S")
+LINE_END = re.compile(r"[\r\n]|\Z")
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -65,7 +68,7 @@ def to_postfix(expression: str) -> list[str] | None:
     out: list[str] = []
     stack: list[str] = []
     operand_next = True
-    for token in re.findall(r"[()]|[A-Za-z0-9.+:-]+|\S", expression):
+    for token in TOKEN.findall(expression):
         word = token.lower()
         if token == "(":
             if not operand_next:
@@ -96,6 +99,40 @@ def to_postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
+def leading(text: str, start: int = 0, stop: int | None = None) -> str:
+    """The longest valid expression that text begins with; a stop, colon or dash at the end of an operand ends it."""
+    end, depth, operand_next = start, 0, True
+    for m in TOKEN.finditer(text, start, len(text) if stop is None else stop):
+        token = m[0]
+        word = token.lower()
+        if token == "(":
+            if not operand_next:
+                break
+            depth += 1
+            continue
+        if token == ")":
+            if operand_next or not depth:
+                break
+            depth -= 1
+            last, ends = m.end(), False
+        elif word in PRECEDENCE:
+            if operand_next:
+                break
+            operand_next = True
+            continue
+        else:
+            bare = word.rstrip(".:-")
+            if not operand_next or not re.match(r"[a-z0-9]", bare):
+                break
+            operand_next = False
+            last, ends = m.start() + len(bare), bare != word
+        if not depth:
+            end = last
+        if ends:
+            break
+    return text[start:end]
+
+
 def evaluate(postfix: list[str]) -> tuple[set[str], float]:
     """Labels of a parsed expression and how freely it allows use again."""
     stack: list[tuple[set[str], float]] = []
@@ -140,8 +177,10 @@ def kernel(found: ahocorasick.Automaton):
                 places.append(line.count(b" ", 0, end - back + 1) - 1)
         expressions = 0
         if tagged:
-            for m in EXPRESSION.finditer(text):
-                postfix = to_postfix(m[1])
+            tags = list(EXPRESSION.finditer(text))
+            for m, after in zip(tags, [*(t.start() for t in tags[1:]), len(text)]):
+                stop = LINE_END.search(text, m.end(), after).start()
+                postfix = to_postfix(leading(text, m.end(), stop))
                 if postfix:
                     own, score = evaluate(postfix)
                     labels |= own

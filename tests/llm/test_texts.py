@@ -80,6 +80,26 @@ def test_shunting_yard(text, postfix):
     assert license_scan.to_postfix(text) == postfix
 
 
+@pytest.mark.parametrize(
+    "text, labels, n",
+    [
+        ("/* SPDX-License-Identifier: MIT */", "mit", 1),
+        ("<!-- SPDX-License-Identifier: Apache-2.0 OR MIT -->\nrest", "apache-2.0,mit", 1),
+        ("<!--SPDX-License-Identifier: GPL-2.0+-->", "gpl-2.0+", 1),
+        ("License-Expression: MIT is what we use", "mit", 1),
+        ("See License-Expression: (MIT OR ISC) AND BSD-3-Clause. Or ask", "bsd-3-clause,isc,mit", 1),
+        ("License-Expression: MIT AND (see below", "mit", 1),
+        ("SPDX-License-Identifier: MIT) SPDX-License-Identifier: ISC", "isc,mit", 2),
+        ("SPDX-License-Identifier: MIT OR SPDX-License-Identifier:\nISC", "mit", 1),
+        ("SPDX-License-Identifier: */ MIT", "", 0),
+        ("SPDX-License-Identifier: (MIT", "", 0),
+    ],
+)
+def test_expression_ends_where_it_cannot_go_on(text, labels, n):
+    got = license_scan.kernel(license_scan.automaton())(text)
+    assert (got[5], got[7]) == (labels, n)
+
+
 def test_expression_values():
     labels, score = license_scan.evaluate(license_scan.to_postfix("GPL-2.0 WITH Classpath AND MIT"))
     assert labels == {"gpl-2.0-with-classpath", "mit"} and score == 0.6
