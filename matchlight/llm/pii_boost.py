@@ -1,11 +1,12 @@
 """Personal data: validated patterns, and candidates chosen by boosted trees; DataFrame functions only.
 
 Four base kinds are found by pattern over the whole text and validated. Then loose
-generators propose further spans in what the base kinds left: obfuscated addresses,
-secrets behind a key word, and groups of digits. Gradient boosted trees score each
-proposal by its format and by the words before it; a proposal is taken if its score
-reaches the threshold of its generator, which is the lowest that keeps PRECISION on
-held-out labelled rows. The trees are fitted on LABELLED_ROWS rows made by a seeded
+generators propose further spans in what the base kinds left, which may overlap:
+obfuscated addresses, secrets behind a key word, groups of digits, and the known forms
+among these groups. Gradient boosted trees score each proposal by its format and by the
+words before it; a proposal counts if its score reaches the threshold of its kind,
+which is the lowest that keeps PRECISION on held-out labelled rows, and of overlapping
+ones the best score is taken (then the longer, then the first). The trees are fitted on LABELLED_ROWS rows made by a seeded
 rule (a documented bound; no corpus text is used), and run as a nested CASE.
 
 Null and empty texts have no spans. Rows that repeat get equal results; extra columns
@@ -35,6 +36,9 @@ GENERATORS = (
     ("secret", r"(?i:password|passwd|secret|token|api[_-]?key)[\x20]?[=:][\x20]?[!-~]{4,}+", r"(?i:password|passwd|secret|token|key)[\x20]?[=:]"),
     ("number", r"(?<![0-9A-Za-z])[0-9](?:[\x20.()-]?[0-9]){6,}+", r"[0-9](?:[\x20.()-]?[0-9]){6}"),
 )
+#: Forms of numbers that are proposed apart from the digit groups around them; a dash or dot that joins them to more digits makes them a part of another number.
+APART, ENDS = r"(?<![0-9A-Za-z])(?<![0-9][.-])", r"(?![0-9A-Za-z]|[.-][0-9])"
+FORMS = tuple(("number", f"{APART}{form}{ENDS}", form) for form in (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}", r"[0-9]{7,}+"))
 BEFORE = 24
 GOOD_CONTEXT = r"(?i:call|phone|tel|mobile|cell|contact|fax|ssn|social|account|acct|iban|passport|mail|write to|reach)[^\n]{0,12}$"
 BAD_CONTEXT = r"(?i:order|invoice|isbn|issn|page|version|vol|no|nr|ref|item|part|serial|population|year|total|price)[.:#\x20]{0,3}$"
@@ -235,22 +239,34 @@ def tree_sql(tree, x: list[Column]) -> Column:
     return F.when(x[tree[0]] <= tree[1], tree_sql(tree[2], x)).otherwise(tree_sql(tree[3], x))
 
 
-def chosen(text: Column, blank: Column, kind: str, pattern: str, need: str, trees: list, limit: float) -> Column:
-    """Spans of a generator whose score reaches the limit."""
+RATED = "array<struct<o:double,l:int,s:int,e:int,m:string,k:string>>"
+
+
+def rated(text: Column, blank: Column, kind: str, pattern: str, need: str, trees: list, limit: float) -> Column:
+    """Proposals of a generator whose score reaches the limit, the best first in their order: score and length (both negative), span and kind."""
     if limit == math.inf:
-        return none()
+        return F.array().cast(RATED)
 
-    def reaches(x: Column) -> Column:
+    def scored(x: Column) -> Column:
         start = F.greatest(x["s"] - BEFORE, F.lit(0))
         before = F.substring(text, start + 1, x["s"] - start)
 
         def of(values: Column) -> Column:
             f = [F.get(values, F.lit(i)) for i in range(len(FEATURES))]
-            return sum((tree_sql(t, f) for t in trees), F.lit(0.0)) >= limit - 1e-9
+            return F.struct((-sum((tree_sql(t, f) for t in trees), F.lit(0.0))).alias("o"), (x["s"] - x["e"]).alias("l"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(kind).alias("k"))
 
         return let(F.array(*features(kind, x["m"], before).values()), of)
 
-    return F.when(blank.rlike(need), F.filter(spans(blank, pattern), reaches)).otherwise(none())
+    return F.when(blank.rlike(need), F.filter(F.transform(spans(blank, pattern), scored), lambda x: x["o"] <= 1e-9 - limit).cast(RATED)).otherwise(F.array().cast(RATED))
+
+
+def winners(proposals: Column) -> Column:
+    """Of overlapping proposals the best."""
+
+    def step(won: Column, x: Column) -> Column:
+        return F.when(F.exists(won, lambda w: (w["s"] < x["e"]) & (x["s"] < w["e"])), won).otherwise(F.concat(won, F.array(x)))
+
+    return F.aggregate(F.array_sort(proposals), F.array().cast(RATED), step)
 
 
 def told(kind: str, found: Column) -> Column:
@@ -266,10 +282,11 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     for k in BASE_KINDS:
         x = x.withColumn(f"__b_{k}", blanked(blank, F.col(f"__{k}")))
         blank = F.col(f"__b_{k}")
-    for kind, pattern, need in GENERATORS:
-        x = x.withColumn(f"__{kind}", chosen(F.col("__text"), blank, kind, pattern, need, trees, limits.get(kind, math.inf)))
-        x = x.withColumn(f"__b_{kind}", blanked(blank, F.col(f"__{kind}")))
-        blank = F.col(f"__b_{kind}")
+    proposed = [rated(F.col("__text"), blank, kind, pattern, need, trees, limits.get(kind, math.inf)) for kind, pattern, need in (*GENERATORS, *FORMS)]
+    x = x.withColumn("__proposed", F.concat(*proposed)).withColumn("__won", winners(F.col("__proposed")))
+    for kind, _, _ in GENERATORS:
+        own = F.filter("__won", lambda v: v["k"] == kind)
+        x = x.withColumn(f"__{kind}", F.array_sort(F.transform(own, lambda v: F.struct(v["s"].alias("s"), v["e"].alias("e"), v["m"].alias("m")))))
     return x.select(*keep, *[F.col(f"__{k}").alias(k) for k in KINDS])
 
 

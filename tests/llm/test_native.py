@@ -257,6 +257,15 @@ def test_added_spans_and_clean_texts(spark):
     assert [got[i]["spans"] for i in (3, 4, 5)] == ["", "", ""]
 
 
+def test_numbers_among_other_groups(spark):
+    texts = ["we have 123-45-6789 987-65-4322 here", "list 12345 123-45-6789 77", "call 555-123-4567 12345678901234 x", "code 1-123-45-6789-1 x"]
+    got = by_id(pii_boost.report(table(spark, texts)))
+    assert got[0]["spans"] == "number:8:19,number:20:31"
+    assert got[1]["spans"] == "number:11:22"
+    assert "number:5:17" in got[2]["spans"].split(",")
+    assert got[3]["spans"] == ""
+
+
 def test_redaction(spark):
     texts = [None, "no data é", "é mail a@b.cc, +1 (988) 555-2485 and 10.0.0.1; password=b7db7aa4a5fcc78305 end", "a@b.cc"]
     got = {r["doc_id"]: r["text"] for r in pii_boost.redact(table(spark, texts)).collect()}
