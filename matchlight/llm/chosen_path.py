@@ -8,14 +8,17 @@ with probability s a coordinate, so 1 / THRESHOLD coordinates a node let pairs a
 threshold live on and groups below it die out. Runs are repeated until a pair at the
 threshold is lost in all of them with probability 1 - TARGET at most, DEPTH levels down
 (`loss`). Buckets of up to LIMIT sets are compared by brute force over the coordinates'
-low bytes. Larger buckets are compared with a leader: sets near it are linked to it, and
-all go further down but those so near that the leader stands for them.
+low bytes. In larger buckets all sets near a leader are linked to it, so only pairs with
+a set far from it are open. Where up to FAR sets are far (a bucket of copies of one text),
+these meet all others in slices of the bucket, which settles it; else all sets but those
+so near that the leader stands for them go further down. Buckets that are still open
+DEPTH levels down meet in pairs of blocks.
 
 That gives candidate links, cut per bucket to a spanning forest. Their components are
-then compared exactly: a component is dealt in blocks, each pair of blocks is one
-group, and intersections of the whole shingle sets are counted there; every pair of
-sets in a component is compared once and no pair is emitted. The links found give the
-classes.
+then compared exactly: a component is dealt in blocks of a bounded number of sets and
+bytes, each pair of blocks is one group, and intersections of the whole shingle sets are
+counted there; every pair of sets in a component is compared once and no pair is emitted.
+The links found give the classes.
 
 Null texts and texts without words have no shingles: each is a class of its own
 without links. Texts under five words are one shingle. doc_id names a row: rows that
@@ -40,6 +43,8 @@ from .shingles import MinHash, mix, shingle_set
 
 THRESHOLD, TARGET = 0.8, 0.9999
 T, LIMIT, DEPTH = 128, 256, 4
+#: Sets far from a large bucket's leader that may meet all its sets, and sets of it that they meet in one group.
+FAR, SLICE = 1024, 1024
 #: A node has two children instead of one if its hash falls in this share, so 1 / THRESHOLD on average.
 SECOND = 1 / THRESHOLD - 1
 #: Orders in which a bucket's leader is the first: few, so that buckets of one group share leaders.
@@ -50,8 +55,8 @@ NEAR = int(T * (THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / T)))
 #: probability of 1 - TARGET, at most 3.72 deviations fewer equal bytes than THRESHOLD gives, loses T - REST more to the leader, and is
 #: still NEAR it. All other sets go further down.
 REST = NEAR + T - int(T * (THRESHOLD - 3.72 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / T)))
-#: Sets in a block of the exact comparison; a component has at most MAX_BLOCKS blocks, larger ones beyond.
-BLOCK, MAX_BLOCKS = 128, 64
+#: Sets and bytes of text in a block of the exact comparison, on average.
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 
 
 def loss(s: float = THRESHOLD, depth: int = DEPTH) -> float:
@@ -67,7 +72,7 @@ RUNS = math.ceil(math.log(1 - TARGET) / math.log(loss()))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, __set (hash of the shingle set, null without words), __sk (low bytes of the coordinates), __keys (first buckets of all runs)."""
+    """doc_id, __set (hash of the shingle set, null without words), __sk (low bytes of the coordinates), __keys (first buckets of all runs), __chars (length of the text)."""
 
     def make():
         minima = MinHash(T)
@@ -77,14 +82,14 @@ def signatures(docs: DataFrame) -> DataFrame:
         def kernel(text: str) -> tuple:
             s = shingle_set(text)
             if not len(s):
-                return None, None, None
+                return None, None, None, 0
             low = minima(s)
             keys = mix(path ^ low[chosen]).view(np.int64)
-            return hashlib.blake2b(s.tobytes(), digest_size=16).digest(), (low & np.uint64(255)).astype(np.uint8).tobytes(), keys.tolist()
+            return hashlib.blake2b(s.tobytes(), digest_size=16).digest(), (low & np.uint64(255)).astype(np.uint8).tobytes(), keys.tolist(), len(text)
 
         return kernel
 
-    return map_texts(docs, make, "__set binary, __sk binary, __keys array<long>")
+    return map_texts(docs, make, "__set binary, __sk binary, __keys array<long>, __chars long")
 
 
 def with_size(rows: DataFrame) -> DataFrame:
@@ -121,16 +126,52 @@ def sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, T)
 
 
+def reached(ids: np.ndarray, some: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """As forest, where near tells only for the rows `some` which ids they join."""
+    order = ids.argsort()
+    label = np.empty(len(ids), int)
+    label[order] = np.arange(len(ids))
+    while True:
+        low = np.where(near, label, len(ids)).min(axis=1)
+        next_ = np.minimum(label, np.where(near, low[:, None], len(ids)).min(axis=0))
+        next_[some] = np.minimum(next_[some], low)
+        if (next_ == label).all():
+            break
+        label = next_
+    roots = ids[order[label]]
+    return [(int(a), int(b)) for a, b in zip(roots, ids) if a != b]
+
+
+def by_key(batches, links):
+    """links(table) of whole keys of sorted batches."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        keys = table.column("__key").to_numpy()
+        cut_at = int(np.searchsorted(keys, keys[-1]))
+        if cut_at:
+            yield links(table.slice(0, cut_at))
+        rest = table.slice(cut_at)
+    if rest is not None:
+        yield links(rest)
+
+
+def starts_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return starts, np.diff(np.concatenate((starts, [len(keys)])))
+
+
 def compare_buckets(batches):
     """Candidate links of sorted buckets: pairs at once, larger ones by matrix."""
-    rest = None
 
     def links(table: pa.Table) -> pa.RecordBatch:
-        keys = table.column("__key").to_numpy()
         ids = table.column("__rep").to_numpy()
         sk = sketches(table.column("__sk").combine_chunks())
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        sizes = np.diff(np.concatenate((starts, [len(keys)])))
+        starts, sizes = starts_of(table.column("__key").to_numpy())
         two = starts[sizes == 2]
         found = two[(sk[two] == sk[two + 1]).sum(axis=1) >= NEAR]
         a = np.minimum(ids[found], ids[found + 1]).tolist()
@@ -143,19 +184,25 @@ def compare_buckets(batches):
                 b.append(y)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table])
-        keys = table.column("__key").to_numpy()
-        cut_at = int(np.searchsorted(keys, keys[-1]))
-        if cut_at:
-            yield links(table.slice(0, cut_at))
-        rest = table.slice(cut_at)
-    if rest is not None:
-        yield links(rest)
+    yield from by_key(batches, links)
+
+
+def compare_far(batches):
+    """Candidate links between the far sets of sorted groups and all sets of the group."""
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        ids = table.column("__rep").to_numpy()
+        far = table.column("__far").to_numpy(zero_copy_only=False)
+        sk = sketches(table.column("__sk").combine_chunks())
+        pairs: list[tuple[int, int]] = []
+        for s, n in zip(*starts_of(table.column("__key").to_numpy())):
+            part, some = sk[s : s + n], np.flatnonzero(far[s : s + n])
+            if len(some):
+                near = np.concatenate([equal_bytes(part[some[i : i + 64]], part) >= NEAR for i in range(0, len(some), 64)])
+                pairs += reached(ids[s : s + n], some, near)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=LINKS)
+
+    yield from by_key(batches, links)
 
 
 def compare_leaders(batches):
@@ -167,9 +214,23 @@ def compare_leaders(batches):
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(equal, pa.int32())], names=[*names, "__equal"])
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("__key").sortWithinPartitions("__key")
+
+
 def compared(rows: DataFrame) -> DataFrame:
     """Candidate links of buckets that fit a task."""
-    return rows.select("__key", "__rep", "__sk").repartition("__key").sortWithinPartitions("__key").mapInArrow(compare_buckets, "a long, b long")
+    return grouped(rows.select("__key", "__rep", "__sk")).mapInArrow(compare_buckets, "a long, b long")
+
+
+def settled(open_: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Candidate links of buckets with up to FAR far sets: in each slice of a bucket all of them meet the slice's sets."""
+    few = open_.join(sizes.where(F.col("__n_far").between(1, FAR)), "__key")
+    n_slices = F.ceil(F.col("__n_open") / SLICE).cast("long")
+    far = F.col("__equal") < NEAR
+    all_slices = F.sequence(F.lit(0).cast("long"), n_slices - 1)
+    dealt = few.select("__key", "__rep", "__sk", far.alias("__far"), F.explode(F.when(far, all_slices).otherwise(F.array(F.pmod(F.xxhash64("__rep"), n_slices)))).alias("__slice"))
+    return grouped(dealt.select(F.xxhash64("__key", "__slice").alias("__key"), "__rep", "__sk", "__far")).mapInArrow(compare_far, "a long, b long")
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -177,7 +238,7 @@ def candidates(sets: DataFrame) -> DataFrame:
     first = sets.select("__rep", F.explode("__keys").alias("__key"))
     rows = cut(with_size(first).join(sets.select("__rep", "__sk"), "__rep"))
     found = compared(rows.where(F.col("__n") <= LIMIT))
-    for _ in range(DEPTH):
+    for level in range(DEPTH + 1):
         large = rows.where(F.col("__n") > LIMIT)
         if large.limit(1).count() == 0:
             return found
@@ -186,18 +247,29 @@ def candidates(sets: DataFrame) -> DataFrame:
         leaders = cut(leaders.select("__key", F.col("l.r").alias("__leader"), F.col("l.k").alias("__lsk")))
         led = cut(large.join(leaders, "__key").mapInArrow(compare_leaders, "__key long, __rep long, __sk binary, __leader long, __equal int"))
         found = found.unionByName(led.where(F.col("__equal") >= NEAR).select(F.col("__leader").alias("a"), F.col("__rep").alias("b")))
-        further = led.where(F.col("__equal") < REST)
+        open_ = led.where(F.col("__equal") < REST).drop("__leader")
+        sizes = cut(open_.groupBy("__key").agg(F.sum((F.col("__equal") < NEAR).cast("long")).alias("__n_far"), F.count("*").alias("__n_open")))
+        found = found.unionByName(settled(open_, sizes))
+        many = sizes.where(F.col("__n_far") > FAR)
+        if many.limit(1).count() == 0:
+            return found
+        further = open_.join(many, "__key")
+        if level == DEPTH:
+            return found.unionByName(in_blocks(further))
         one, two = F.xxhash64("__key", F.lit(0)), F.xxhash64("__key", F.lit(1))
         twice = F.pmod(two, F.lit(1000)) < int(1000 * SECOND)
         child = further.select("__rep", "__sk", F.explode(F.when(twice, F.array(one, two)).otherwise(F.array(one))).alias("__node"))
         at = F.pmod(F.col("__node"), F.lit(T)).cast("int")
         rows = cut(with_size(child.select("__rep", "__sk", F.xxhash64("__node", F.substring(F.col("__sk"), at + 1, F.lit(1))).alias("__key"))))
         found = found.unionByName(compared(rows.where(F.col("__n") <= LIMIT)))
-    # What is still large after DEPTH levels meets in blocks of its bucket, each pair of blocks in one task.
-    n_blocks = F.ceil(F.col("__n") / LIMIT).cast("long")
-    deep = rows.where(F.col("__n") > LIMIT).withColumn("__block", F.pmod(F.xxhash64("__rep"), n_blocks))
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Candidate links of buckets whose sets meet in blocks, each pair of blocks in one group."""
+    n_blocks = F.ceil(F.col("__n_open") / SLICE).cast("long")
+    deep = rows.withColumn("__block", F.pmod(F.xxhash64("__rep"), n_blocks))
     deep = deep.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-    return found.unionByName(compared(deep.withColumn("__key", F.xxhash64("__key", F.least("__block", "__other"), F.greatest("__block", "__other")))))
+    return compared(deep.withColumn("__key", F.xxhash64("__key", F.least("__block", "__other"), F.greatest("__block", "__other"))))
 
 
 VERIFIED = "__rep long, __root long, __links long, __whole boolean"
@@ -218,7 +290,10 @@ def verify(table: pa.Table) -> pa.Table:
     place = np.cumsum(shared) - 1
     keep = shared[at]
     owner, at = owner[keep], place[at[keep]]
-    inter = np.zeros((len(sets), len(sets)), np.float64)
+    across = table.column("__i")[0] != table.column("__j")[0]
+    left = np.flatnonzero(side == side[0]) if across else np.arange(len(sets))
+    right = np.flatnonzero(side != side[0]) if across else left
+    inter = np.zeros((len(left), len(right)), np.float64)
     width = 8192
     order = at.argsort(kind="stable")
     owner, at = owner[order], at[order]
@@ -226,20 +301,22 @@ def verify(table: pa.Table) -> pa.Table:
         lo, hi = np.searchsorted(at, (first, first + width))
         block = np.zeros((len(sets), width), np.float32)
         block[owner[lo:hi], at[lo:hi] - first] = 1
-        inter += block @ block.T
-    near = 9 * inter >= 4 * (n[:, None] + n[None, :])
+        inter += block[left] @ block[right].T
+    linked = 9 * inter >= 4 * (n[left][:, None] + n[right][None, :])
+    near = np.zeros((len(sets), len(sets)), bool)
+    near[np.ix_(left, right)] = linked
+    if across:
+        near[np.ix_(right, left)] = linked.T
     np.fill_diagonal(near, False)
-    if table.column("__i")[0] != table.column("__j")[0]:
-        near &= side[:, None] != side[None, :]
     roots = {int(b): a for a, b in forest(ids, near)}
-    links = (near * times[None, :]).sum(axis=1)
+    links = near @ times
     return pa.table({"__rep": pa.array(ids, pa.int64()), "__root": pa.array([roots.get(int(i), int(i)) for i in ids], pa.int64()), "__links": pa.array(links, pa.int64()), "__whole": table.column("__nb").combine_chunks().cast(pa.int64()).to_numpy() == 1})
 
 
 def exact(docs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Verified rows for parts(__rep, __times, __part): every pair of a part is compared once."""
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__m"))
-    dealt = parts.join(sizes, "__part").withColumn("__nb", F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("__m") / BLOCK)).cast("int"))
+    """Verified rows for parts(__rep, __times, __chars, __part): every pair of a part is compared once."""
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__m"), F.sum("__chars").alias("__b"))
+    dealt = parts.join(sizes, "__part").withColumn("__nb", F.ceil(F.greatest(F.col("__m") / BLOCK, F.col("__b") / BLOCK_BYTES)).cast("int"))
     dealt = dealt.withColumn("__block", F.pmod(F.xxhash64("__rep"), F.col("__nb")).cast("int"))
     with_text = dealt.join(docs.select(F.col("doc_id").alias("__rep"), "text"), "__rep")
     pairs = with_text.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)))
@@ -253,10 +330,10 @@ def join(docs: DataFrame) -> DataFrame:
     sig = cut(signatures(docs))
     worded = sig.where("__set is not null")
     sets = worded.groupBy("__set").agg(F.min("doc_id").alias("__rep"), F.count("*").alias("__times"))
-    own = worded.select(F.col("doc_id").alias("__rep"), F.col("__set").alias("__own"), "__sk", "__keys")
+    own = worded.select(F.col("doc_id").alias("__rep"), F.col("__set").alias("__own"), "__sk", "__keys", "__chars")
     sets = cut(sets.join(own, "__rep").where("__set = __own").drop("__own").dropDuplicates(["__set"]))
     parts = components(candidates(sets.select("__rep", "__sk", "__keys")))
-    parts = sets.select("__rep", "__times").join(parts.select(F.col("node").alias("__rep"), F.col("root").alias("__part")), "__rep")
+    parts = sets.select("__rep", "__times", "__chars").join(parts.select(F.col("node").alias("__rep"), F.col("root").alias("__part")), "__rep")
     found = cut(exact(docs, parts))
     links = found.groupBy("__rep").agg(F.sum("__links").alias("__links"))
     classes = found.where("__whole").select(F.col("__rep").alias("node"), F.col("__root").alias("root"))
