@@ -2,21 +2,25 @@
 
 ``encode`` of a text longer than a leaf encodes both halves recursively. Joining two
 neighbours re-encodes a window around the border and keeps the ids outside it. The
-window grows until both its ends are stable: a white space character behind another
-character always begins a match of the pattern, whatever stands further left or
-right, since no alternative of the pattern has white space after its first
-character but those of white space alone. So the ids outside such a window are those
-of the whole text. Without such a place the window grows to the whole range, which
-is then encoded at once. Decoding concatenates the bytes up the same kind of tree.
-
-Null texts count as empty and have no ids. Rows that repeat get equal results;
-other columns of the input are ignored.
+window grows until both its ends are stable, places where a match of the pattern begins
+whatever stands further left or right: white space behind another character, and a
+letter, digit or sign behind a character of another of these classes (but for a letter
+behind an apostrophe), since no alternative of the pattern holds such a pair. So the
+ids outside such a window are those of the whole text. A range without such a place is
+encoded at once. Decoding concatenates the bytes up the same kind of tree.
+
+Null texts count as empty and have no ids. Texts may be of any length: a run of white
+space longer than LONG_RUN, on which the library's matching gives out, is one piece by
+the pattern and is handed over as such. Rows that repeat get equal results, there are
+no ties, and other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +31,9 @@ from .common import map_texts
 LEAF_CHARS = 2048
 LEAF_IDS = 2048
 WINDOW_CHARS = 32
+LONG_RUN = 10_000
+#: What the pattern's library takes for white space.
+RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 @lru_cache(maxsize=4)
@@ -40,12 +47,34 @@ def load(path: str, pattern: str):
     for piece, rank in ranks.items():
         table[rank] = piece
     encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return encoder.encode_ordinary, table
+
+    def whole(text: str) -> list[int]:
+        if len(text) <= LONG_RUN:
+            return encoder.encode_ordinary(text)
+        ids, at = [], 0
+        for m in RUN.finditer(text):
+            end = m.end() - (m.end() < len(text))  # the last one may begin the next match
+            ids += encoder.encode_ordinary(text[at : m.start()]) + encoder._encode_single_piece(text[m.start() : end].encode())
+            at = end
+        return ids + encoder.encode_ordinary(text[at:])
+
+    return whole, table
+
+
+@lru_cache(maxsize=1 << 16)
+def kind(c: str) -> str:
+    """L, N, S (a sign) or nothing for white space and for what is not assigned."""
+    major = unicodedata.category(c)[0]
+    return "" if c.isspace() or major == "C" or major == "Z" else major if major in "LN" else "S"
 
 
 def stable(text: str, i: int) -> bool:
     """Whether a match of the pattern begins at i in any context."""
-    return text[i] in " \n" and not text[i - 1].isspace()
+    c, before = text[i], text[i - 1]
+    if c in " \n":
+        return not before.isspace()
+    a, b = kind(before), kind(c)
+    return bool(a and b) and a != b and not (before == "'" and b == "L")
 
 
 def left_end(text: str, first: int, border: int, width: int) -> int:
@@ -82,16 +111,23 @@ def count_on(ids: list[int], table: list[bytes], size: int) -> int:
     return n
 
 
-def join(text: str, first: int, border: int, last: int, left: list[int], right: list[int], encode_text, table) -> list[int]:
-    """Ids of text[first:last] from those of its parts at both sides of the border."""
+def window(text: str, first: int, border: int, last: int) -> tuple[int, int]:
+    """Stable ends around the border, or the ends of the range."""
     width, s = WINDOW_CHARS, -1
     while (s := left_end(text, first, border, width)) < 0:
         width *= 2
     if s == border:
-        return left + right
+        return s, s
     width, e = WINDOW_CHARS, -1
     while (e := right_end(text, border, last, width)) < 0:
         width *= 2
+    return s, e
+
+
+def join(text: str, s: int, border: int, e: int, left: list[int], right: list[int], encode_text, table) -> list[int]:
+    """Ids of a range from those of its parts at both sides of the border, encoding text[s:e] again."""
+    if s == e:
+        return left + right
     drop = count_back(left, table, len(text[s:border].encode()))
     skip = count_on(right, table, len(text[border:e].encode()))
     return left[: len(left) - drop] + encode_text(text[s:e]) + right[skip:]
@@ -102,7 +138,10 @@ def encode(text: str, encode_text, table, leaf: int = LEAF_CHARS) -> list[int]:
         if last - first <= leaf:
             return encode_text(text[first:last])
         border = (first + last) // 2
-        return join(text, first, border, last, over(first, border), over(border, last), encode_text, table)
+        s, e = window(text, first, border, last)
+        if (s, e) == (first, last):
+            return encode_text(text[first:last])
+        return join(text, s, border, e, over(first, border), over(border, last), encode_text, table)
 
     return over(0, len(text))
 
