@@ -10,8 +10,13 @@ follow Zipf's law in the order of the vocabulary, so nothing is trained. A chara
 that no piece covers costs one byte piece for each of its UTF-8 bytes. Ties of score
 go to fewer pieces.
 
+The file's own scores are no log probabilities (the pieces were merged, and a score is
+the negative rank of the merge), hence the rule in their place.
+
 Pre-tokens are what stands between white space, each with the vocabulary's mark of a
-word's begin in front. Null and empty texts have no pre-tokens and no tokens; rows
+word's begin in front. Those longer than LONG_WORD share no prefixes: the same scores run
+over them in a window of the longest piece's length, so a text may be one word of any
+length. Null and empty texts have no pre-tokens and no tokens; rows
 that repeat get equal results; other columns of the input are ignored.
 """
 
@@ -29,6 +34,8 @@ from .common import map_texts
 MARK = "▁"
 #: A task's trie begins anew beyond this many nodes, so memory stays bounded.
 MAX_NODES = 1_000_000
+#: Longer pre-tokens stay out of the trie.
+LONG_WORD = 4096
 #: Log probability of a byte piece.
 BYTE_SCORE = -16.0
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,6 +52,16 @@ def vocabulary(path: str) -> dict[str, float]:
     return {p: -math.log(r + 2) - norm for r, p in enumerate(pieces)}
 
 
+class Window:
+    """Numbers of the last `size` prefixes of one word."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def __getitem__(self, end: int) -> int:
+        return end % self.size
+
+
 class Trie:
     """Nodes by number, edges in one table by node and character; node 0 is the empty prefix."""
 
@@ -55,6 +72,7 @@ class Trie:
             lengths.setdefault(piece[-2:], set()).add(len(piece))
         #: Lengths of pieces by their last two characters (one, for pieces of one).
         self.lengths = {tail: sorted(n) for tail, n in lengths.items()}
+        self.longest = max(map(len, scores), default=1)
         self.counts: dict[str, int] = {}
         self.reset()
 
@@ -68,21 +86,35 @@ class Trie:
         """Number of pieces of the best segmentation of the word behind the mark; stored for its terminal node."""
         if (known := self.counts.get(word)) is not None:
             return known
+        if len(word) > LONG_WORD:
+            return self._long(self.mark + word)
         if len(self.best) > self.max_nodes:
             self.reset()
         edges, path, node, text = self.edges, [0], 0, self.mark + word
+        best, pieces = self.best, self.pieces
         for i, c in enumerate(text):
             edge = node << 21 | ord(c)
             child = edges.get(edge)
             if child is None:
-                child = edges[edge] = self._grow(text, i + 1, path)
+                top, fewest = self._score(text, i + 1, path, best, pieces)
+                child = edges[edge] = len(best)
+                best.append(top)
+                pieces.append(fewest)
             node = child
             path.append(node)
         self.counts[word] = n = self.pieces[node]
         return n
 
-    def _grow(self, word: str, end: int, path: list[int]) -> int:
-        best, pieces, scores = self.best, self.pieces, self.scores
+    def _long(self, text: str) -> int:
+        path = Window(self.longest + 1)
+        best, pieces = [0.0] * path.size, [0] * path.size
+        for end in range(1, len(text) + 1):
+            best[path[end]], pieces[path[end]] = self._score(text, end, path, best, pieces)
+        return pieces[path[len(text)]]
+
+    def _score(self, word: str, end: int, path, best, pieces) -> tuple[float, int]:
+        """Best score of the prefix, and its number of pieces, from those of shorter prefixes at path."""
+        scores = self.scores
         before, c = path[end - 1], word[end - 1]
         s = scores.get(c)
         n_bytes = len(c.encode("utf-8", "surrogatepass"))
@@ -100,9 +132,7 @@ class Trie:
                     total = best[at] + s
                     if total > top or total == top and pieces[at] + 1 < fewest:
                         top, fewest = total, pieces[at] + 1
-        best.append(top)
-        pieces.append(fewest)
-        return len(best) - 1
+        return top, fewest
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
