@@ -6,9 +6,10 @@ a beta prior fitted to the hosts' rates by moments, and the host verdicts are jo
 back: a document is kept if it fails no rule of its own and its host's shrunk rate is
 under HOST_LIMIT.
 
-Null and empty texts have no words and fail. A null host is a host of its own. Rows
-that repeat count as rows. Extra columns stay; the operator's own columns begin with
-two underscores inside and are named on return.
+Null and empty texts have no words and fail. Texts are taken whole, of any length; the
+figures are long integers. A null host is a host of its own. Rows that repeat count as
+rows. A shrunk rate that ties with HOST_LIMIT rejects the host. Extra columns stay; the
+operator's own columns begin with two underscores inside and are named on return.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def figures(text: Column) -> Column:
 
     def of_words(tokens: Column) -> Column:
         stutter = F.size(F.filter(tokens, lambda w, i: F.coalesce(F.get(tokens, i - 1) == w, F.lit(False))))
-        return F.struct(F.size(tokens).cast("long").alias("n_words"), repeated_words(tokens).cast("long").alias("n_repeat_words"), stutter.alias("n_stutter"))
+        return F.struct(F.size(tokens).cast("long").alias("n_words"), repeated_words(tokens).cast("long").alias("n_repeat_words"), stutter.cast("long").alias("n_stutter"))
 
     def of_lines(lines: Column) -> Column:
         return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
