@@ -2,14 +2,17 @@
 
 ``scan`` gives one row per document. All phrases (the base ones, notices and the
 tags that introduce an expression) are found in one pass of an Aho-Corasick
-automaton over the lower-cased words of the whole text. Where a tag is found, the
-longest valid expression behind it, up to the next tag or the end of the line, is
-parsed with a shunting-yard parser and evaluated with
-``or`` as the best, ``and`` as the worst of its parts and ``with`` as an exception
-that lifts a copyleft licence.
-
-Nulls and empty texts have no words, no places, no labels and score 0. Rows that
-repeat get equal results. Other columns of the input are ignored.
+automaton over the lower-cased words of the whole text. Behind a tag's place a colon or
+equals sign must follow, perhaps a quote, and then the longest valid expression up to
+the next tag or the end of the line is parsed with a shunting-yard parser and evaluated
+with ``or`` as the best, ``and`` as the worst of its parts and ``with`` as an exception
+that lifts a copyleft licence. A version's ``.0`` is left out of an expression's labels,
+so they agree with those of phrases.
+
+Nulls and empty texts have no words, no places, no labels and score 0. Texts may be of
+any length: time grows with the text and its places. Labels are sets, so ties and
+repeated places add nothing. Rows that repeat get equal results. Other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -42,9 +45,9 @@ NOTICES = {
     "all rights reserved": "proprietary",
 }
 
-#: Words that introduce a licence expression, and the place of the expression in the text.
+#: Words that introduce a licence expression, and what stands between them and it.
 TAGS = ("spdx license identifier", "license expression")
-EXPRESSION = re.compile(r"(?:SPDX-License-Identifier|License-Expression)[ \t]*[:=][ \t]*", re.IGNORECASE | re.ASCII)
+BEHIND_TAG = re.compile(rb"[\"'`]?[ \t]*[:=][ \t]*[\"'`]?")
 
 #: How freely a text under the licence can be used again, by the start of its label; 0.5 if unknown.
 FREEDOM = {
@@ -54,7 +57,9 @@ FREEDOM = {
 }
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+|\S")
-LINE_END = re.compile(r"[\r\n]|\Z")
+LINE_END = re.compile(rb"[\r\n]|\Z")
+WORD = re.compile(rb"[^ ]+")
+ZERO = re.compile(r"(?<=-)([0-9]+)\.0(?=[+-]|$)")
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -138,7 +143,7 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
     stack: list[tuple[set[str], float]] = []
     for token in postfix:
         if token not in PRECEDENCE:
-            stack.append(({token}, freedom(token)))
+            stack.append(({ZERO.sub(r"\1", token)}, freedom(token)))
             continue
         (right, b), (left, a) = stack.pop(), stack.pop()
         if token == "with":
@@ -152,35 +157,45 @@ def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for kind, phrases in (("notice", NOTICES), ("base", BASE), ("tag", dict.fromkeys(TAGS))):
         for phrase, label in phrases.items():
-            found.add_word(f" {phrase} ", (kind, label, len(phrase) + 1))
+            found.add_word(f" {phrase} ", (kind, label, phrase.count(" ") + 1))
     found.make_automaton()
     return found
 
 
 def kernel(found: ahocorasick.Automaton):
     def scan_text(text: str) -> tuple:
-        words = text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
+        data = text.encode("utf-8", "surrogatepass")
+        spaced = data.translate(_WORDS)
+        words = spaced.split()
         line = b" " + b" ".join(words) + b" "
         places: list[int] = []
         base: set[str] = set()
         labels: set[str] = set()
         worst: list[float] = []
-        tagged = False
-        for end, (kind, label, back) in found.iter(line.decode("latin-1")):
+        tags: list[tuple[int, int]] = []
+        at = spaces = 0
+        for end, (kind, label, size) in found.iter(line.decode("latin-1")):
+            spaces += line.count(b" ", at, end + 1)
+            at = end + 1
+            first = spaces - size - 1  # the word before which as many spaces stand as words, and one
             if kind == "tag":
-                tagged = True
+                tags.append((first, first + size - 1))
                 continue
             labels.add(label)
             worst.append(freedom(label))
             if kind == "base":
                 base.add(label)
-                places.append(line.count(b" ", 0, end - back + 1) - 1)
+                places.append(first)
         expressions = 0
-        if tagged:
-            tags = list(EXPRESSION.finditer(text))
-            for m, after in zip(tags, [*(t.start() for t in tags[1:]), len(text)]):
-                stop = LINE_END.search(text, m.end(), after).start()
-                postfix = to_postfix(leading(text, m.end(), stop))
+        if tags:
+            asked = {w for tag in tags for w in tag}
+            at_word = {i: m.span() for i, m in enumerate(WORD.finditer(spaced)) if i in asked}
+            for k, (_, last) in enumerate(tags):
+                after = at_word[tags[k + 1][0]][0] if k + 1 < len(tags) else len(data)
+                if (sign := BEHIND_TAG.match(data, at_word[last][1], after)) is None:
+                    continue
+                behind = data[sign.end() : LINE_END.search(data, sign.end(), after).start()]
+                postfix = to_postfix(leading(behind.decode("utf-8", "replace")))
                 if postfix:
                     own, score = evaluate(postfix)
                     labels |= own
