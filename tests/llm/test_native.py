@@ -86,6 +86,15 @@ def test_quality_figures_and_verdicts(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_figures_of_a_very_long_text(spark):
+    text = "w " * 5_000_000
+    rows = spark.createDataFrame([(1, "a")], "doc_id long, source string")
+    import pyspark.sql.functions as F
+
+    got = host_rules.quality(rows.withColumn("text", F.expr("repeat('w ', 5000000)"))).first()
+    assert (got["n_words"], got["word_chars"], got["n_repeat_words"], got["kept"]) == (len(text) // 2, len(text) // 2, len(text) // 2, False)
+
+
 def test_a_bad_host_takes_its_documents_along(spark):
     rng = random.Random(1)
     texts = ["short"] * 30 + [prose(rng, 40)] + [prose(rng, 40) for _ in range(30)]
