@@ -1,23 +1,30 @@
 """Personal data: validated patterns, and candidates chosen by boosted trees; DataFrame functions only.
 
 Four base kinds are found by pattern over the whole text and validated. Then loose
-generators propose further spans in what the base kinds left, which may overlap:
-obfuscated addresses, secrets behind a key word, groups of digits, and the known forms
-among these groups. Gradient boosted trees score each proposal by its format and by the
-words before it; a proposal counts if its score reaches the threshold of its kind,
-which is the lowest that keeps PRECISION on held-out labelled rows, and of overlapping
-ones the best score is taken (then the longer, then the first). The trees are fitted on LABELLED_ROWS rows made by a seeded
-rule (a documented bound; no corpus text is used), and run as a nested CASE.
-
-Null and empty texts have no spans. Rows that repeat get equal results; extra columns
-are ignored.
+generators propose further spans in what the base kinds left: obfuscated addresses,
+values behind a key word (quoted or not), names of accounts, keys by their prefix and
+long random strings, account numbers with a country, digit groups and the known forms
+among these groups. Proposals overlap, also across kinds. Gradient boosted trees, one
+set a kind, score each proposal by its format and by the words before it; a proposal
+counts if its score reaches the threshold of its kind, which is the lowest of even odds
+or more that keeps PRECISION on held-out labelled rows, and of overlapping ones the best score is taken
+(then the longer, then the first, then the kind's name). The trees are fitted on
+LABELLED_ROWS rows made by a seeded rule (a documented bound; no corpus text is used),
+and run as a nested CASE.
+
+Null and empty texts have no spans. Texts may be of any length: places of n matches are
+summed up in blocks of sqrt(n), and overlaps are settled inside groups of proposals that
+touch. Rows that repeat get equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,44 +37,69 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE_KINDS = ("email", "ip", "card", "phone")
 
-#: Loose generators, in order: kind, pattern, what a text must have for the pattern to be tried.
+WORDS_OF_SECRETS = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|api[_-]?key|key)"
+#: Known beginnings of keys that services hand out.
+PREFIXES = r"(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|[spr]k[-_](?:live[-_]|test[-_])?|xox[abprs]-|npm_|hf_|SG\.|eyJ)"
+#: A dash or dot that joins a number to more digits makes it a part of another number.
+APART, ENDS = r"(?<![0-9A-Za-z])(?<![0-9][.-])", r"(?![0-9A-Za-z]|[.-][0-9])"
+FORMS = (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}", r"[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}", r"[0-9]{7,22}+")
+#: Loose generators: kind, patterns, what a text must have for the patterns to be tried.
 GENERATORS = (
-    ("mail", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]++\x20?(?:\(dot\)|\[dot\]|\.|\x20dot\x20)\x20?[A-Za-z]{2,}+", r"[(\[\x20]at[)\]\x20]"),
-    ("secret", r"(?i:password|passwd|secret|token|api[_-]?key)[\x20]?[=:][\x20]?[!-~]{4,}+", r"(?i:password|passwd|secret|token|key)[\x20]?[=:]"),
-    ("number", r"(?<![0-9A-Za-z])[0-9](?:[\x20.()-]?[0-9]){6,}+", r"[0-9](?:[\x20.()-]?[0-9]){6}"),
+    ("mail", (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]++\x20?(?:\(dot\)|\[dot\]|\.|\x20dot\x20)\x20?[A-Za-z]{2,}+",), r"[(\[\x20]at[)\]\x20]"),
+    ("secret", (rf"(?<![A-Za-z]){WORDS_OF_SECRETS}[\"']?\x20{{0,2}}(?:=>|[=:])\x20{{0,2}}[\"']?[^\s\"'`,;<>\x01]{{4,200}}+[\"']?",), r"[=:]"),
+    ("account", (r"(?<![A-Za-z])(?i:user(?:[_-]?name|[_-]?id)?|login|account|acct|handle)[\"']?\x20{0,2}[=:]\x20{0,2}[\"']?[A-Za-z0-9][A-Za-z0-9._-]{2,39}+[\"']?",), r"[=:]"),
+    ("key", (rf"(?<![A-Za-z0-9_]){PREFIXES}[A-Za-z0-9_./+-]{{10,200}}+=*+", r"(?<![A-Za-z0-9_/+.-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{20,200}+={0,2}+(?![A-Za-z0-9])"), r"[A-Za-z0-9_./+-]{14}"),
+    ("iban", (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",), r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
+    ("number", (r"(?<![0-9A-Za-z])(?<![0-9][\x20.()-])[0-9](?:[\x20.()-]?[0-9]){6,21}+(?![\x20.()-]?[0-9])", *(f"{APART}{form}{ENDS}" for form in FORMS)), r"[0-9](?:[\x20.()-]{0,2}[0-9]){6}"),
 )
-#: Forms of numbers that are proposed apart from the digit groups around them; a dash or dot that joins them to more digits makes them a part of another number.
-APART, ENDS = r"(?<![0-9A-Za-z])(?<![0-9][.-])", r"(?![0-9A-Za-z]|[.-][0-9])"
-FORMS = tuple(("number", f"{APART}{form}{ENDS}", form) for form in (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}", r"[0-9]{7,}+"))
 BEFORE = 24
-GOOD_CONTEXT = r"(?i:call|phone|tel|mobile|cell|contact|fax|ssn|social|account|acct|iban|passport|mail|write to|reach)[^\n]{0,12}$"
-BAD_CONTEXT = r"(?i:order|invoice|isbn|issn|page|version|vol|no|nr|ref|item|part|serial|population|year|total|price)[.:#\x20]{0,3}$"
-LABELLED_ROWS = 480
-ROUNDS, SHRINK, PRECISION, SEED = 20, 0.4, 0.98, 7
-
+GOOD_CONTEXT = r"(?i:call|phone|tel|mobile|cell|contact|fax|ssn|social|account|acct|iban|passport|mail|write to|reach|number is|key|token|secret|credential|bearer)[^\n]{0,12}$"
+BAD_CONTEXT = r"(?i:order|invoice|isbn|issn|page|version|vol|no|nr|ref|item|part|serial|population|year|total|price|commit|sha[0-9]*|md5|hash|checksum|digest|uuid|build)[.:#=\x20]{0,3}$"
+PLACEHOLDER = r"(?i:^(?:null|none|nil|true|false|undefined|unknown|required|optional|string|value|example|changeme|redacted|hidden|x{3,}|\*{3,}|\.{3,}|-{3,}|your.*|my.*|some.*|\$.*|\{.*|%.*|\[.*|\(.*)$)"
+LABELLED_ROWS = 6000
+ROUNDS, SHRINK, PRECISION, SEED = 24, 0.4, 0.98, 7
 
 KINDS = (*BASE_KINDS, *(g[0] for g in GENERATORS))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Start, end and text of each match, in code points: lengths of matches and of what stands between, accumulated."""
+def scan(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running combination of a non-empty array: inside blocks of sqrt(n), then over the blocks, so no array grows to n by single steps."""
 
-    def of(matches: Column) -> Column:
-        def step(state: Column, pair: Column) -> Column:
-            start = state["at"] + F.length(pair["gap"])
-            end = start + F.length(pair["m"])
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("s"), end.alias("e"), pair["m"].alias("m")))).alias("out"))
+    def inside(block: Column) -> Column:
+        def step(out: Column, x: Column) -> Column:
+            return F.concat(out, F.array(F.when(F.size(out) == 0, x).otherwise(combine(F.element_at(out, -1), x))))
+
+        return F.aggregate(block, F.array().cast("array<int>"), step)
+
+    def over(width: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / width).cast("int")), lambda b: inside(F.slice(values, b * width + 1, width)))
 
+        def whole(own: Column) -> Column:
+            return let(inside(F.transform(own, lambda b: F.element_at(b, -1))), lambda tops: F.flatten(F.transform(own, lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda x: combine(F.get(tops, i - 1), x))))))
+
+        return let(blocks, whole)
+
+    return let(F.ceil(F.sqrt(F.size(values))).cast("int"), over)
+
+
+def spans(text: Column, pattern: str, behind: bool = False) -> Column:
+    """Start, end and text of each match, in code points: lengths of matches and of what stands between, accumulated. behind adds up to BEFORE characters before it, from the match before on."""
+
+    def of(matches: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
-        pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-        zero = F.struct(F.lit(0).alias("at"), none().alias("out"))
-        return F.aggregate(pairs, zero, step, lambda state: state["out"])
+        steps = F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.length(m))
+        ends = let(steps, lambda x: scan(x, lambda a, b: a + b))
+        found = F.zip_with(ends, matches, lambda e, m: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m")))
+        if not behind:
+            return found
+        last = lambda g, i: F.substring(F.concat(F.coalesce(F.get(matches, i - 1), F.lit("")), g), -BEFORE, BEFORE)
+        return F.zip_with(found, let(gaps, lambda x: F.transform(x, last)), lambda x, w: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), w.alias("b")))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none()).otherwise(of(m)))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none(behind)).otherwise(of(m)))
 
 
-def none() -> Column:
-    return F.array().cast("array<struct<s:int,e:int,m:string>>")
+def none(behind: bool = False) -> Column:
+    return F.array().cast("array<struct<s:int,e:int,m:string" + ",b:string" * behind + ">>")
 
 
 def digits(text: Column) -> Column:
@@ -85,6 +117,19 @@ def luhn(text: Column) -> Column:
     return let(digits(text), value) % 10 == 0
 
 
+def remainder(text: Column) -> Column:
+    """What the check digits of an account number with a country leave of it by 97."""
+
+    def of(bare: Column) -> Column:
+        def step(total: Column, c: Column) -> Column:
+            code = F.ascii(c)
+            return F.when(code < 65, total * 10 + code - 48).otherwise(total * 100 + code - 55) % 97
+
+        return F.aggregate(F.split(F.concat(F.substring(bare, 5, 64), F.substring(bare, 1, 4)), ""), F.lit(0), lambda t, c: F.when(c == "", t).otherwise(step(t, c)))
+
+    return let(F.regexp_replace(text, r"\x20", ""), of)
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     part = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
     n = lambda x: F.length(digits(x["m"]))
@@ -97,105 +142,210 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.when(guard, spans(text, pattern) if valid is None else F.filter(spans(text, pattern), valid)).otherwise(none()) for k, (guard, pattern, valid) in tried.items()}
 
 
+def overwritten(text: Column, found: Column, mark: Callable[[Column], Column]) -> Column:
+    """text with what sorted spans (s, e and more) cover replaced by mark(s, e of what is still uncovered, v the span, apart if it begins behind all before it)."""
+
+    def of(reach: Column) -> Column:
+        at = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(reach, i - 1))
+        gaps = F.transform(found, lambda v, i: F.struct(at(i).alias("a"), F.greatest(v["s"], at(i)).alias("z"), F.get(reach, i).alias("e"), (v["s"] >= at(i)).alias("apart"), v.alias("v")))
+        rest = F.substring(text, F.element_at(reach, -1) + 1, F.length(text))
+        return F.concat(let(gaps, lambda g: pieces(text, g, mark)), rest)
+
+    return F.when(F.size(found) == 0, text).otherwise(let(let(F.transform(found, lambda v: v["e"]), lambda ends: scan(ends, F.greatest)), of))
+
+
 def blanked(text: Column, found: Column) -> Column:
     """text with the spans overwritten by as many control characters, so places stay."""
+    return overwritten(text, found, lambda g: F.repeat(F.lit("\x01"), g["e"] - g["z"]))
 
-    def of(at: Column) -> Column:
-        end = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(at, i - 1)["e"])
-        parts = F.transform(at, lambda x, i: F.concat(F.substring(text, end(i) + 1, x["s"] - end(i)), F.repeat(F.lit("\x01"), x["e"] - x["s"])))
-        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(at, -1)["e"] + 1, F.length(text)))
 
-    return F.when(F.size(found) == 0, text).otherwise(let(found, of))
+def pieces(text: Column, gaps: Column, mark: Callable[[Column], Column]) -> Column:
+    """The pieces text[a:z] of sorted gaps joined, mark(gap) behind each. Pieces are cut from blocks of the text, since a substring counts from the text's begin."""
 
+    def block(width: Column) -> Column:
+        n = ((F.size(gaps) - 1) / width).cast("int")
 
-FEATURES = ("digits", "letters", "length", "separators", "distinct", "good", "bad", "ssn_form", "tel_form", "mail", "secret")
+        def of(b: Column) -> Column:
+            own = F.slice(gaps, b * width + 1, width)
 
+            def inside(g: Column) -> Column:
+                first = F.element_at(g, 1)["a"]
+                part = F.substring(text, first + 1, F.element_at(g, -1)["z"] - first)
+                return let(part, lambda p: F.array_join(F.transform(g, lambda x: F.concat(F.substring(p, x["a"] - first + 1, x["z"] - x["a"]), mark(x))), ""))
 
-def features(kind: str, m: Column, before: Column) -> dict[str, Column]:
-    """Format and context of a proposal, as doubles."""
-    f = {
-        "digits": F.length(digits(m)),
-        "letters": F.length(F.regexp_replace(m, "[^A-Za-z]", "")),
-        "length": F.length(m),
-        "separators": F.length(F.regexp_replace(m, r"[^\x20.()-]", "")),
-        "distinct": F.size(F.array_distinct(F.split(digits(m), ""))),
-        "good": before.rlike(GOOD_CONTEXT).cast("int"),
-        "bad": before.rlike(BAD_CONTEXT).cast("int"),
-        "ssn_form": m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$").cast("int"),
-        "tel_form": m.rlike(r"^[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}$").cast("int"),
-        "mail": F.lit(int(kind == "mail")),
-        "secret": F.lit(int(kind == "secret")),
-    }
-    return {k: f[k].cast("double") for k in FEATURES}
+            return let(own, inside)
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), of), "")
+
+    return let(F.ceil(F.sqrt(F.size(gaps))).cast("int"), block)
+
+
+FEATURES = ("digits", "lower", "upper", "length", "signs", "distinct", "changes", "good", "bad", "form", "equals", "quoted", "placeholder")
+
+
+def value_of(kind: str, m: Column) -> Column:
+    """What stands behind the key word, without quotes; the whole match of other kinds."""
+    return F.regexp_replace(F.regexp_replace(m, r"^[^=:]*(?:=>|[=:])[\x20\"']*", ""), r"[\"']$", "") if kind in ("secret", "account") else m
+
+
+def form_of(kind: str, m: Column, v: Column) -> Column:
+    if kind == "mail":
+        return F.when(m.rlike(r"[(\[](?:at|dot)[)\]]|\x20dot\x20"), 2).when(m.rlike(r"(?i:\.(?:com|org|net|edu|gov|io))$"), 1).otherwise(0)
+    if kind == "secret":
+        return m.rlike(r"^(?i:pass|pwd|secret)").cast("int")
+    if kind == "key":
+        return F.when(v.rlike(f"^{PREFIXES}"), 2).when(v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 1).otherwise(0)
+    if kind == "iban":
+        return (remainder(m) == 1).cast("int")
+    if kind == "number":
+        return F.when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), 4).when(m.rlike(r"^(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}$"), 3).when(m.rlike(r"^[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}$"), 2).when(m.rlike("^[0-9]+$"), 1).otherwise(0)
+    return F.lit(0)
+
+
+def features(kind: str, m: Column, before: Column) -> Column:
+    """Format and context of a proposal, as an array of doubles."""
+
+    def of(v: Column) -> Column:
+        n = lambda drop: F.length(F.regexp_replace(v, drop, ""))
+        f = {
+            "digits": n("[^0-9]"),
+            "lower": n("[^a-z]"),
+            "upper": n("[^A-Z]"),
+            "length": F.length(v),
+            "signs": n("[0-9A-Za-z]"),
+            "distinct": F.size(F.array_distinct(F.split(v, ""))),
+            "changes": F.length(F.regexp_replace(F.regexp_replace(v, "[0-9]+", "0"), "[A-Za-z]+", "a")),
+            "good": before.rlike(GOOD_CONTEXT).cast("int"),
+            "bad": before.rlike(BAD_CONTEXT).cast("int"),
+            "form": form_of(kind, m, v),
+            "equals": m.contains("=").cast("int"),
+            "quoted": m.rlike("[\"']").cast("int"),
+            "placeholder": v.rlike(PLACEHOLDER).cast("int"),
+        }
+        return F.array(*[f[k].cast("double") for k in FEATURES])
+
+    return let(value_of(kind, m), of)
 
 
 def labelled(n: int = LABELLED_ROWS, seed: int = SEED) -> list[tuple[str, str, str, int]]:
-    """Kind, words before, proposal and whether it is personal: examples made by rule."""
+    """Kind, words before, proposal and whether it is personal: examples made by rule, as many of each kind. Spacing, quotes and case are drawn apart from the label."""
     r = random.Random(seed)
-    num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(3, 8)))
-    good = ("call me at ", "phone: ", "tel ", "contact ", "mobile ", "fax: ", "SSN ", "my account is ")
-    bad = ("order no ", "invoice ", "ISBN ", "version ", "page ", "ref: ", "item ", "serial ")
-    plain = lambda: word() + " " + word() + " "
-    rows = []
-    for _ in range(n):
+    some = lambda letters, a, b: "".join(r.choice(letters) for _ in range(r.randint(a, b)))
+    num = lambda k: some("0123456789", k, k)
+    lower, upper, figures = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    word = lambda: some("abcdefghilmnoprstu", 3, 8)
+    plain = lambda: r.choice((f"{word()} {word()} ", f"{word()}. ", "", f"{word()}, ", f"{word()}### "))
+    good = lambda: r.choice(("call me at ", "phone: ", "tel ", "contact ", "mobile ", "fax: ", "SSN ", "my account is ", "my number is ", "reach us at "))
+    bad = lambda: r.choice(("order no ", "invoice ", "ISBN ", "version ", "page ", "ref: ", "item ", "serial ", "total "))
+
+    def assigned(names: tuple[str, ...], value: str) -> str:
+        name = r.choice(names)
+        name = r.choice((name, name, name.upper(), name.title()))
+        quote = r.choice(("", "", "'", '"'))
+        after = r.choice(("", quote))
+        return f"{name}{after if quote else ''}{r.choice(('=', ':', ' = ', ': ', ' : ', '= ', ' =>', ' => ')) if names is secrets else r.choice(('=', ':', ' = ', ': '))}{quote}{value}{quote}"
+
+    secrets = ("password", "passwd", "pwd", "passphrase", "secret", "token", "api_key", "api-key", "apikey", "key", "auth", "credential")
+    accounts = ("user", "username", "user_name", "user-id", "login", "account", "acct", "handle")
+
+    def mail() -> tuple[str, str, int]:
+        host, end = word(), r.choice(("com", "org", "net", "edu", "io"))
+        name = r.choice((word(), f"{word()}.{word()}", f"{word()}{num(2)}"))
+        if r.random() < 0.55:
+            return plain(), r.choice((f"{name} (at) {host} (dot) {end}", f"{name}(at){host}.{end}", f"{name} [at] {host} [dot] {end}", f"{name} at {host} dot {end}", f"{name}[at]{host}.{end}", f"{name} at {host}.{end}")), 1
+        return plain(), r.choice((f"{word()} at {word()}.{word()}", f"{word()} at {word()}. {word()}", f"{word()} at {word()}. {word().title()}")), 0
+
+    def secret() -> tuple[str, str, int]:
+        if r.random() < 0.55:
+            value = r.choice((some("0123456789abcdef", 10, 64), some(lower + upper + figures, 8, 40), word() + num(r.randint(1, 4)) + r.choice(("", word())), some(lower, 9, 20), some(lower + upper + figures + "!#$%&*+-?@^_", 8, 24) + num(1), num(1) + some(lower + figures, 9, 30)))
+            if value.isalpha() and value.islower():
+                return plain(), r.choice(("password", "passwd", "pwd", "passphrase", "secret")) + r.choice(("=", "='", ' = "', ': "', "=")) + value, 1
+            return plain(), assigned(secrets, value), 1
+        value = r.choice((word(), word(), some(lower, 4, 8), some(lower, 4, 8) + r.choice((".", "!", "?")), "null", "none", "true", "false", "required", "string", "changeme", "xxxxxxxx", "********", "${SECRET}", "your_password", "{{token}}", "[hidden]", "%s%s"))
+        return plain(), assigned(secrets, value) if not value.islower() or r.random() < 0.3 else r.choice(secrets) + r.choice((": ", " : ")) + value, 0
+
+    def account() -> tuple[str, str, int]:
+        if r.random() < 0.5:
+            return plain(), assigned(accounts, r.choice((f"{word()}{num(r.randint(2, 4))}", f"{word()}_{word()}", f"{word()}.{word()}{r.choice(('', num(2)))}", num(r.randint(6, 12)), f"{word()}-{num(3)}"))), 1
+        return plain(), assigned(accounts, r.choice((word(), word() + ".", "null", "none", "true", "string", "required", "unknown", word().title()))), 0
+
+    def key() -> tuple[str, str, int]:
+        c = r.random()
+        if c < 0.3:
+            return plain(), r.choice(("AKIA" + some(upper + "234567", 16, 16), "ASIA" + some(upper + "234567", 16, 16), "AIza" + some(lower + upper + figures + "_-", 35, 35), "ghp_" + some(lower + upper + figures, 36, 36), "glpat-" + some(lower + upper + figures, 20, 20), "sk_live_" + some(lower + upper + figures, 24, 24), "sk-" + some(lower + upper + figures, 32, 48), "xoxb-" + num(11) + "-" + some(lower + upper + figures, 24, 24), "hf_" + some(lower + upper + figures, 34, 34), "eyJ" + some(lower + upper + figures, 20, 40) + "." + some(lower + upper + figures, 20, 40) + "." + some(lower + upper + figures, 20, 40))), 1
+        if c < 0.4:
+            return plain(), some(lower + upper, 9, 20) + num(2) + some(lower + upper + figures, 12, 30) + r.choice(("", "=", "==")), 1
+        if c < 0.5:
+            return r.choice(("bearer ", "secret key ", "my token ", "credentials ")), some("0123456789abcdef", 32, 64), 1
+        if c < 0.6:
+            return r.choice(("commit ", "sha256: ", "md5=", "checksum ", "uuid ", "hash: ")), r.choice((some("0123456789abcdef", 32, 64), "-".join(some("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12)))), 0
+        if c < 0.75:
+            return plain(), some("0123456789abcdef", 24, 64), 0
+        return plain(), r.choice(("-".join(word() for _ in range(5)) + "-" + num(r.randint(1, 4)), "/".join(word() for _ in range(5)) + num(r.randint(1, 2)), "_".join(word() for _ in range(4)) + "_v" + num(1) + "_" + word(), "sk-" + "-".join(word() for _ in range(3)), some(lower, 20, 30) + num(1), some(lower, 12, 24) + "-" + num(4) + "-" + word())), 0
+
+    def iban() -> tuple[str, str, int]:
+        country, body = some(upper, 2, 2), r.choice((some(figures, 12, 26), some(upper, 4, 4) + some(figures, 10, 18)))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        y = int(r.random() < 0.5)
+        if not y:
+            check = (check + r.randint(1, 90)) % 97
+        text = f"{country}{check:02d}{body}"
+        if r.random() < 0.5:
+            text = " ".join(text[i : i + 4] for i in range(0, len(text), 4))
+        return r.choice((plain(), good())), text, y
+
+    def number() -> tuple[str, str, int]:
+        tel = lambda marks: f"{num(3)}{(a := r.choice(marks))}{num(3)}{r.choice((a, a, r.choice(marks)))}{num(4)}"
         c = r.randint(0, 9)
         if c == 0:
-            rows.append(("mail", plain(), f"{word()} (at) {word()} (dot) com", 1))
-        elif c == 1:
-            rows.append(("mail", plain(), f"{word()} at {word()}.{word()}", 0))
-        elif c == 2:
-            rows.append(("secret", plain(), "password=" + "".join(r.choice("0123456789abcdef") for _ in range(r.randint(8, 24))), 1))
-        elif c == 3:
-            rows.append(("secret", plain(), f"{r.choice(('token', 'secret'))}: {word()}", 0))
-        elif c == 4:
-            rows.append(("number", r.choice(good), f"{num(3)}{r.choice('-. ')}{num(3)}{r.choice('-. ')}{num(4)}", 1))
-        elif c == 5:
-            rows.append(("number", r.choice((*good, plain())), f"{num(3)}-{num(2)}-{num(4)}", 1))
-        elif c == 6:
-            rows.append(("number", r.choice(bad), f"{num(3)}{r.choice('-. ')}{num(3)}{r.choice('-. ')}{num(4)}", 0))
-        elif c == 7:
-            rows.append(("number", r.choice((*bad, plain())), num(r.randint(7, 22)), 0))
-        elif c == 8:
-            rows.append(("number", plain(), " ".join(num(r.randint(1, 4)) for _ in range(r.randint(5, 9))), 0))
-        else:
-            rows.append(("number", r.choice(good), num(r.randint(9, 12)), 1))
-    return rows
-
-
-def fit(x: list[tuple[float, ...]], y: list[int], rounds: int = ROUNDS) -> list:
+            return good(), tel("-. "), 1
+        if c == 1:
+            return r.choice((good(), plain())), r.choice((tel("-."), f"({num(3)}) {num(3)}-{num(4)}")), 1
+        if c in (2, 3):
+            return r.choice((good(), plain())), f"{num(3)}-{num(2)}-{num(4)}", 1
+        if c == 4:
+            return good(), num(r.randint(9, 12)), 1
+        if c == 5:
+            return bad(), r.choice((tel("-. "), f"{num(3)}-{num(2)}-{num(4)}")), 0
+        if c == 6:
+            return r.choice((bad(), plain())), num(r.randint(7, 22)), 0
+        if c == 7:
+            return plain(), " ".join(num(r.randint(1, 4)) for _ in range(r.randint(5, 7))), 0
+        if c == 8:
+            return plain(), r.choice((f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(1)}.{num(2)}.{num(3)}.{num(3)}", f"{num(3)} {num(3)} {num(4)}")), 0
+        return plain(), r.choice((f"{num(4)} {num(4)} {num(4)} {num(4)}", f"{num(1)} {num(3)} {num(3)} {num(3)}", f"{num(4)}-{num(4)}", f"{num(2)}-{num(5)}-{num(3)}")), 0
+
+    makers = {"mail": mail, "secret": secret, "account": account, "key": key, "iban": iban, "number": number}
+    return [(kind, *makers[kind]()) for i in range(n) for kind in (GENERATORS[i % len(GENERATORS)][0],)]
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> list:
     """Depth-two trees (feature, threshold, low, high), low and high being trees or values, by Newton steps on the logistic loss."""
-    score = [0.0] * len(y)
+    score = np.zeros(len(y))
     trees = []
 
-    def value(rows, g, h):
-        return SHRINK * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1.0)
-
-    def gain(rows, g, h):
-        return sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + 1.0)
-
-    def grow(rows, g, h, depth):
-        best = (1e-9, None)
-        if depth:
-            whole = gain(rows, g, h)
-            for k in range(len(FEATURES)):
-                levels = sorted({x[i][k] for i in rows})
-                for a, b in zip(levels, levels[1:]):
-                    low, high = [i for i in rows if x[i][k] <= a], [i for i in rows if x[i][k] > a]
-                    more = gain(low, g, h) + gain(high, g, h) - whole
-                    if more > best[0] + 1e-12:
-                        best = (more, (k, (a + b) / 2, low, high))
+    def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
+        best, whole = (1e-9, None), g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
+        for k in range(x.shape[1]) if depth else ():
+            order = rows[x[rows, k].argsort(kind="stable")]
+            value = x[order, k]
+            cut = np.flatnonzero(value[1:] > value[:-1])
+            if not len(cut):
+                continue
+            gs, hs = g[order].cumsum(), h[order].cumsum()
+            more = gs[cut] ** 2 / (hs[cut] + 1.0) + (gs[-1] - gs[cut]) ** 2 / (hs[-1] - hs[cut] + 1.0) - whole
+            i = int(more.argmax())
+            if more[i] > best[0] + 1e-12:
+                best = (float(more[i]), (k, float(value[cut[i]] + value[cut[i] + 1]) / 2))
         if best[1] is None:
-            return value(rows, g, h)
-        k, at, low, high = best[1]
-        return k, at, grow(low, g, h, depth - 1), grow(high, g, h, depth - 1)
+            return float(SHRINK * g[rows].sum() / (h[rows].sum() + 1.0))
+        k, at = best[1]
+        return k, at, grow(rows[x[rows, k] <= at], g, h, depth - 1), grow(rows[x[rows, k] > at], g, h, depth - 1)
 
     for _ in range(rounds):
-        p = [1 / (1 + math.exp(-s)) for s in score]
-        g, h = [b - a for a, b in zip(p, y)], [a * (1 - a) for a in p]
-        tree = grow(range(len(y)), g, h, 2)
-        trees.append(tree)
-        score = [s + predict(tree, row) for s, row in zip(score, x)]
+        p = 1 / (1 + np.exp(-score))
+        trees.append(grow(np.arange(len(y)), y - p, p * (1 - p), 2))
+        score += [predict(trees[-1], row) for row in x]
     return trees
 
 
@@ -205,32 +355,35 @@ def predict(tree, row) -> float:
     return tree
 
 
-def thresholds(trees: list, rows: list[tuple[str, tuple[float, ...], int]]) -> dict[str, float]:
-    """For each generator the lowest score from which on held-out rows are personal with PRECISION; none is infinite."""
-    found = {}
-    for kind in {r[0] for r in rows}:
-        own = sorted(((sum(predict(t, x) for t in trees), y) for k, x, y in rows if k == kind), reverse=True)
-        best, hits = math.inf, 0
-        for i, (s, y) in enumerate(own):
-            hits += y
-            if (i + 1 == len(own) or own[i + 1][0] < s) and hits >= PRECISION * (i + 1):
-                best = s
-        found[kind] = best
-    return found
+def threshold(scores: list[float], y: list[int]) -> float:
+    """The lowest score, of even odds at least, from which on held-out rows are personal with PRECISION; none is infinite."""
+    own = sorted(zip(scores, y), reverse=True)
+    best, hits = math.inf, 0
+    for i, (s, right) in enumerate(own):
+        hits += right
+        if (i + 1 == len(own) or own[i + 1][0] < s) and hits >= PRECISION * (i + 1):
+            best = s
+    return max(best, 0.0)
 
 
-def model(spark: SparkSession) -> tuple[list, dict[str, float]]:
-    """Trees and thresholds: even rows fit, odd rows calibrate."""
-    table = spark.createDataFrame([(i, *row) for i, row in enumerate(labelled())], "i int, kind string, before string, m string, y int")
-    rows = []
+def featured(spark: SparkSession, rows: list[tuple[str, str, str, int]]) -> list[tuple[str, tuple[float, ...], int]]:
+    """Kind, features and label of labelled rows, in their order."""
+    table = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "i int, kind string, before string, m string, y int")
+    values = F.lit(None).cast("array<double>")
     for kind, _, _ in GENERATORS:
-        part = table.where(F.col("kind") == kind)
-        values = F.array(*features(kind, F.col("m"), F.col("before")).values())
-        rows += [(r["i"], kind, tuple(r["x"]), r["y"]) for r in part.select("i", "y", values.alias("x")).collect()]
-    rows.sort()
-    train, held = [r for r in rows if r[0] % 2 == 0], [r for r in rows if r[0] % 2]
-    trees = fit([r[2] for r in train], [r[3] for r in train])
-    return trees, thresholds(trees, [r[1:] for r in held])
+        values = F.when(F.col("kind") == kind, features(kind, F.col("m"), F.col("before"))).otherwise(values)
+    return [(r["kind"], tuple(r["x"]), r["y"]) for r in sorted(table.select("i", "kind", "y", values.alias("x")).collect())]
+
+
+@lru_cache(maxsize=1)
+def model(spark: SparkSession) -> dict[str, tuple[list, float]]:
+    """Trees and threshold of each kind: even rows fit, odd rows calibrate."""
+    found, rows = {}, featured(spark, labelled())
+    for kind, _, _ in GENERATORS:
+        own = [r for r in rows if r[0] == kind]
+        trees = fit(np.array([r[1] for r in own[::2]]), np.array([r[2] for r in own[::2]], float))
+        found[kind] = trees, threshold([sum(predict(t, x) for t in trees) for _, x, _ in own[1::2]], [y for _, _, y in own[1::2]])
+    return found
 
 
 def tree_sql(tree, x: list[Column]) -> Column:
@@ -239,34 +392,45 @@ def tree_sql(tree, x: list[Column]) -> Column:
     return F.when(x[tree[0]] <= tree[1], tree_sql(tree[2], x)).otherwise(tree_sql(tree[3], x))
 
 
-RATED = "array<struct<o:double,l:int,s:int,e:int,m:string,k:string>>"
+RATED = "array<struct<s:int,e:int,o:double,l:int,k:string,m:string>>"
 
 
-def rated(text: Column, blank: Column, kind: str, pattern: str, need: str, trees: list, limit: float) -> Column:
-    """Proposals of a generator whose score reaches the limit, the best first in their order: score and length (both negative), span and kind."""
+def rated(text: Column, kind: str, patterns: tuple[str, ...], need: str, trees: list, limit: float) -> Column:
+    """Proposals of a kind whose score reaches the limit: span, score and length (both negative), kind and text."""
     if limit == math.inf:
         return F.array().cast(RATED)
 
     def scored(x: Column) -> Column:
-        start = F.greatest(x["s"] - BEFORE, F.lit(0))
-        before = F.substring(text, start + 1, x["s"] - start)
-
         def of(values: Column) -> Column:
             f = [F.get(values, F.lit(i)) for i in range(len(FEATURES))]
-            return F.struct((-sum((tree_sql(t, f) for t in trees), F.lit(0.0))).alias("o"), (x["s"] - x["e"]).alias("l"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(kind).alias("k"))
+            score = sum((tree_sql(t, f) for t in trees), F.lit(0.0))
+            return F.struct(x["s"].alias("s"), x["e"].alias("e"), (-score).alias("o"), (x["s"] - x["e"]).alias("l"), F.lit(kind).alias("k"), x["m"].alias("m"))
 
-        return let(F.array(*features(kind, x["m"], before).values()), of)
+        return let(features(kind, x["m"], x["b"]), of)
 
-    return F.when(blank.rlike(need), F.filter(F.transform(spans(blank, pattern), scored), lambda x: x["o"] <= 1e-9 - limit).cast(RATED)).otherwise(F.array().cast(RATED))
+    proposed = F.concat(*[spans(text, p, True) for p in patterns])
+    return F.when(text.rlike(need), F.filter(F.transform(proposed, scored), lambda x: x["o"] <= 1e-9 - limit).cast(RATED)).otherwise(F.array().cast(RATED))
 
 
 def winners(proposals: Column) -> Column:
-    """Of overlapping proposals the best."""
+    """Of overlapping proposals the best, settled inside groups of proposals that touch."""
+
+    def best(group: Column) -> Column:
+        ordered = F.array_sort(F.transform(group, lambda x: F.struct(x["o"].alias("o"), x["l"].alias("l"), x["s"].alias("s"), x["k"].alias("k"), x.alias("x"))))
+
+        def step(won: Column, y: Column) -> Column:
+            return F.when(F.exists(won, lambda w: (w["s"] < y["x"]["e"]) & (y["x"]["s"] < w["e"])), won).otherwise(F.concat(won, F.array(y["x"])))
 
-    def step(won: Column, x: Column) -> Column:
-        return F.when(F.exists(won, lambda w: (w["s"] < x["e"]) & (x["s"] < w["e"])), won).otherwise(F.concat(won, F.array(x)))
+        return F.aggregate(ordered, F.array().cast(RATED), step)
 
-    return F.aggregate(F.array_sort(proposals), F.array().cast(RATED), step)
+    def grouped(x: Column) -> Column:
+        def of(reach: Column) -> Column:
+            heads = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i)["s"] >= F.get(reach, i - 1)))
+            return let(heads, lambda h: F.flatten(F.transform(h, lambda a, j: best(F.slice(x, a + 1, F.coalesce(F.get(h, j + 1), F.size(x)) - a)))))
+
+        return let(let(F.transform(x, lambda y: y["e"]), lambda ends: scan(ends, F.greatest)), of)
+
+    return F.when(F.size(proposals) < 2, proposals).otherwise(let(F.array_sort(proposals), grouped))
 
 
 def told(kind: str, found: Column) -> Column:
@@ -275,14 +439,12 @@ def told(kind: str, found: Column) -> Column:
 
 def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to keep, and the spans by kind (arrays of start, end, text) of every document."""
-    trees, limits = model(docs.sparkSession)
+    chosen = model(docs.sparkSession)
     x = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
     x = x.withColumns({f"__{k}": v for k, v in base_spans(F.col("__text")).items()})
-    blank = F.col("__text")
-    for k in BASE_KINDS:
-        x = x.withColumn(f"__b_{k}", blanked(blank, F.col(f"__{k}")))
-        blank = F.col(f"__b_{k}")
-    proposed = [rated(F.col("__text"), blank, kind, pattern, need, trees, limits.get(kind, math.inf)) for kind, pattern, need in (*GENERATORS, *FORMS)]
+    x = x.withColumn("__base", F.array_sort(F.concat(*[F.transform(f"__{k}", lambda v: F.struct(v["s"].alias("s"), v["e"].alias("e"))) for k in BASE_KINDS])))
+    x = x.withColumn("__blank", blanked(F.col("__text"), F.col("__base")))
+    proposed = [rated(F.col("__blank"), kind, patterns, need, *chosen[kind]) for kind, patterns, need in GENERATORS]
     x = x.withColumn("__proposed", F.concat(*proposed)).withColumn("__won", winners(F.col("__proposed")))
     for kind, _, _ in GENERATORS:
         own = F.filter("__won", lambda v: v["k"] == kind)
@@ -291,12 +453,14 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts and the hash of the base spans, and all spans as text."""
+    """doc_id, counts and the hash of the base spans, all spans as text, and the number of all spans and of those of each added kind."""
     x = find(docs)
     base = F.flatten(F.array(*[told(k, F.col(k)) for k in BASE_KINDS]))
     every = F.concat(base, *[told(g[0], F.col(g[0])) for g in GENERATORS])
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return x.select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"))
+    added = [F.size(g[0]).cast("long").alias(f"n_{g[0]}") for g in GENERATORS]
+    n_spans = sum((F.size(k).cast("long") for k in KINDS), F.lit(0).cast("long")).alias("n_spans")
+    return x.select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"), n_spans, *added)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -306,15 +470,5 @@ def redact(docs: DataFrame) -> DataFrame:
     def named(kind: str) -> Column:
         return F.transform(kind, lambda v: F.struct(v["s"].alias("s"), v["e"].alias("e"), F.lit(kind).alias("k")))
 
-
-    def over(ordered: Column) -> Column:
-        def step(state: Column, v: Column) -> Column:
-            apart = v["s"] >= state["at"]
-            parts = F.array(F.substring(F.col("text"), state["at"] + 1, v["s"] - state["at"]), F.concat(F.lit("["), v["k"], F.lit("]")))
-            return F.struct(F.greatest(state["at"], v["e"]).alias("at"), F.when(apart, F.concat(state["out"], parts)).otherwise(state["out"]).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        return F.aggregate(ordered, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-
     every = F.array_sort(F.concat(*map(named, KINDS)))
-    return x.select("doc_id", F.when(F.size(every) == 0, F.col("text")).otherwise(let(every, over)).alias("text"))
+    return x.select("doc_id", let(every, lambda v: overwritten(F.col("text"), v, lambda g: F.when(g["apart"], F.concat(F.lit("["), g["v"]["k"], F.lit("]"))).otherwise(""))).alias("text"))
