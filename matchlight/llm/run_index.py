@@ -12,7 +12,9 @@ the corpus falls apart into independent groups by gram:
    run-compressed. Longest common prefixes are compared at the ends of runs only and
    streamed through the text for all other suffixes (inside a run each is one less
    than that of the suffix before it). Suffixes that share LENGTH bytes are one class;
-   all but the earliest place of a class are marked.
+   all but the earliest place of a class are marked. An index holds INDEX_SYMBOLS at
+   most: grams are independent, and the windows of a gram with more are parted by the
+   gram's offset in them, which equal windows share.
 4. Marks return to their documents, where covered bytes are cut.
 
 Texts are UTF-8; null counts as empty; texts under LENGTH bytes keep all. Windows
@@ -43,16 +45,18 @@ _PLACE = np.uint64((1 << 24) - 1)
 _SLICE = 1 << 22
 #: Contexts of so many anchors are held at once, of one long text too.
 ANCHORS_AT_ONCE = 200_000
-#: Groups are dealt in so many buckets for each shuffle partition.
-BUCKETS_PER_PARTITION = 8
+#: Bytes of text for each bucket that groups are dealt in.
+BUCKET_BYTES = 2 << 20
+#: Symbols of an index; a group with more is indexed in parts.
+INDEX_SYMBOLS = 1 << 21
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each selected gram, and the first and last start of the windows that select it."""
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each selected gram, the first and last start of the windows that select it, and its place."""
     b = np.frombuffer(data, np.uint8)
     n = len(b) - LENGTH + 1
     if n < 1:
-        return (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        return (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
     found = []
     for first in range(0, n, _SLICE):
         part = b[first : first + _SLICE + LENGTH - 1]
@@ -69,7 +73,7 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = (low & _PLACE).astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         ends = np.concatenate((starts[1:], [len(at)])) - 1
-        found.append((grams[at[starts]], starts + first, ends + first))
+        found.append((grams[at[starts]], starts + first, ends + first, at[starts] + first))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -84,7 +88,7 @@ def unpack48(data: bytes) -> np.ndarray:
 
 
 def bucket_of(grams: np.ndarray, n: int) -> np.ndarray:
-    return ((grams >> np.uint64(48)) % np.uint64(n)).astype(np.int64)
+    return (mix(grams) % np.uint64(n)).astype(np.int64)  # a selected gram's hash is a minimum, so its high bits are mostly 0
 
 
 def split_by(bucket: np.ndarray):
@@ -128,7 +132,7 @@ def deal_grams(docs: DataFrame, buckets: int) -> DataFrame:
                     step = np.diff(o[at], prepend=np.int64(0))
                     rows.append((kind, b"G" + len(at).to_bytes(4, "little") + pack48(g[at]) + squeeze.compress(step.tobytes() + k[at].tobytes())))
                 o, k = o[again], k[again]
-                for kind, at in split_by(bucket_of(mix(o.astype(np.uint64)), buckets)):
+                for kind, at in split_by(bucket_of(o.astype(np.uint64), buckets)):
                     rows.append((kind, b"R" + squeeze.compress(o[at].tobytes() + k[at].tobytes())))
                 yield deal(rows)
 
@@ -196,11 +200,11 @@ def deal_contexts(docs: DataFrame, buckets: int) -> DataFrame:
                 size = 0
                 for doc, z, values in zip(*(part.column(c).to_pylist() for c in ("doc_id", "__z", "__values"))):
                     data = zstandard.decompress(z) if z else b""
-                    g, a, b = anchors(data)
+                    g, a, b, p = anchors(data)
                     k = np.unique(np.frombuffer(b"".join(values), "<u4"))
                     k = k[k < len(g)]
                     for at in np.array_split(k, len(k) // ANCHORS_AT_ONCE + 1):
-                        held.append((g[at], np.full(len(at), doc, np.int64), a[at], [data[x : y + LENGTH] for x, y in zip(a[at].tolist(), b[at].tolist())]))
+                        held.append((g[at], np.full(len(at), doc, np.int64), a[at], (p - a)[at], [data[x : y + LENGTH] for x, y in zip(a[at].tolist(), b[at].tolist())]))
                         size += len(at)
                         if size >= ANCHORS_AT_ONCE:
                             yield deal(blobs(held, squeeze))
@@ -209,8 +213,8 @@ def deal_contexts(docs: DataFrame, buckets: int) -> DataFrame:
                     yield deal(blobs(held, squeeze))
 
     def blobs(held: list[tuple], squeeze) -> list[tuple[int, bytes]]:
-        g, o, s = (np.concatenate([h[i] for h in held]) for i in range(3))
-        contexts = [c for h in held for c in h[3]]
+        g, o, s, lead = (np.concatenate([h[i] for h in held]) for i in range(4))
+        contexts = [c for h in held for c in h[4]]
         order = np.lexsort((s, o))
         firsts, ready = collapse(g[order].tolist(), o[order].tolist(), s[order].tolist(), [contexts[i] for i in order.tolist()])
         sent = order[firsts]
@@ -220,10 +224,10 @@ def deal_contexts(docs: DataFrame, buckets: int) -> DataFrame:
             at = at[g[at].argsort(kind="stable")]
             own = [contexts[i] for i in at.tolist()]
             sizes = np.array([len(c) for c in own], np.uint8)
-            body = pack48(g[at]) + o[at].tobytes() + s[at].astype("<u4").tobytes() + sizes.tobytes() + b"".join(own)
+            body = pack48(g[at]) + o[at].tobytes() + s[at].astype("<u4").tobytes() + sizes.tobytes() + lead[at].astype(np.uint8).tobytes() + b"".join(own)
             rows.append((kind, squeeze.compress(b"C" + len(at).to_bytes(4, "little") + body)))
         if len(ready):
-            for kind, at in split_by(bucket_of(mix(ready[:, 0].astype(np.uint64)), buckets)):
+            for kind, at in split_by(bucket_of(ready[:, 0].astype(np.uint64), buckets)):
                 rows.append((kind, squeeze.compress(b"M" + ready[at].tobytes())))
         return rows
 
@@ -311,7 +315,7 @@ class RunIndex:
 
 def mark(table: pa.Table) -> pa.Table:
     """Step 3: the byte ranges of documents that occur earlier, by document."""
-    grams, owners, starts, contexts, marks = [], [], [], [], []
+    grams, owners, starts, leads, contexts, marks = [], [], [], [], [], []
     for blob in table.column("__blob").to_pylist():
         body = zstandard.decompress(blob)
         if body[:1] == b"M":
@@ -323,29 +327,59 @@ def mark(table: pa.Table) -> pa.Table:
         owners.append(np.frombuffer(body, np.int64, n, at + 6 * n))
         starts.append(np.frombuffer(body, "<u4", n, at + 14 * n))
         sizes = np.frombuffer(body, np.uint8, n, at + 18 * n)
-        ends = np.cumsum(sizes, dtype=np.int64) + at + 19 * n
+        leads.append(np.frombuffer(body, np.uint8, n, at + 19 * n))
+        ends = np.cumsum(sizes, dtype=np.int64) + at + 20 * n
         contexts += [body[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist())]
     if contexts:
-        marks += mark_contexts(np.concatenate(grams), np.concatenate(owners), np.concatenate(starts).astype(np.int64), contexts)
+        marks += mark_contexts(np.concatenate(grams), np.concatenate(owners), np.concatenate(starts).astype(np.int64), np.concatenate(leads).astype(np.int64), contexts)
     found = np.concatenate([np.empty((0, 3), np.int64), *marks])
     return by_document(found[:, 0], found[:, 1:])
 
 
-def mark_contexts(g: np.ndarray, o: np.ndarray, s: np.ndarray, contexts: list[bytes]) -> list[np.ndarray]:
+def mark_contexts(g: np.ndarray, o: np.ndarray, s: np.ndarray, lead: np.ndarray, contexts: list[bytes]) -> list[np.ndarray]:
     """Ranges of all but the first of equal contexts, and of windows in firsts that another first has earlier."""
     order = np.lexsort((s, o))
-    g, o, s, contexts = g[order].tolist(), o[order], s[order], [contexts[i] for i in order.tolist()]
-    firsts, ready = collapse(g, o.tolist(), s.tolist(), contexts)
-    kinds: dict[int, int] = {}
-    for i in firsts:
-        kinds[g[i]] = kinds.get(g[i], 0) + 1
-    several = [i for i in firsts if kinds[g[i]] > 1]
-    if not several:
+    firsts, ready = collapse(g[order].tolist(), o[order].tolist(), s[order].tolist(), [contexts[i] for i in order.tolist()])
+    first = order[firsts]
+    first = first[g[first].argsort(kind="stable")]  # by gram, then by place
+    found = [ready]
+    group: list[int] = []
+    held = 0
+    for own in np.split(first, np.flatnonzero(np.diff(g[first])) + 1) if len(first) else ():
+        if len(own) < 2:
+            continue
+        size = sum(len(contexts[i]) + 1 for i in own.tolist())
+        if size > INDEX_SYMBOLS:
+            found += mark_parts([contexts[i] for i in own.tolist()], o[own], s[own], lead[own], 0, WIDTH - 1)
+            continue
+        if held + size > INDEX_SYMBOLS:
+            found.append(mark_index([contexts[i] for i in group], o[group], s[group]))
+            group, held = [], 0
+        group += own.tolist()
+        held += size
+    if group:
+        found.append(mark_index([contexts[i] for i in group], o[group], s[group]))
+    return found
+
+
+def mark_parts(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, lead: np.ndarray, low: int, high: int) -> list[np.ndarray]:
+    """As mark_contexts, for strings of one gram by place and their windows that have the gram at offsets low to high only."""
+    first = np.maximum(lead - high, 0)
+    last = np.minimum(lead - low + LENGTH, [len(x) for x in strings])
+    some = np.flatnonzero(last - first >= LENGTH)
+    own = [strings[i][a:z] for i, a, z in zip(some.tolist(), first[some].tolist(), last[some].tolist())]
+    docs, starts, lead = docs[some], (starts + first)[some], (lead - first)[some]
+    firsts, ready = collapse([0] * len(own), docs.tolist(), starts.tolist(), own)
+    if len(firsts) < 2 or low == high:  # strings of one window that differ
         return [ready]
-    return [ready, np.array(mark_index([contexts[i] for i in several], o[several], s[several]), np.int64).reshape(-1, 3)]
+    own, docs, starts, lead = [own[i] for i in firsts], docs[firsts], starts[firsts], lead[firsts]
+    if sum(map(len, own)) + len(own) <= INDEX_SYMBOLS:
+        return [ready, mark_index(own, docs, starts)]
+    middle = (low + high) // 2
+    return [ready, *mark_parts(own, docs, starts, lead, low, middle), *mark_parts(own, docs, starts, lead, middle + 1, high)]
 
 
-def mark_index(strings: list[bytes], docs: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+def mark_index(strings: list[bytes], docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Ranges of the strings' windows that an earlier window equals."""
     index = RunIndex(strings)
     number = index.classes(LENGTH)
@@ -356,9 +390,11 @@ def mark_index(strings: list[bytes], docs: np.ndarray, starts: np.ndarray) -> li
     np.minimum.at(earliest, number, place)
     hit = np.flatnonzero(place > earliest[number])
     if not len(hit):
-        return []
+        return np.empty((0, 3), np.int64)
     breaks = np.flatnonzero((np.diff(hit) != 1) | (np.diff(index.owner[hit]) != 0)) + 1
-    return [(int(docs[index.owner[r[0]]]), int(starts[index.owner[r[0]]] + offset[r[0]]), int(starts[index.owner[r[0]]] + offset[r[-1]] + LENGTH)) for r in np.split(hit, breaks)]
+    a, z = hit[np.concatenate(([0], breaks))], hit[np.concatenate((breaks - 1, [len(hit) - 1]))]
+    owner = index.owner[a]
+    return np.stack((docs[owner], starts[owner] + offset[a], starts[owner] + offset[z] + LENGTH), axis=1)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -391,7 +427,8 @@ def cut_ranges(data: bytes, ranges: np.ndarray) -> tuple[int, int, bytes]:
 def marked(docs: DataFrame) -> DataFrame:
     """doc_id, __z and __values: blobs of the (start, end) ranges to cut, null where there are none."""
     docs = docs.select("doc_id", "text")
-    buckets = min(1 << 16, BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     grams = deal_grams(docs.where("doc_id is not null"), buckets).groupBy("__bucket").applyInArrow(repeated, "doc_id long, __values binary")
     asked = grams.groupBy("doc_id").agg(F.collect_list("__values").alias("__values"))
     texts = packed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -98,5 +98,54 @@ def test_slices_of_long_texts(monkeypatch):
     whole = run_index.anchors(data)
     monkeypatch.setattr(run_index, "_SLICE", 300)
     parts = run_index.anchors(data)
-    every = lambda x: [(int(g), s) for g, a, b in zip(*x) for s in range(a, b + 1)]
+    every = lambda x: [(int(g), s) for g, a, b, _ in zip(*x) for s in range(a, b + 1)]
     assert every(whole) == every(parts) and len(every(whole)) == 4901
+
+
+@pytest.mark.parametrize("limit", [0, 300, 5_000, 1 << 21])
+def test_a_gram_with_many_contexts_is_indexed_in_parts(monkeypatch, limit):
+    """One gram in the middle of contexts that share windows at unlike offsets; and the mark of each equals that of all windows."""
+    rng = random.Random(limit)
+    gram = "".join(rng.choice("abcd") for _ in range(run_index.GRAM))
+    sides = ["".join(rng.choice("abcd") for _ in range(90)) for _ in range(4)]
+    rows = []
+    for i in range(400):
+        left, right = rng.choice(sides), rng.choice(sides)
+        if rng.random() < 0.5:
+            left = left[: rng.randint(0, 80)] + "x" + left[-rng.randint(20, 90) :]
+        low = rng.randint(0, 68)
+        lead = min(len(left), rng.randint(low, 68))
+        text = (left[len(left) - lead :] + gram + right)[: rng.randint(run_index.LENGTH, run_index.LENGTH + lead)]
+        if len(text) >= run_index.LENGTH:
+            rows.append((i % 90, 1000 * i, lead, text.encode()))
+    monkeypatch.setattr(run_index, "INDEX_SYMBOLS", limit)
+    g = np.full(len(rows), 7, np.uint64)
+    o, s, lead = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    marks = np.concatenate(run_index.mark_contexts(g, o, s, lead, [r[3] for r in rows]))
+    got = {(d, p) for d, a, z in marks.tolist() for p in range(a, z)}
+    seen, want = set(), set()
+    for d, at, _, text in sorted(rows):
+        for p in range(len(text) - 99):
+            if text[p : p + 100] in seen:
+                want |= {(d, at + q) for q in range(p, p + 100)}
+            seen.add(text[p : p + 100])
+    assert got == want and want
+
+
+def test_a_hot_gram_stays_in_bounds():
+    """200,000 distinct contexts of one gram."""
+    import time
+
+    n = 200_000
+    noise = np.random.default_rng(3).integers(97, 123, (n, 136), dtype=np.uint8)
+    noise[:, 40 : 40 + run_index.GRAM] = 120
+    began = time.time()
+    marks = run_index.mark_contexts(np.full(n, 9, np.uint64), np.arange(n), np.zeros(n, np.int64), np.full(n, 40), [r.tobytes() for r in noise])
+    assert sum(map(len, marks)) == 0 and time.time() - began < 120
+
+
+def test_buckets_are_even():
+    data = np.random.default_rng(1).integers(97, 123, 3_000_000, dtype=np.uint8).tobytes()
+    g = run_index.anchors(data)[0]
+    n = np.bincount(run_index.bucket_of(g, 5_000), minlength=5_000)
+    assert n.max() < 3 * n.mean()
