@@ -51,8 +51,7 @@ WITH l AS (
   SELECT doc_id, place, unnest(CASE
     WHEN 2 * len(list_filter(masked, lambda x: x = '<*>')) > len(masked) THEN [to_json(['line', to_json(raw)::VARCHAR])::VARCHAR]
     WHEN len(masked) < 8 THEN [to_json(['short', to_json(masked)::VARCHAR])::VARCHAR]
-    ELSE [to_json(['odd', len(masked)::VARCHAR, to_json(masked[1:2])::VARCHAR, to_json(list_filter(masked, lambda x, i: i % 2 = 1))::VARCHAR])::VARCHAR,
-          to_json(['even', len(masked)::VARCHAR, to_json(masked[1:2])::VARCHAR, to_json(list_filter(masked, lambda x, i: i % 2 = 0))::VARCHAR])::VARCHAR] END) AS template
+    ELSE [@KEYS] END) AS template
   FROM m
 ), r AS (
   SELECT template, min((doc_id, place)) AS first_at FROM k GROUP BY template HAVING count(DISTINCT doc_id) >= 5
@@ -70,6 +69,14 @@ SELECT documents.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dro
 FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN c ON c.doc_id = documents.doc_id LEFT JOIN kept ON kept.doc_id = documents.doc_id
 """
 
+OP6 = OP6.replace(
+    "@KEYS",
+    ", ".join(
+        f"to_json(['{a}{b}', len(masked)::VARCHAR, to_json(masked[1:1])::VARCHAR, to_json(list_filter(masked, lambda x, i: (i - 1) % 4 IN ({a}, {b})))::VARCHAR])::VARCHAR"
+        for a in range(4) for b in range(a + 1, 4)
+    ),
+)
+
 OP7 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents

@@ -1,20 +1,26 @@
 """Line dedup with a fixed-depth template tree, in DataFrame functions only.
 
-A line goes down the tree by its number of tokens and its leading tokens, with tokens
-that hold a digit read as a variable. At the leaf, a long line stands for two
-templates, one with every odd and one with every even place generalised to a variable,
-so that lines which differ in fields of one kind of place meet; a short line, or one
-with hardly any constant token, stands for itself. A template found in MIN_DOCS
-documents or more recurs, and all lines under it are dropped but the first in the
-corpus (smallest doc_id, then place).
-
-Null and empty texts have no lines and stay. A document of which no line is left goes
-in ``dedup``; ``lines_report`` tells it with all rows. Rows that repeat a doc_id share
-their lines' places. Extra columns stay.
+A line goes down the tree by its number of tokens and its leading token, with tokens
+that hold a digit read as a variable. At the leaf the places are dealt in GROUPS groups,
+and a long line stands for one template for each half of the groups, in which the places
+of the other half are generalised to variables: lines that differ in any GROUPS / 2
+fields meet under a template, and what they agree in is half the line at least. A short
+line, or one with hardly any constant token, stands for itself. A template found in
+MIN_DOCS documents or more recurs, and all lines under it are dropped but the first in
+the corpus (smallest doc_id, then place).
+
+Null and empty texts have no lines and stay. Texts and lines may be of any length. A
+document of which no line is left goes in ``dedup``; ``lines_report`` tells it with all
+rows. Rows that repeat a doc_id are one document, whose places are those of all its rows
+(they keep equal lines if their texts are equal). Rows without an id count as one
+document and keep all their lines. Extra columns stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,27 +29,34 @@ from .native import NOT_SPACE, SPACE, let
 
 MIN_DOCS = 5
 #: Tokens after the count that lead down the tree.
-DEPTH = 2
+DEPTH = 1
+#: Groups of places, by place modulo their number; half of them are kept in a template.
+GROUPS = 4
+KEPT = tuple(combinations(range(GROUPS), GROUPS // 2))
 #: Lines of fewer tokens are not generalised beyond their variables.
 MIN_TOKENS = 8
 VARIABLE = "<*>"
 
 
 def templates(line: Column) -> Column:
-    """Hashes of the templates that a line falls under: two, or one for short or all-variable lines."""
+    """Hashes of the templates that a line falls under: one for each of KEPT, or one for short or all-variable lines."""
     tokens = F.filter(F.split(line, SPACE, -1), lambda t: t != "")
     mask = lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t)
 
+    def at(g: int) -> Callable[[Column, Column], Column]:
+        return lambda t, i: i % GROUPS == g
+
+    def of_groups(groups: Column, n: Column, lead: Column) -> Column:
+        return F.array(*[F.xxhash64(F.lit(k), n, lead, *[F.get(groups, F.lit(g)) for g in kept]) for k, kept in enumerate(KEPT)])
+
     def of_masked(masked: Column, raw: Column) -> Column:
         n = F.size(masked)
         variables = F.size(F.filter(masked, lambda t: t == VARIABLE))
-        lead = F.slice(masked, 1, DEPTH)
-        odd = F.filter(masked, lambda t, i: i % 2 == 0)
-        even = F.filter(masked, lambda t, i: i % 2 == 1)
+        groups = F.array(*[F.xxhash64(F.filter(masked, at(g))) for g in range(GROUPS)])
         return (
             F.when(2 * variables > n, F.array(F.xxhash64(F.lit("line"), raw)))
             .when(n < MIN_TOKENS, F.array(F.xxhash64(F.lit("short"), masked)))
-            .otherwise(F.array(F.xxhash64(F.lit("odd"), n, lead, odd), F.xxhash64(F.lit("even"), n, lead, even)))
+            .otherwise(let(groups, lambda x: of_groups(x, n, F.slice(masked, 1, DEPTH))))
         )
 
     return let(tokens, lambda raw: let(F.transform(raw, mask), lambda masked: of_masked(masked, raw)))

@@ -118,7 +118,22 @@ def brute_templates(line):
         return [("line", *ws)]
     if len(masked) < template_tree.MIN_TOKENS:
         return [("short", *masked)]
-    return [(name, len(masked), *masked[:2], "|", *masked[first::2]) for name, first in (("odd", 0), ("even", 1))]
+    return [(a, b, len(masked), masked[0], "|", *(t for i, t in enumerate(masked) if i % 4 in (a, b))) for a in range(4) for b in range(a + 1, 4)]
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "user {0} {1} logged in from the main gate today",
+        "Posted by {0} in the {1} section on this site",
+        "the {0} was sold to {1} at a very good price",
+    ],
+)
+def test_fields_at_places_of_any_kind(spark, line):
+    rng = random.Random(4)
+    texts = [prose(rng, 30) + "\n" + line.format(prose(rng, 1) + "a", prose(rng, 1) + "b") for _ in range(8)]
+    got = by_id(template_tree.lines_report(table(spark, texts)))
+    assert [got[i]["n_dropped"] for i in range(8)] == [0] + [1] * 7
 
 
 def test_line_templates(spark):
