@@ -107,7 +107,7 @@ def distance_bounds(samples: DataFrame, low: float = 5, high: float = 95, draws:
 
     n = samples.count()
     x = indexed(samples).select("idx", "x")
-    d = samples.sparkSession.range(draws).select(draw(F.col("id"), F.lit(1), F.lit(n), 5).alias("ia"), draw(F.col("id") * 17, F.lit(3), F.lit(n), 9).alias("ib"))
+    d = samples.sparkSession.range(draws).select(draw(F.col("id"), F.lit(1), F.lit(n), 5).alias("ia"), draw(F.col("id"), F.lit(3), F.lit(n), 9).alias("ib"))
     a, b = x.select(F.col("idx").alias("ia"), F.col("x").alias("xa")), x.select(F.col("idx").alias("ib"), F.col("x").alias("xb"))
     dist = d.join(a, "ia").join(b, "ib").select(vec.squared_distance(F.col("xa"), F.col("xb")).alias("v"))
     at = lambda p: F.min("v") + F.lit((p - 0.5) / 100) * (F.max("v") - F.min("v"))
@@ -187,43 +187,65 @@ def ldml(pairs: DataFrame, dim: int, start: np.ndarray, bias: float = 1.0, steps
     return p[:-1].reshape(d0, dim), float(p[-1]), told
 
 
-def lmnn(samples: DataFrame, k: int = 3, pull: float = 0.5, rate: float = 1e-3, steps: int = 10, refresh: int = 5) -> tuple[np.ndarray, list[float]]:
-    """L of a large-margin metric: targets stay, impostors are searched anew every few steps; sums of outer products are made in tasks, the step on the driver."""
-    from ..operators import knn
+def lmnn(samples: DataFrame, k: int = 3, pull: float = 0.5, rate: float = 1e-3, steps: int = 50, tolerance: float = 1e-4) -> tuple[np.ndarray, list[float]]:
+    """L of a large-margin metric, by gradient steps until the loss falls by less than tolerance of it; targets stay.
+
+    A step is one comparison of all rows in blocks: a block gives its hinge sum and its d by d sum of outer products,
+    so impostors are those of every step and neither they nor their triples are ever stored.
+    """
+    from ..operators import knn, score
     from ..scratch import cut
 
-    d = len(samples.first()["x"])
-    l = np.eye(d)
+    first = samples.select("x").first()
+    d = len(first["x"]) if first else 0
     x = samples.select("id", "person", "x")
     targets = cut(knn.target_neighbours(x, k))
-    away = cut(targets.join(x.select(F.col("id").alias("i"), F.col("x").alias("xi")), "i").join(x.select(F.col("id").alias("j"), F.col("x").alias("xj")), "j"))
-    pulled = cov.to_matrix(cov.scatter(away, vec.subtract(F.col("xi"), F.col("xj"))), mean=False)
-    told, triples = [], None
-    for step in range(steps):
-        if triples is None or step % refresh == 0:
-            m = vec.matrix(l)
-            moved = cut(x.select("id", "person", "x", vec.matvec(m, F.col("x")).alias("y")))
-            margins = cut(knn.margins(moved.select("id", "person", F.col("y").alias("x")), k, 1.0))
-            triples = cut(knn.impostors(moved.select("id", "person", F.col("y").alias("x")), margins).select("i", "l"))
-        b = vec.matrix(l)
-        xs = x.select("id", "x")
-        t = triples.join(targets.select("i", "j"), "i")
-        t = t.join(xs.select(F.col("id").alias("i"), F.col("x").alias("xi")), "i").join(xs.select(F.col("id").alias("j"), F.col("x").alias("xj")), "j").join(xs.select(F.col("id").alias("l"), F.col("x").alias("xl")), "l")
-        dij, dil = vec.subtract(F.col("xi"), F.col("xj")), vec.subtract(F.col("xi"), F.col("xl"))
-        size = lambda v: vec.dot(vec.matvec(b, v), vec.matvec(b, v))
-        t = cut(t.select(dij.alias("dij"), dil.alias("dil"), (1 + size(dij) - size(dil)).alias("h")).where("h > 0"))
-        hinge = t.agg(F.coalesce(F.sum("h"), F.lit(0.0)).alias("h")).first()["h"]
-        push = np.zeros((d, d))
-        if hinge > 0:
-            push = cov.to_matrix(cov.scatter(t, F.col("dij")), mean=False) - cov.to_matrix(cov.scatter(t, F.col("dil")), mean=False)
-        told.append((1 - pull) * float(np.trace(l @ pulled @ l.T)) + pull * hinge)
-        if len(told) > 1 and told[-1] > told[-2]:
+    away = targets.join(x.select(F.col("id").alias("i"), F.col("x").alias("xi")), "i").join(x.select(F.col("id").alias("j"), F.col("x").alias("xj")), "j")
+    away = cut(away.select("i", vec.subtract(F.col("xi"), F.col("xj")).alias("d")))
+    pulled = cov.to_matrix(cov.scatter(away, F.col("d")), mean=False)
+    probes = cut(x.join(away.groupBy(F.col("i").alias("id")).agg(F.flatten(F.collect_list("d")).alias("away")), "id"))
+    held = score.Probes(probes, ("id", "person", "away"))
+
+    def whole(l: np.ndarray) -> tuple[float, np.ndarray]:
+        def make(scores: np.ndarray, p: dict, g: dict) -> dict:
+            hinge, push = 0.0, np.zeros((d, d))
+            weight = np.zeros_like(scores)
+            for a in range(scores.shape[1]):
+                dij = np.asarray(p["away"][a], float).reshape(-1, d)
+                far = ((dij @ l.T) ** 2).sum(axis=1)
+                h = np.where((g["person"] != p["person"][a])[:, None], 1 + far[None, :] - scores[:, a][:, None], 0.0)
+                active = h > 0
+                hinge += h[active].sum()
+                push += (dij * active.sum(axis=0)[:, None]).T @ dij
+                weight[:, a] = active.sum(axis=1)
+            cross = g["x"].T @ weight @ p["x"]
+            push -= (g["x"] * weight.sum(axis=1)[:, None]).T @ g["x"] + (p["x"] * weight.sum(axis=0)[:, None]).T @ p["x"] - cross - cross.T
+            return {"v": [[float(hinge), *push.ravel().tolist()]]}
+
+        under = lambda g, p: score.squared(g @ l.T, p @ l.T)
+        rows = score.compare(held, x, under, make=make, made="v array<double>")
+        rows = rows.select(F.posexplode("v").alias("c", "v")).groupBy("c").agg(F.sum("v").alias("v")).collect()
+        out = np.zeros(d * d + 1)
+        for r in rows:
+            out[r["c"]] = r["v"]
+        push = out[1:].reshape(d, d)
+        return (1 - pull) * float(np.trace(l @ pulled @ l.T)) + pull * out[0], 2 * l @ ((1 - pull) * pulled + pull * push)
+
+    best = np.eye(d)
+    told, slope = [], None
+    trial = best
+    for _ in range(steps):
+        loss, grad = whole(trial)
+        if told and loss > told[-1]:
             rate /= 2
-            l = best
         else:
-            rate *= 1.01
-            best = l
-        l = l - rate * 2 * l @ ((1 - pull) * pulled + pull * push)
+            fell = told[-1] - loss if told else np.inf
+            best, slope = trial, grad
+            told.append(loss)
+            if fell < tolerance * abs(loss):
+                break
+            rate *= 1.2
+        trial = best - rate * slope
     return best, told
 
 

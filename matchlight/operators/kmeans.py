@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pairs import PRIME, mixed
+
 STRATEGIES = ("largest_variance", "largest_points_number", "farthest_point", "error")
 
 
@@ -16,7 +18,7 @@ class EmptyClusterError(ValueError):
 
 def unit_draw(i: Column, turn: int) -> Column:
     """A fixed number in (0, 1) for a row and a turn."""
-    return (F.pmod(i * 7919 + turn * 104729 + 1, F.lit(10007)) + 0.5) / 10007.0
+    return (mixed(i, F.lit(turn), 1) + 0.5) / float(PRIME)
 
 
 def weighted_draw(weighted: DataFrame, turn: int) -> DataFrame:

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from .score import score
+from ..scratch import cut
+from .score import KERNELS, Probes, compare, nearest, score
 
 
 def neighbours(test: DataFrame, train: DataFrame, k: int, measure=vec.squared_distance, skip_self: bool = False) -> DataFrame:
-    """test, train, label, d, rk: the k nearest rows of train; ties to the lower id."""
-    t = test.select("id", "person", F.lit(0).alias("cam"), "x")
-    g = train.select("id", "person", F.lit(0).alias("cam"), "x")
-    s = score(t, g, measure)
-    if skip_self:
-        s = s.where("probe_id <> gallery_id")
-    w = Window.partitionBy("probe_id").orderBy("score", "gallery_id")
-    s = s.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-    return s.select(F.col("probe_id").alias("test"), F.col("probe_person").alias("truth"), F.col("gallery_id").alias("train"), F.col("gallery_person").alias("label"), F.col("score").alias("d"), "rk")
+    """test, train, label, d, rk: the k nearest rows of train; ties to the lower id. Each batch of train rows keeps k for each probe only."""
+    apart = (lambda g, p: g["id"][:, None] != p["id"][None, :]) if skip_self else None
+    s = score(test, train, measure, ("id", "person"), pick=nearest(k, apart))
+    return ranked(s, k).select(F.col("probe_id").alias("test"), F.col("probe_person").alias("truth"), F.col("gallery_id").alias("train"), F.col("gallery_person").alias("label"), F.col("score").alias("d"), "rk")
+
+
+def ranked(s: DataFrame, k: int) -> DataFrame:
+    """The k least scores of each probe among those that batches kept, with rk."""
+    return s.withColumn("rk", F.row_number().over(Window.partitionBy("probe_id").orderBy("score", "gallery_id"))).where(F.col("rk") <= k)
 
 
 def vote(near: DataFrame, k: int, first_bonus: float = 0.0) -> DataFrame:
@@ -49,10 +51,8 @@ def cv_accuracy(samples: DataFrame, folds: int, k: int) -> DataFrame:
 
 def target_neighbours(samples: DataFrame, k: int) -> DataFrame:
     """i, j, d, rk: the k nearest of the same person."""
-    a = samples.select(F.col("id").alias("i"), "person", F.col("x").alias("xi"))
-    b = samples.select(F.col("id").alias("j"), "person", F.col("x").alias("xj"))
-    s = a.join(b, "person").where("i <> j").select("i", "j", vec.squared_distance(F.col("xi"), F.col("xj")).alias("d"))
-    return s.withColumn("rk", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rk") <= k)
+    s = score(samples, samples, vec.squared_distance, ("id", "person"), ("person",), nearest(k, lambda g, p: g["id"][:, None] != p["id"][None, :]))
+    return ranked(s, k).select(F.col("probe_id").alias("i"), F.col("gallery_id").alias("j"), F.col("score").alias("d"), "rk")
 
 
 def margins(samples: DataFrame, k: int, extra: float = 1.0) -> DataFrame:
@@ -62,10 +62,10 @@ def margins(samples: DataFrame, k: int, extra: float = 1.0) -> DataFrame:
 
 def impostors(samples: DataFrame, margin: DataFrame) -> DataFrame:
     """i, l, d: rows of another person nearer to i than either row's margin."""
-    x = samples.join(margin.withColumnRenamed("i", "id"), "id").select("id", "person", F.lit(0).alias("cam"), "x", "margin")
-    s = score(x, x, vec.squared_distance, ("id", "person", "margin"))
-    near = (F.col("probe_person") != F.col("gallery_person")) & (F.col("score") < F.greatest("probe_margin", "gallery_margin"))
-    return s.where(near).select(F.col("probe_id").alias("i"), F.col("gallery_id").alias("l"), F.col("score").alias("d"))
+    x = samples.join(margin.withColumnRenamed("i", "id"), "id").select("id", "person", "x", "margin")
+    near = lambda s, p, g: (g["person"][:, None] != p["person"][None, :]) & (s < np.maximum(g["margin"][:, None], p["margin"][None, :]))
+    s = score(x, x, vec.squared_distance, ("id", "person", "margin"), pick=near)
+    return s.select(F.col("probe_id").alias("i"), F.col("gallery_id").alias("l"), F.col("score").alias("d"))
 
 
 def hinge_sums(distances: DataFrame, limit: Column) -> DataFrame:
@@ -74,14 +74,38 @@ def hinge_sums(distances: DataFrame, limit: Column) -> DataFrame:
 
 
 def energy_classify(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
-    """test, truth, label of least energy: distances to the label's k nearest rows, plus hinges of all others inside that margin."""
-    s = score(test.select("id", "person", F.lit(0).alias("cam"), "x"), train.select("id", "person", F.lit(0).alias("cam"), "x"), vec.squared_distance)
-    s = s.select(F.col("probe_id").alias("test"), F.col("probe_person").alias("truth"), F.col("gallery_id").alias("j"), F.col("gallery_person").alias("label"), F.col("score").alias("d"))
-    w = Window.partitionBy("test", "label").orderBy("d", "j")
-    friends = s.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).groupBy("test", "label").agg(F.sum("d").alias("pull"), (F.max("d") + 1.0).alias("margin"))
-    other = s.select("test", F.col("label").alias("other"), "d", "truth")
-    push = friends.join(other, "test").where("label <> other").groupBy("test", "truth", "label", "pull").agg(F.sum(F.greatest(F.col("margin") - F.col("d"), F.lit(0.0))).alias("push"))
-    return push.groupBy("test", "truth").agg(F.min_by(F.col("label"), F.struct(F.round(F.col("pull") + F.col("push"), 9), "label")).alias("label"))
+    """test, truth, label of least energy: distances to the label's k nearest rows, plus hinges of all others inside that margin.
+
+    Two comparisons in blocks: the first keeps k rows of each label for each probe, the second gives sums of hinges.
+    """
+
+    def of_each_label(scores: np.ndarray, p: dict, g: dict) -> np.ndarray:
+        mask, take = np.zeros(scores.shape, bool), nearest(k)
+        for label in np.unique(g["person"]):
+            at = np.flatnonzero(g["person"] == label)
+            mask[at] = take(scores[at], p, {"id": g["id"][at]})
+        return mask
+
+    s = score(test, train, vec.squared_distance, ("id", "person"), pick=of_each_label)
+    w = Window.partitionBy("probe_id", "gallery_person").orderBy("score", "gallery_id")
+    near = s.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+    friends = cut(near.groupBy(F.col("probe_id").alias("id"), F.col("gallery_person").alias("label")).agg(F.sum("score").alias("pull"), (F.max("score") + 1.0).alias("margin")))
+    own = friends.groupBy("id").agg(F.collect_list("label").alias("labels"), F.collect_list("margin").alias("margins"))
+
+    def hinges(scores: np.ndarray, p: dict, g: dict) -> dict:
+        out: dict = {"id": [], "label": [], "push": []}
+        for j, (labels, margins) in enumerate(zip(p["labels"], p["margins"])):
+            h = np.maximum(np.array(margins)[None, :] - scores[:, j][:, None], 0.0) * (g["person"][:, None] != np.array(labels)[None, :])
+            out["id"] += [p["id"][j]] * len(labels)
+            out["label"] += labels
+            out["push"] += h.sum(axis=0).tolist()
+        return out
+
+    probes = Probes(test.join(own, "id"), ("id", "labels", "margins"))
+    made = f"id {dict(test.dtypes)['id']}, label {dict(train.dtypes)['person']}, push double"
+    push = compare(probes, train, KERNELS[vec.squared_distance], make=hinges, made=made).groupBy("id", "label").agg(F.sum("push").alias("push"))
+    energy = friends.join(push, ["id", "label"]).join(test.select("id", F.col("person").alias("truth")), "id")
+    return energy.groupBy(F.col("id").alias("test"), "truth").agg(F.min_by(F.col("label"), F.struct(F.round(F.col("pull") + F.col("push"), 9), "label")).alias("label"))
 
 
 def value_counts(df: DataFrame, value: str, bins: DataFrame) -> DataFrame:
@@ -97,7 +121,6 @@ def bag_match(bags: DataFrame) -> DataFrame:
 
 def nearest_impostors(samples: DataFrame, k: int) -> DataFrame:
     """i, l, d, rk: the k nearest rows of other persons."""
-    x = samples.select("id", "person", "x")
-    s = score(x, x, vec.squared_distance, ("id", "person")).where("probe_person <> gallery_person")
-    s = s.withColumn("rk", F.row_number().over(Window.partitionBy("probe_id").orderBy("score", "gallery_id"))).where(F.col("rk") <= k)
+    other = nearest(k, lambda g, p: g["person"][:, None] != p["person"][None, :])
+    s = ranked(score(samples, samples, vec.squared_distance, ("id", "person"), pick=other), k)
     return s.select(F.col("probe_id").alias("i"), F.col("gallery_id").alias("l"), F.col("score").alias("d"), "rk")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut
 from .order import numbered
 
 
@@ -19,9 +20,22 @@ def positives(samples: DataFrame, both_ways: bool = False) -> DataFrame:
     return a.join(b, on if both_ways else on & (F.col("id_a") < F.col("id_b")))
 
 
+#: Draws are mixed modulo this prime.
+PRIME = 2_147_483_647
+
+
+def mixed(i: Column, k: Column, seed: int) -> Column:
+    """A number under PRIME for row i and turn k: squared twice on the way, so draws have no short period."""
+    i = F.pmod(i, F.lit(PRIME)).cast("long")
+    t = F.pmod(i * 1103515 + k * 104729 + F.lit(seed * 7919 + 12345), F.lit(PRIME))
+    t = F.pmod(t * t + i, F.lit(PRIME))
+    t = F.pmod(t * 48271 + 11, F.lit(PRIME))
+    return F.pmod(t * t, F.lit(PRIME))
+
+
 def draw(i: Column, k: Column, n: Column, seed: int = 17) -> Column:
     """Deterministic draw k of row i out of 0 .. n - 1."""
-    return F.pmod(i * 7919 + k * 104729 + seed, n)
+    return F.pmod(mixed(i, k, seed), n)
 
 
 def indexed(samples: DataFrame) -> DataFrame:
@@ -45,17 +59,38 @@ def negatives(samples: DataFrame, draws: int = 5) -> DataFrame:
     return a.join(b, "idx_b").where("person_a <> person_b and cam_a <> cam_b").drop("idx_a", "idx_b")
 
 
-def balanced(samples: DataFrame, n_draws: int) -> DataFrame:
-    """As many drawn negatives, in the order of the draws, as there are positives; match tells them apart."""
-    pos = positives(samples).select("id_a", "id_b", F.lit(True).alias("match"))
+def drawn_negatives(samples: DataFrame, n_draws: int) -> DataFrame:
+    """d, id_a, id_b: distinct pairs of different persons under different cameras, smaller id first, with their first draw."""
     n = samples.count()
     x = indexed(samples).select("id", "person", "cam", "idx")
     d = samples.sparkSession.range(n_draws).select(F.col("id").alias("d"))
-    d = d.select("d", draw(F.col("d"), F.lit(1), F.lit(n), 3).alias("ia"), draw(F.col("d") * 31, F.lit(2), F.lit(n), 11).alias("ib"))
+    d = d.select("d", draw(F.col("d"), F.lit(1), F.lit(n), 3).alias("ia"), draw(F.col("d"), F.lit(2), F.lit(n), 11).alias("ib"))
     a = named(x, "a", ("id", "person", "cam", "idx")).withColumnRenamed("idx_a", "ia")
     b = named(x, "b", ("id", "person", "cam", "idx")).withColumnRenamed("idx_b", "ib")
-    neg = d.join(a, "ia").join(b, "ib").where("person_a <> person_b and cam_a <> cam_b")
-    first = indexed(neg.select(F.col("d").alias("id"), "id_a", "id_b")).where(F.col("idx") < pos.count())
+    pairs = d.join(a, "ia").join(b, "ib").where("person_a <> person_b and cam_a <> cam_b")
+    return pairs.groupBy(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).agg(F.min("d").alias("d"))
+
+
+def negatives_there(samples: DataFrame) -> int:
+    """How many pairs of different persons under different cameras there are, from counts."""
+    n = samples.groupBy("person", "cam").agg(F.count("*").alias("n"))
+    square = lambda *by: n.groupBy(*by).agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0
+    return (square() - square("person") - square("cam") + square("person", "cam")) // 2
+
+
+def balanced(samples: DataFrame) -> DataFrame:
+    """Distinct drawn negatives, in the order of their first draws, as many as there are positives (or all, where there are fewer); match tells them apart.
+
+    The number of draws is doubled until there are enough; which pairs come first does not depend on it.
+    """
+    pos = positives(samples).select("id_a", "id_b", F.lit(True).alias("match"))
+    wanted = min(pos.count(), negatives_there(samples))
+    n_draws = 4 * wanted + 1024
+    neg = cut(drawn_negatives(samples, n_draws))
+    while neg.count() < wanted:
+        n_draws *= 2
+        neg = cut(drawn_negatives(samples, n_draws))
+    first = indexed(neg.select(F.col("d").alias("id"), "id_a", "id_b")).where(F.col("idx") < wanted)
     return pos.unionByName(first.select("id_a", "id_b", F.lit(False).alias("match")))
 
 
@@ -70,7 +105,7 @@ def label_constraints(samples: DataFrame, count: int, lower: float, upper: float
     n = samples.count()
     x = indexed(samples).select("id", "person", "idx")
     d = samples.sparkSession.range(count).select(F.col("id").alias("c"))
-    d = d.select("c", draw(F.col("c"), F.lit(5), F.lit(n), 1).alias("ia"), draw(F.col("c") * 13, F.lit(7), F.lit(n), 2).alias("ib"))
+    d = d.select("c", draw(F.col("c"), F.lit(5), F.lit(n), 1).alias("ia"), draw(F.col("c"), F.lit(7), F.lit(n), 2).alias("ib"))
     a = x.select(F.col("idx").alias("ia"), F.col("id").alias("i"), F.col("person").alias("pa"))
     b = x.select(F.col("idx").alias("ib"), F.col("id").alias("j"), F.col("person").alias("pb"))
     same = F.col("pa") == F.col("pb")
@@ -97,8 +132,8 @@ def sample_every(df: DataFrame, n: int, order: str) -> DataFrame:
 
 
 def half_split(samples: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """samples with test: a fixed shuffle of the keys, of which the first half of the hash range is the test."""
-    return samples.withColumn("test", F.pmod(F.col(key) * 7919 + seed * 104729 + 31, F.lit(10007)) < 5003)
+    """samples with test: a fixed shuffle of the keys, of which the first half of the range is the test."""
+    return samples.withColumn("test", mixed(F.col(key), F.lit(0), seed) < PRIME // 2)
 
 
 def consecutive_labels(df: DataFrame, label: str) -> DataFrame:

@@ -1,7 +1,13 @@
-"""Scores of probes against a gallery: a stated set of probes against all rows, in blocks."""
+"""Scores of probes against a gallery: a stated set of probes against all rows, in blocks.
+
+A block of probes and a batch of gallery rows meet in numpy. What of their scores goes on
+is chosen there: all, those a condition takes, the nearest of each probe, or sums.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,70 +17,149 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vec
 
-#: Probes in a block; a block is one row of the small side.
-BLOCK = 256
-#: So many blocks at most go along with the tasks or are broadcast; more are dealt to the gallery's partitions by block.
+#: Probes in a block, and gallery rows that a block meets in one group.
+BLOCK, PART = 256, 4096
+#: So many blocks at most go along with the tasks; more meet the gallery's parts in a shuffle.
 BROADCAST_BLOCKS = 8
+#: Scores that are held at once.
+CELLS = 1 << 20
 
 
-#: Measures that numpy computes for a batch of gallery rows and one probe.
-KERNELS = {
-    vec.dot: lambda g, p: (g * p).sum(axis=1),
-    vec.squared_distance: lambda g, p: ((g - p) ** 2).sum(axis=1),
-    vec.euclidean: lambda g, p: np.sqrt(((g - p) ** 2).sum(axis=1)),
-}
-#: Gallery rows that meet all probes at once.
-ROWS = 512
-
-
-def score_small(probes: DataFrame, gallery: DataFrame, measure, columns) -> DataFrame:
-    """As score, for at most BROADCAST_BLOCKS * BLOCK probes: they go along with the tasks and numpy compares."""
-    kernel = KERNELS[measure]
-    rows = probes.select(*columns, "x").collect()
-    table = pa.table({f"probe_{c}": pa.array([r[c] for r in rows], type=t) for c, t in zip(columns, to_arrow_schema(probes.select(*columns).schema).types)})
-    vectors = [np.array(r["x"], float) for r in rows]
-    g = gallery.select(*[F.col(c).alias(f"gallery_{c}") for c in columns], "x")
-    schema = StructType([StructField(f"probe_{c}", probes.schema[c].dataType) for c in columns] + g.drop("x").schema.fields + [StructField("score", DoubleType())])
-    target = to_arrow_schema(schema)
+def expanded_distance(a: Column, b: Column) -> Column:
+    """|a|^2 + |b|^2 - 2ab, at least 0."""
+    return F.greatest(vec.dot(a, a) + vec.dot(b, b) - 2 * vec.dot(a, b), F.lit(0.0))
 
-    def run(batches):
-        for whole in batches:
-            for first in range(0, whole.num_rows, ROWS):
-                b = whole.slice(first, ROWS)
-                x = np.array(b.column("x").to_pylist(), float)
-                scores = np.stack([kernel(x, p) for p in vectors], axis=1) if vectors else np.empty((len(x), 0))
-                n, k = scores.shape
-                left = table.take(pa.array(np.tile(np.arange(k), n)))
-                right = pa.Table.from_batches([b]).drop_columns(["x"]).take(pa.array(np.repeat(np.arange(n), k)))
-                cells = [*left.columns, *right.columns, pa.chunked_array([pa.array(scores.ravel())])]
-                yield from pa.table(cells, names=target.names).cast(target).combine_chunks().to_batches()
 
-    return g.mapInArrow(run, schema)
+def squared(g: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.stack([((g - v) ** 2).sum(axis=1) for v in p], axis=1) if len(p) else np.empty((len(g), 0))
 
 
-def score(probes: DataFrame, gallery: DataFrame, measure=vec.dot, columns=("id", "person", "cam"), keys: tuple[str, ...] = ()) -> DataFrame:
-    """probe and gallery columns with score for each pair of a probe and a gallery row (of equal keys, if there are any).
+def products(g: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.stack([(g * v).sum(axis=1) for v in p], axis=1) if len(p) else np.empty((len(g), 0))
 
-    Probes stand in blocks of BLOCK by a hash of their id. Each gallery row meets each
-    block once, so a task holds one block however many probes there are.
-    """
-    n = probes.count()
-    n_blocks = max(1, -(-n // BLOCK))
-    if n_blocks <= BROADCAST_BLOCKS and measure in KERNELS and not keys:
-        return score_small(probes, gallery, measure, columns)
-    own = F.struct(*[F.col(c).alias(c) for c in columns], F.col("x").alias("x"))
-    blocks = probes.groupBy(*keys, F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(own).alias("probes"))
-    g = gallery.select(*keys, *[F.col(c).alias(f"gallery_{c}") for c in columns], F.col("x").alias("__gx"))
-    g = g.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    pairs = g.join(F.broadcast(blocks) if n_blocks <= BROADCAST_BLOCKS else blocks, ["block", *keys])
-    pairs = pairs.select(*[f"gallery_{c}" for c in columns], "__gx", F.explode("probes").alias("p"))
-    pairs = pairs.select(*[F.col(f"p.{c}").alias(f"probe_{c}") for c in columns], *[f"gallery_{c}" for c in columns], "__gx", F.col("p.x").alias("__px"))
-    return pairs.select(*[c for c in pairs.columns if c not in ("__gx", "__px")], measure(F.col("__px"), F.col("__gx")).alias("score"))
 
+def expanded(g: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.maximum((g * g).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * products(g, p), 0.0)
 
-def expanded_distance(a: Column, b: Column) -> Column:
-    """|a|^2 + |b|^2 - 2ab, at least 0."""
-    return F.greatest(vec.dot(a, a) + vec.dot(b, b) - 2 * vec.dot(a, b), F.lit(0.0))
+
+#: Measures that numpy computes: a row of the result for each gallery row, a column for each probe.
+KERNELS = {vec.dot: products, vec.squared_distance: squared, vec.euclidean: lambda g, p: np.sqrt(squared(g, p)), expanded_distance: expanded}
+
+
+def fused(pieces: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The root of the product of the absolute dot products of so many equal pieces (features of one type each)."""
+
+    def kernel(g: np.ndarray, p: np.ndarray) -> np.ndarray:
+        out = 1.0
+        for a, b in zip(np.split(g, pieces, axis=1), np.split(p, pieces, axis=1)):
+            out = out * np.abs(products(a, b))
+        return out ** (1 / pieces)
+
+    return kernel
+
+
+class Probes:
+    """The probes' columns and vectors; with up to BROADCAST_BLOCKS blocks of them they are read once and go along with the tasks."""
+
+    def __init__(self, probes: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = ()):
+        self.columns, self.keys = columns, keys
+        self.rows = probes.select(*dict.fromkeys((*keys, *columns)), F.col("x"))
+        self.n = self.rows.count()
+        self.table = self.rows.toArrow() if self.n <= BROADCAST_BLOCKS * BLOCK else None
+
+
+def nearest(k: int, apart: Callable[[dict, dict], np.ndarray] | None = None):
+    """Takes the k least scores of each probe, ties to the lower id; apart(gallery, probes) tells which pairs count."""
+
+    def pick(scores: np.ndarray, p: dict, g: dict) -> np.ndarray:
+        order = np.argsort(g["id"], kind="stable")
+        counts = np.ones(scores.shape, bool) if apart is None else apart(g, p)
+        s = np.where(counts, scores, np.inf)[order]
+        at = np.argsort(s, axis=0, kind="stable")[:k]
+        mask = np.zeros(scores.shape, bool)
+        mask[order[at], np.arange(scores.shape[1])[None, :]] = True
+        return mask & counts
+
+    return pick
+
+
+def compare(probes: Probes, gallery: DataFrame, kernel, columns: tuple[str, ...] = ("id", "person"), pick=None, make=None, made: str | None = None) -> DataFrame:
+    """probe and gallery columns with score for each pair that pick takes (all without), or what make gives of a block's scores.
+
+    Of probes with keys only gallery rows of equal keys count. More probes than go along with
+    the tasks are dealt in blocks, the gallery in parts, and each pair of both is one group.
+    """
+    keys, n, own = probes.keys, probes.n, probes.columns  # probes itself stays on the driver
+    g = gallery.select(*dict.fromkeys((*keys, *columns)), F.col("x"))
+    schema = StructType.fromDDL(made) if made else StructType([StructField(f"probe_{c}", probes.rows.schema[c].dataType) for c in probes.columns] + [StructField(f"gallery_{c}", g.schema[c].dataType) for c in columns] + [StructField("score", DoubleType())])
+    target = to_arrow_schema(schema)
+
+    def vectors(t: pa.Table) -> np.ndarray:
+        return np.array(t.column("x").to_pylist(), float).reshape(t.num_rows, -1 if t.num_rows else 0)
+
+    def plain(t: pa.Table) -> dict:
+        values = {c: t.column(c).to_pylist() for c in t.column_names if c != "x"}
+        return {c: v if pa.types.is_nested(t.schema.field(c).type) else np.array(v) for c, v in values.items()}
+
+    def split(t: pa.Table) -> dict:
+        if not keys:
+            return {(): t}
+        at: dict = {}
+        for i, key in enumerate(zip(*(t.column(c).to_pylist() for c in keys))):
+            at.setdefault(key, []).append(i)
+        return {key: t.take(pa.array(i)) for key, i in at.items()}
+
+    def prepared(t: pa.Table) -> dict:
+        return {key: (part, vectors(part), plain(part)) for key, part in split(t).items()}
+
+    def meet(left: dict, right: pa.Table):
+        for key, part in split(right).items():
+            if key not in left:
+                continue
+            pt, px, pc = left[key]
+            rows = max(1, CELLS // max(1, len(px)))
+            for first in range(0, part.num_rows, rows):
+                gt = part.slice(first, rows)
+                gx = vectors(gt)
+                scores = kernel(gx, px)
+                if make is not None:
+                    yield pa.table(make(scores, pc | {"x": px}, plain(gt) | {"x": gx}), schema=target)
+                    continue
+                i, j = np.indices(scores.shape).reshape(2, -1) if pick is None else np.nonzero(pick(scores, pc, plain(gt)))
+                a, b = pt.take(pa.array(j)), gt.take(pa.array(i))
+                cells = [*(a.column(c) for c in own), *(b.column(c) for c in columns), pa.array(scores[i, j])]
+                yield pa.table(cells, names=target.names).cast(target)
+
+    if probes.table is not None:
+        held = probes.table
+
+        def run(batches):
+            left = prepared(held)
+            for b in batches:
+                if b.num_rows:
+                    for t in meet(left, pa.Table.from_batches([b])):
+                        yield from t.combine_chunks().to_batches()
+
+        return g.mapInArrow(run, schema)
+    n_blocks, n_parts = -(-n // BLOCK), max(1, -(-gallery.count() // PART))
+    whole = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = lambda df, k: F.pmod(F.xxhash64(*[c for c in df.columns if c not in ("x", "gallery_x")]), F.lit(k)).cast("int")
+    names = g.columns
+    g = g.select(*[F.col(c).alias(f"gallery_{c}") for c in names])  # else both sides of one table share their columns
+    blocks = probes.rows.withColumn("__block", dealt(probes.rows, n_blocks)).withColumn("__part", whole(n_parts))
+    parts = g.withColumn("__part", dealt(g, n_parts)).withColumn("__block", whole(n_blocks))
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.drop_columns(["__block", "__part"]).rename_columns(names)
+        found = list(meet(prepared(left.drop_columns(["__block", "__part"])), right)) if left.num_rows and right.num_rows else []
+        return pa.concat_tables(found) if found else target.empty_table()
+
+    return blocks.groupBy("__block", "__part").cogroup(parts.groupBy("__block", "__part")).applyInArrow(both, schema)
+
+
+def score(probes: DataFrame, gallery: DataFrame, measure=vec.dot, columns=("id", "person", "cam"), keys: tuple[str, ...] = (), pick=None) -> DataFrame:
+    """probe and gallery columns with score for each pair of a probe and a gallery row (of equal keys, if there are any) that pick takes. measure is one of KERNELS or a kernel itself."""
+    return compare(Probes(probes, tuple(columns), keys), gallery, KERNELS.get(measure, measure), tuple(columns), pick)
 
 
 def score_by_camera_pair(probes: DataFrame, gallery: DataFrame, metrics: DataFrame) -> DataFrame:

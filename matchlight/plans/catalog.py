@@ -133,14 +133,25 @@ def mean_metric(spark, sf):
 @query("SELECT p.id AS probe, g.id AS gallery, round(sqrt(sqrt(abs(list_dot_product(p.x[1:16], g.x[1:16])) * abs(list_dot_product(p.x[17:32], g.x[17:32])) * abs(list_dot_product(p.x[33:48], g.x[33:48])) * abs(list_dot_product(p.x[49:64], g.x[49:64])))), 6) AS score FROM samples p, samples g WHERE p.is_query AND NOT g.is_query", "samples")
 def score_fusion(spark, sf):
     s = V.samples(spark, sf)
-    by_type = score.score(V.probes(s), V.gallery(s), lambda a, b: F.array(*[F.abs(vec.dot(F.slice(a, 16 * t + 1, 16), F.slice(b, 16 * t + 1, 16))) for t in range(4)]))
-    long = by_type.select(F.col("probe_id").alias("probe"), F.col("gallery_id").alias("gallery"), F.posexplode("score").alias("type", "score"))
-    return score.fuse(long).select("probe", "gallery", r6("score").alias("score"))
+    x = score.score(V.probes(s), V.gallery(s), score.fused(4), ("id",))
+    return x.select(F.col("probe_id").alias("probe"), F.col("gallery_id").alias("gallery"), r6("score").alias("score"))
+
+
+@query("SELECT probe, gallery, round(sqrt(sqrt(product(s))), 6) AS score FROM (SELECT p.id AS probe, g.id AS gallery, abs(list_dot_product(p.x[16 * t + 1 : 16 * t + 16], g.x[16 * t + 1 : 16 * t + 16])) AS s FROM samples p, samples g, (SELECT unnest(range(0, 4)) AS t) WHERE p.is_query AND NOT g.is_query) GROUP BY probe, gallery", "samples")
+def score_fusion_tables(spark, sf):
+    """The fusion of score tables that come one a type."""
+    s, out = V.samples(spark, sf), None
+    for t in range(4):
+        part = s.withColumn("x", F.slice("x", 16 * t + 1, 16))
+        x = score.score(V.probes(part), V.gallery(part), vec.dot, ("id",))
+        x = x.select(F.col("probe_id").alias("probe"), F.col("gallery_id").alias("gallery"), F.lit(t).alias("type"), F.abs("score").alias("score"))
+        out = x if out is None else out.unionByName(x)
+    return score.fuse(out).select("probe", "gallery", r6("score").alias("score"))
 
 
 def scored_pairs(spark, sf) -> DataFrame:
     s = V.samples(spark, sf)
-    b = pairs.balanced(s, 20_000)
+    b = pairs.balanced(s)
     x = s.select("id", "x")
     d = b.join(x.select(F.col("id").alias("id_a"), F.col("x").alias("xa")), "id_a").join(x.select(F.col("id").alias("id_b"), F.col("x").alias("xb")), "id_b")
     return cut(d.select((F.col("id_a") * 1_000_003 + F.col("id_b")).alias("key"), "match", vec.euclidean(F.col("xa"), F.col("xb")).alias("distance")))
@@ -402,14 +413,20 @@ def hellinger(spark, sf):
     return x.select("id", F.transform("x", lambda v: F.round(v, 6) + 0.0).alias("x"))
 
 
-@query("SELECT p.id AS probe_id, g.id AS gallery_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda j: (1.0 + ((j - 1) % 5) / 4.0) * (p.x[j] - g.x[j]) * (p.x[j] - g.x[j])))), 6) AS d FROM samples p, samples g WHERE p.is_query AND NOT g.is_query", "samples")
+@query("SELECT p.id AS probe_id, g.id AS gallery_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda j: (1.0 + ((j - 1) % 5) / 4.0) * (p.x[j] - g.x[j]) * (p.x[j] - g.x[j]))) + 0.05 * pow(list_sum(p.x) - list_sum(g.x), 2)), 6) AS d FROM samples p, samples g WHERE p.is_query AND NOT g.is_query", "samples")
 def mahalanobis_scores(spark, sf):
     s = V.samples(spark, sf)
-    root = F.array(*[F.lit(v**0.5) for v in V.diagonal()])
-    moved = s.withColumn("x", F.zip_with("x", root, lambda a, b: a * b))
+    m = protocol.Metric(np.diag(V.diagonal()) + 0.05)
+    moved = s.withColumn("x", m.project(F.col("x")))
     return score.score(V.probes(moved), V.gallery(moved), vec.euclidean).select("probe_id", "gallery_id", r6("score").alias("d"))
 
 
+@query("SELECT id_a, id_b, round(sqrt(list_sum(list_transform(range(1, 65), lambda j: (1.0 + ((j - 1) % 5) / 4.0) * (xa[j] - xb[j]) * (xa[j] - xb[j]))) + 0.05 * pow(list_sum(xa) - list_sum(xb), 2)), 6) AS d FROM pos", "pos")
+def mahalanobis_pairs(spark, sf):
+    m = protocol.Metric(np.diag(V.diagonal()) + 0.05)
+    return pairs.positives(V.samples(spark, sf)).select("id_a", "id_b", r6(m.distance(F.col("x_a"), F.col("x_b"))).alias("d"))
+
+
 @query(f"SELECT p.id AS probe_id, g.id AS gallery_id, round(greatest({O.sqdist('p.x', 'g.x')}, 0.0), 6) AS d FROM samples p, samples g WHERE p.is_query AND NOT g.is_query", "samples")
 def distance_matrix(spark, sf):
     s = V.samples(spark, sf)
@@ -453,7 +470,7 @@ def negative_pairs_5(spark, sf):
 
 @query("SELECT id_a, id_b, match FROM balanced", "balanced")
 def balanced_pairs(spark, sf):
-    return pairs.balanced(V.samples(spark, sf), 20_000)
+    return pairs.balanced(V.samples(spark, sf))
 
 
 @query("SELECT a.id AS id_a, b.id AS id_b FROM samples a JOIN samples b ON a.person <> b.person AND a.cam <> b.cam AND a.id < b.id", "samples")
@@ -461,20 +478,20 @@ def exhaustive_negatives(spark, sf):
     return pairs.exhaustive_negatives(V.samples(spark, sf).drop("x")).select("id_a", "id_b")
 
 
-@query("SELECT c, a.id AS i, b.id AS j, CASE WHEN a.person = b.person THEN 1 ELSE -1 END AS sign, CASE WHEN a.person = b.person THEN 0.5 ELSE 2.5 END::DOUBLE AS bound FROM (SELECT c, (c * 7919 + 5 * 104729 + 1) % n AS ia, (c * 13 * 7919 + 7 * 104729 + 2) % n AS ib FROM n, (SELECT unnest(range(0, 400)) AS c)) JOIN idx a ON a.idx = ia JOIN idx b ON b.idx = ib", "n", "idx")
+@query(f"SELECT c, a.id AS i, b.id AS j, CASE WHEN a.person = b.person THEN 1 ELSE -1 END AS sign, CASE WHEN a.person = b.person THEN 0.5 ELSE 2.5 END::DOUBLE AS bound FROM (SELECT c, {O.mixed('c', '5', 1)} % n AS ia, {O.mixed('c', '7', 2)} % n AS ib FROM n, (SELECT unnest(range(0, 400)) AS c)) JOIN idx a ON a.idx = ia JOIN idx b ON b.idx = ib", "n", "idx")
 def label_constraints(spark, sf):
     return pairs.label_constraints(V.samples(spark, sf), 400, 0.5, 2.5)
 
 
 @query("SELECT id_a AS i, id_b AS j, CASE WHEN match THEN 1 ELSE -1 END AS sign, CASE WHEN match THEN 0.5 ELSE 2.5 END::DOUBLE AS bound FROM balanced", "balanced")
 def pair_constraints(spark, sf):
-    return pairs.pair_constraints(pairs.balanced(V.samples(spark, sf), 20_000), 0.5, 2.5)
+    return pairs.pair_constraints(pairs.balanced(V.samples(spark, sf)), 0.5, 2.5)
 
 
 @query("SELECT DISTINCT s.person, s.id FROM balanced JOIN samples s ON s.id = id_a OR s.id = id_b", "balanced", "samples")
 def pair_instances(spark, sf):
     s = V.samples(spark, sf)
-    return pairs.instances(pairs.balanced(s, 20_000), s)
+    return pairs.instances(pairs.balanced(s), s)
 
 
 @query("SELECT id_a % 20 AS a, id_b % 20 AS b, count(*) AS n FROM neg GROUP BY 1, 2", "neg")
@@ -492,24 +509,24 @@ def every_tenth_pair(spark, sf):
 # Sums of outer products
 
 
-O.cte("cells", "SELECT i - 1 AS i, j - 1 AS j, xa[i] - xb[i] AS di, xa[j] - xb[j] AS dj, w FROM (SELECT xa, xb, 1.0 + id_a % 3 AS w, unnest(range(1, 9)) AS i FROM pos), (SELECT unnest(range(1, 9)) AS j)", "pos")
+O.cte("cells", "SELECT i - 1 AS i, j - 1 AS j, xa[i] - xb[i] AS di, xa[j] - xb[j] AS dj, w FROM (SELECT xa, xb, 1.0 + id_a % 3 AS w, unnest(range(1, 65)) AS i FROM pos), (SELECT unnest(range(1, 65)) AS j)", "pos")
 
 
 @query("SELECT i::INT AS i, j::INT AS j, round(avg(di * dj), 6) + 0.0 AS v FROM cells GROUP BY i, j", "cells")
 def pair_covariance(spark, sf):
     p = pairs.positives(V.samples(spark, sf))
-    return cov.covariance(p, F.slice(vec.subtract(F.col("x_a"), F.col("x_b")), 1, 8)).select("i", "j", r6("v").alias("v"))
+    return cov.covariance(p, vec.subtract(F.col("x_a"), F.col("x_b"))).select("i", "j", r6("v").alias("v"))
 
 
 @query("SELECT i::INT AS i, j::INT AS j, round(sum(w * di * dj) / sum(w), 6) + 0.0 AS v FROM cells GROUP BY i, j", "cells")
 def weighted_covariance(spark, sf):
     p = pairs.positives(V.samples(spark, sf))
-    return cov.covariance(p, F.slice(vec.subtract(F.col("x_a"), F.col("x_b")), 1, 8), 1.0 + F.col("id_a") % 3).select("i", "j", r6("v").alias("v"))
+    return cov.covariance(p, vec.subtract(F.col("x_a"), F.col("x_b")), 1.0 + F.col("id_a") % 3).select("i", "j", r6("v").alias("v"))
 
 
 @query("SELECT i::INT AS i, j::INT AS j, round(avg(di * dj), 6) + 0.0 AS v FROM cells GROUP BY i, j", "cells")
 def class_sum_covariance(spark, sf):
-    s = V.samples(spark, sf).withColumn("x", F.slice("x", 1, 8))
+    s = V.samples(spark, sf)
     return cov.class_pair_scatter(s, F.col("x")).select("i", "j", r6(F.col("v") / F.col("n")).alias("v"))
 
 
@@ -521,10 +538,6 @@ def mean_vector(spark, sf):
 # Metric learners
 
 
-def reduced(spark, sf, k: int = 8) -> DataFrame:
-    return V.samples(spark, sf).withColumn("x", F.slice("x", 1, k))
-
-
 def labelled_pairs(s: DataFrame) -> DataFrame:
     pos = pairs.positives(s).select("id_a", "id_b", "x_a", "x_b", F.lit(True).alias("match"))
     return cut(pos.unionByName(pairs.negatives(s).select("id_a", "id_b", "x_a", "x_b", F.lit(False).alias("match"))))
@@ -532,7 +545,7 @@ def labelled_pairs(s: DataFrame) -> DataFrame:
 
 def _learn(make):
     def f(spark, sf):
-        pos, neg = learners.pair_covariances(labelled_pairs(reduced(spark, sf)))
+        pos, neg = learners.pair_covariances(labelled_pairs(V.samples(spark, sf)))
         x = dense.cells(spark, make(pos, neg))
         return x.select("i", "j", F.round("v", 6).alias("v"))
 
@@ -548,55 +561,48 @@ for _name, _make in {
     "psd_repair": lambda pos, neg: dense.psd(pos - neg),
 }.items():
     _QUERIES[_name] = _learn(_make)
-_SQL["identity_metric"] = "SELECT i::INT AS i, j::INT AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 8)) AS j)"
+_SQL["identity_metric"] = "SELECT i::INT AS i, j::INT AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 64)) AS j)"
 
 
 @query()
 def xqda_class_sums(spark, sf):
-    _, m = learners.xqda(reduced(spark, sf))
+    _, m = learners.xqda(V.samples(spark, sf))
     return dense.cells(spark, m)
 
 
 @query()
 def itml_metric(spark, sf):
-    s = reduced(spark, sf, 4)
-    bounds = learners.distance_bounds(s).first()
-    rows = pairs.label_constraints(s, 200, bounds["l"], bounds["u"]).where("i <> j").orderBy("c").collect()  # a bounded number of constraints
-    ids = sorted({r["i"] for r in rows} | {r["j"] for r in rows})
-    place = {v: k for k, v in enumerate(ids)}
-    x = np.array([r["x"] for r in s.join(spark.createDataFrame([(i,) for i in ids], "id long"), "id").orderBy("id").collect()])
-    m = learners.itml(x, [(place[r["i"]], place[r["j"]], r["sign"], r["bound"]) for r in rows])
-    return dense.cells(spark, m)
+    return dense.cells(spark, protocol.Itml().fit_labels(V.samples(spark, sf)).m)
 
 
 @query()
 def ldml_fit(spark, sf):
-    l, _, _ = learners.ldml(labelled_pairs(reduced(spark, sf, 4)), 4, np.eye(4), steps=5)
+    l, _, _ = learners.ldml(labelled_pairs(V.samples(spark, sf)), 64, np.eye(64))
     return dense.cells(spark, l.T @ l)
 
 
 @query()
 def lmnn_fit(spark, sf):
-    s = reduced(spark, sf, 4).withColumn("x", F.transform("x", lambda v: 10 * v))  # the margin is 1
-    l, _ = learners.lmnn(s, steps=3)
+    s = V.samples(spark, sf).withColumn("x", F.transform("x", lambda v: 10 * v))  # the margin is 1
+    l, _ = learners.lmnn(s)
     return dense.cells(spark, l.T @ l)
 
 
 @query()
 def svm_distance(spark, sf):
-    return learners.svm_distance(labelled_pairs(reduced(spark, sf)), 10)
+    return learners.svm_distance(labelled_pairs(V.samples(spark, sf)), 100)
 
 
 _G = "exp(-((xa[j] + xb[j]) / 2) * ((xa[j] + xb[j]) / 2) / 2) / sqrt(2 * pi())"
 
 
-@query(f"SELECT id_a, id_b, list_concat(list_transform(range(1, 5), lambda j: round(abs(xa[j] - xb[j]) * {_G}, 6) + 0.0), list_transform(range(1, 5), lambda j: round(xa[j] * xb[j] * {_G}, 6) + 0.0)) AS f FROM pos", "pos")
+@query(f"SELECT id_a, id_b, list_concat(list_transform(range(1, 65), lambda j: round(abs(xa[j] - xb[j]) * {_G}, 6) + 0.0), list_transform(range(1, 65), lambda j: round(xa[j] * xb[j] * {_G}, 6) + 0.0)) AS f FROM pos", "pos")
 def svm_pair_features(spark, sf):
-    p = pairs.positives(reduced(spark, sf, 4))
+    p = pairs.positives(V.samples(spark, sf))
     return p.select("id_a", "id_b", F.transform(vec.pair_features(F.col("x_a"), F.col("x_b")), lambda v: F.round(v, 6) + 0.0).alias("f"))
 
 
-@query(f"SELECT round(min(v) + 4.5 / 100 * (max(v) - min(v)), 6) AS l, round(min(v) + 94.5 / 100 * (max(v) - min(v)), 6) AS u FROM (SELECT {O.sqdist('a.x', 'b.x')} AS v FROM (SELECT (c * 7919 + 1 * 104729 + 5) % n AS ia, (c * 17 * 7919 + 3 * 104729 + 9) % n AS ib FROM n, (SELECT unnest(range(0, 100)) AS c)) JOIN idx a ON a.idx = ia JOIN idx b ON b.idx = ib)", "n", "idx")
+@query(f"SELECT round(min(v) + 4.5 / 100 * (max(v) - min(v)), 6) AS l, round(min(v) + 94.5 / 100 * (max(v) - min(v)), 6) AS u FROM (SELECT {O.sqdist('a.x', 'b.x')} AS v FROM (SELECT {O.mixed('c', '1', 5)} % n AS ia, {O.mixed('c', '3', 9)} % n AS ib FROM n, (SELECT unnest(range(0, 100)) AS c)) JOIN idx a ON a.idx = ia JOIN idx b ON b.idx = ib)", "n", "idx")
 def distance_extremes(spark, sf):
     return learners.distance_bounds(V.samples(spark, sf)).select(r6("l").alias("l"), r6("u").alias("u"))
 
@@ -633,7 +639,7 @@ def largest_cluster(spark, sf):
     return kmeans.spread(assigned(spark, sf)).agg(F.max_by(F.struct("cluster", "n"), F.struct("n", -F.col("cluster"))).alias("f")).select("f.cluster", "f.n")
 
 
-@query("SELECT min_by(id, (round(-ln(((id * 7919 + 3 * 104729 + 1) % 10007 + 0.5) / 10007.0) / (d * d), 9), id)) AS id FROM assigned WHERE d > 0", "assigned")
+@query(f"SELECT min_by(id, (round(-ln(({O.mixed('id', '3', 1)} + 0.5) / 2147483647.0) / (d * d), 9), id)) AS id FROM assigned WHERE d > 0", "assigned")
 def kmeanspp_seed(spark, sf):
     return kmeans.weighted_draw(assigned(spark, sf).select("id", (F.col("d") * F.col("d")).alias("w")), 3)
 
@@ -830,7 +836,7 @@ def nearest_impostors(spark, sf):
     return knn.nearest_impostors(V.samples(spark, sf), 3).select("i", "l", r6("d").alias("d"), "rk")
 
 
-@query("SELECT id, person, (id * 7919 + 31) % 10007 < 5003 AS test FROM samples", "samples")
+@query(f"SELECT id, person, {O.mixed('id', '0', 0)} < 1073741823 AS test FROM samples", "samples")
 def half_split(spark, sf):
     return pairs.half_split(V.samples(spark, sf), "id").select("id", "person", "test")
 
@@ -866,12 +872,12 @@ def camera_pair_cmc(spark, sf):
 
 @query()
 def half_split_cmc(spark, sf):
-    return pipeline.half_split_trials(reduced(spark, sf), 3, 20)
+    return pipeline.half_split_trials(V.samples(spark, sf), 3, 20)
 
 
 @query()
 def itml_autotune(spark, sf):
-    return protocol.tune_itml(reduced(spark, sf, 4), powers=(-2, 0, 2), max_constraints=100)[1]
+    return protocol.tune_itml(V.samples(spark, sf))[1]
 
 
 @query()
@@ -883,7 +889,7 @@ def metric_evaluation(spark, sf):
 
 @query()
 def learner_cross_validation(spark, sf):
-    p = labelled_pairs(reduced(spark, sf)).withColumns({"fold": (F.col("id_a") % 2).cast("int"), "key": F.col("id_a") * 100_000 + F.col("id_b")})
+    p = labelled_pairs(V.samples(spark, sf)).withColumns({"fold": (F.col("id_a") % 2).cast("int"), "key": F.col("id_a") * 100_000 + F.col("id_b")})
     return evaluate.fold_errors(pipeline.cross_validate(p, learners.kissme, [0, 1]))
 
 

@@ -32,6 +32,15 @@ def sqdist(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
 
+def mixed(i: str, k: str, seed: int) -> str:
+    """pairs.mixed of whole numbers from 0 on."""
+    m = 2147483647
+    t = f"((({i}) % {m} * 1103515 + ({k}) * 104729 + {seed * 7919 + 12345}) % {m})"
+    t = f"(({t} * {t} + ({i}) % {m}) % {m})"
+    t = f"(({t} * 48271 + 11) % {m})"
+    return f"({t} * {t} % {m})"
+
+
 cte("samples", "SELECT vec_id AS id, CASE WHEN label = 9 AND vec_id % 3 = 0 THEN -1 ELSE label END AS person, (vec_id % 2)::INT AS cam, vec_id % 10 = 0 AS is_query, embedding::DOUBLE[] AS x FROM embeddings")
 cte("scores", f"SELECT p.id AS probe_id, p.person AS probe_person, p.cam AS probe_cam, g.id AS gallery_id, g.person AS gallery_person, g.cam AS gallery_cam, {dot('p.x', 'g.x')} AS score FROM samples p, samples g WHERE p.is_query AND NOT g.is_query", "samples")
 cte("judged", "SELECT *, gallery_person = probe_person AND gallery_cam <> probe_cam AND gallery_person <> -1 AS good, (gallery_person = probe_person AND gallery_cam = probe_cam) OR gallery_person = -1 AS junk FROM scores", "scores")
@@ -61,9 +70,9 @@ def strip_hist(weight: str) -> str:
 cte("hist_soft", strip_hist("exp(-distance / 9.0)"), "strips", "votes", "tf")
 cte("pos", "SELECT a.id AS id_a, b.id AS id_b, a.person, a.x AS xa, b.x AS xb FROM samples a JOIN samples b ON a.person = b.person AND a.cam <> b.cam AND a.id < b.id", "samples")
 cte("idx", "SELECT *, row_number() OVER (ORDER BY id) - 1 AS idx, count(*) OVER () AS n FROM samples", "samples")
-cte("neg", "SELECT a.id AS id_a, b.id AS id_b, k AS draw, a.x AS xa, b.x AS xb FROM (SELECT *, unnest(range(0, 5)) AS k FROM idx) a JOIN idx b ON b.idx = (a.idx * 7919 + k * 104729 + 17) % a.n WHERE a.person <> b.person AND a.cam <> b.cam", "idx")
+cte("neg", """SELECT a.id AS id_a, b.id AS id_b, k AS draw, a.x AS xa, b.x AS xb FROM (SELECT *, unnest(range(0, 5)) AS k FROM idx) a JOIN idx b ON b.idx = """ + mixed("a.idx", "k", 17) + """ % a.n WHERE a.person <> b.person AND a.cam <> b.cam""", "idx")
 cte("n", "SELECT count(*) AS n FROM samples", "samples")
-cte("drawn", """SELECT d, a.id AS id_a, b.id AS id_b, a.person AS pa, b.person AS pb, a.x AS xa, b.x AS xb FROM (SELECT d, (d * 7919 + 1 * 104729 + 3) % n AS ia, (d * 31 * 7919 + 2 * 104729 + 11) % n AS ib FROM n, (SELECT unnest(range(0, 20000)) AS d)) JOIN idx a ON a.idx = ia JOIN idx b ON b.idx = ib WHERE a.person <> b.person AND a.cam <> b.cam""", "n", "idx")
+cte("drawn", f"""SELECT min(d) AS d, id_a, id_b FROM (SELECT d, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM (SELECT d, {mixed("d", "1", 3)} % n AS ia, {mixed("d", "2", 11)} % n AS ib FROM n, (SELECT unnest(range(0, (SELECT 8 * count(*) + 4096 FROM pos))) AS d)) JOIN idx a ON a.idx = ia JOIN idx b ON b.idx = ib WHERE a.person <> b.person AND a.cam <> b.cam) GROUP BY id_a, id_b""", "n", "idx", "pos")
 cte("balanced", "SELECT id_a, id_b, true AS match FROM pos UNION ALL SELECT id_a, id_b, false FROM (SELECT *, row_number() OVER (ORDER BY d) AS r FROM drawn) WHERE r <= (SELECT count(*) FROM pos)", "pos", "drawn")
 cte("scored", f"SELECT id_a * 1000003 + id_b AS key, match, sqrt({sqdist('a.x', 'b.x')}) AS distance FROM balanced JOIN samples a ON a.id = id_a JOIN samples b ON b.id = id_b", "balanced", "samples")
 cte("matches", "SELECT t AS trial, a.pid AS probe, b.pid AS gallery, a.pid = b.pid AS match, a.x AS a, b.x AS b FROM (SELECT unnest([0, 1]) AS t) JOIN (SELECT id // 2 AS pid, x FROM samples WHERE cam = 0) a ON (a.pid + t) % 2 = 0 JOIN (SELECT id // 2 AS pid, x FROM samples WHERE cam = 1) b ON (b.pid + t) % 2 = 0", "samples")

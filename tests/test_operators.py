@@ -449,3 +449,121 @@ def test_training_application(spark, tmp_path):
     a = pipeline.aligned_pairs(table, st.strips(sp, 16, 8, 8), people, "HOG")
     m = cov.to_matrix(a, mean=False)
     assert m.shape == (9, 9) and m == pytest.approx(m.T) and np.linalg.eigvalsh(m).min() > -1e-6
+
+
+def drawn_points(spark, n=90, seed=3, d=6):
+    rng = np.random.default_rng(seed)
+    rows = [(i, int(rng.integers(0, 5)), i % 2, rng.normal(size=d).round(2).tolist()) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, person int, cam int, x array<double>")
+
+
+def found(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("blocks", [8, 0])
+def test_comparisons_equal_brute_force_in_both_ways(spark, monkeypatch, blocks):
+    """Probes that go along with the tasks, and probes that are dealt in blocks."""
+    rows, s = drawn_points(spark)
+    monkeypatch.setattr(score, "BROADCAST_BLOCKS", blocks)
+    monkeypatch.setattr(score, "BLOCK", 40)
+    monkeypatch.setattr(score, "PART", 25)
+    monkeypatch.setattr(score, "CELLS", 400)
+    s = s.repartition(3)
+    x = {r[0]: np.array(r[3]) for r in rows}
+    person = {r[0]: r[1] for r in rows}
+    d = {(i, j): float(((x[i] - x[j]) ** 2).sum()) for i in x for j in x}
+
+    def best(i, k, among):
+        return sorted((d[i, j], j) for j in among)[:k]
+
+    got = {(r["probe_id"], r["gallery_id"]): r["score"] for r in score.score(s, s, vec.squared_distance).collect()}
+    assert got.keys() == d.keys() and all(abs(got[p] - d[p]) < 1e-9 for p in d)
+    want = {(i, j, k + 1) for i in x for k, (_, j) in enumerate(best(i, 3, [j for j in x if j != i]))}
+    assert {(r["test"], r["train"], r["rk"]) for r in knn.neighbours(s, s, 3, skip_self=True).collect()} == want
+    targets = {i: best(i, 2, [j for j in x if j != i and person[j] == person[i]]) for i in x}
+    assert {(r["i"], r["j"], r["rk"]) for r in knn.target_neighbours(s, 2).collect()} == {(i, j, k + 1) for i in x for k, (_, j) in enumerate(targets[i])}
+    near = {(i, j, k + 1) for i in x for k, (_, j) in enumerate(best(i, 2, [j for j in x if person[j] != person[i]]))}
+    assert {(r["i"], r["l"], r["rk"]) for r in knn.nearest_impostors(s, 2).collect()} == near
+    margin = {i: max(t)[0] + 0.5 for i, t in targets.items()}
+    inside = {(i, j) for i in x for j in x if person[i] != person[j] and d[i, j] < max(margin[i], margin[j])}
+    assert {(r["i"], r["l"]) for r in knn.impostors(s, knn.margins(s, 2, 0.5)).collect()} == inside
+    energy = {}
+    for i in x:
+        of = {}
+        for label in set(person.values()):
+            own = best(i, 2, [j for j in x if person[j] == label])
+            limit = own[-1][0] + 1
+            of[label] = sum(v for v, _ in own) + sum(max(limit - d[i, j], 0) for j in x if person[j] != label)
+        energy[i] = min(of, key=lambda label: (round(of[label], 9), label))
+    assert {r["test"]: r["label"] for r in knn.energy_classify(s, s, 2).collect()} == energy
+    fused = {(r["probe_id"], r["gallery_id"]): r["score"] for r in score.score(s, s, score.fused(2), ("id",)).collect()}
+    assert all(abs(v - (abs(x[i][:3] @ x[j][:3]) * abs(x[i][3:] @ x[j][3:])) ** 0.5) < 1e-9 for (i, j), v in fused.items()) and len(fused) == 8100
+    assert knn.neighbours(s.limit(0), s, 3).count() == knn.neighbours(s, s.limit(0), 3).count() == 0
+
+
+def test_drawn_negatives_are_distinct_and_as_many_as_positives(spark):
+    rows, s = drawn_points(spark, 300)
+    got = [(r["id_a"], r["id_b"], r["match"]) for r in pairs.balanced(s).collect()]
+    neg = [p[:2] for p in got if not p[2]]
+    info = {r[0]: r[1:3] for r in rows}
+    assert 2 * len(neg) == len(got) and len(set(neg)) == len(neg)
+    assert all(a < b and info[a][0] != info[b][0] and info[a][1] != info[b][1] for a, b in neg)
+    there = sum(info[a][0] != info[b][0] and info[a][1] != info[b][1] for a in info for b in info if a < b)
+    assert pairs.negatives_there(s) == there
+    few = spark.createDataFrame([(0, 1, 0, [0.0]), (1, 1, 1, [0.0]), (2, 1, 1, [0.0]), (3, 2, 1, [0.0])], "id long, person int, cam int, x array<double>")
+    assert found(pairs.balanced(few).select("id_a", "id_b", "match")) == [(0, 1, True), (0, 2, True), (0, 3, False)]
+    draws = spark.range(20_000).select(pairs.draw(F.col("id"), F.lit(1), F.lit(500)).alias("a"), pairs.draw(F.col("id"), F.lit(2), F.lit(500)).alias("b"))
+    assert draws.distinct().count() > 18_500
+
+
+def test_learners_equal_numpy(spark):
+    rows, s = drawn_points(spark, 80)
+    p = [(a, b) for a in rows for b in rows if a[1] == b[1] and a[2] != b[2] and a[0] < b[0]]
+    q = [(a, b) for a in rows for b in rows if a[1] != b[1] and a[2] != b[2] and a[0] < b[0]]
+    diff = lambda v: np.array([np.array(a[3]) - np.array(b[3]) for a, b in v])
+    table = spark.createDataFrame([(a[3], b[3], m) for v, m in ((p, True), (q, False)) for a, b in v], "x_a array<double>, x_b array<double>, match boolean").repartition(3)
+    pos, neg = learners.pair_covariances(table)
+    sp, sq = diff(p).T @ diff(p) / len(p), diff(q).T @ diff(q) / len(q)
+    assert np.allclose(pos, sp) and np.allclose(neg, sq)
+    m = np.linalg.inv(sp) - np.linalg.inv(sq)
+    values, vectors = np.linalg.eigh((m + m.T) / 2)
+    want = m if values.min() > 0 else (vectors * np.where(values < dense.ZERO, dense.EPS, values)) @ vectors.T
+    assert np.allclose(learners.kissme(pos, neg), want) and np.allclose(learners.mahalanobis(pos) @ sp, np.eye(6))
+
+
+def test_large_margin_loss_and_gradient(spark):
+    rows, s = drawn_points(spark, 60)
+    x = np.array([r[3] for r in rows])
+    y = np.array([r[1] for r in rows])
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    targets = {i: [j for _, j in sorted((d[i, j], j) for j in range(60) if j != i and y[j] == y[i])[:2]] for i in range(60)}
+
+    def loss(l):
+        z = x @ l.T
+        e = ((z[:, None] - z[None]) ** 2).sum(axis=2)
+        pull = sum(e[i, j] for i in targets for j in targets[i])
+        push = sum(max(0.0, 1 + e[i, j] - e[i, k]) for i in targets for j in targets[i] for k in range(60) if y[k] != y[i])
+        return 0.5 * pull + 0.5 * push
+
+    l, told = learners.lmnn(s, 2, steps=12)
+    assert abs(told[0] - loss(np.eye(6))) < 1e-6 * told[0] and abs(told[-1] - loss(l)) < 1e-6 * told[-1]
+    assert all(b <= a for a, b in zip(told, told[1:])) and told[-1] < told[0]
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from matchlight.scratch import ensure_checkpoint_dir
+
+    def session(master, folder, made):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None, getConf=lambda: {"spark.checkpoint.dir": folder}, setCheckpointDir=made.append)
+        return SimpleNamespace(sparkContext=sc)
+
+    made = []
+    ensure_checkpoint_dir(session("yarn", "hdfs://a/b", made))
+    assert made == ["hdfs://a/b"]
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(session("spark://host:7077", None, made))
+    ensure_checkpoint_dir(session("local[4]", None, made))
+    assert len(made) == 2
