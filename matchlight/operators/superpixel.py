@@ -71,60 +71,59 @@ def _lab(rgb: np.ndarray) -> np.ndarray:
 
 
 def cluster(rgb: np.ndarray, n: int, compactness: float, rounds: int = 10) -> np.ndarray:
-    """Labels of an image (h, w, 3): nearest centre in colour and place, centres moved, small pieces merged."""
+    """Labels of an image (h, w, 3): nearest centre in colour and place among those within a step, centres moved, small pieces merged.
+
+    A pixel that no centre reaches keeps the label it had, -1 at first, and counts for no centre; a centre without pixels goes to the origin.
+    """
     h, w = rgb.shape[:2]
     step, at = seed_grid(w, h, n)
     colour = _lab(rgb)
     rows, cols = np.mgrid[:h, :w]
     centres = np.array([[*colour[y, x], x, y] for x, y in at], float)
-    reach = max(step, 10) if step < 10 else step
-    weight = 1.0 / (reach / compactness) ** 2
+    weight = (compactness / step) ** 2
     labels = np.full((h, w), -1)
+    values = np.concatenate([colour, cols[..., None], rows[..., None]], axis=-1).reshape(-1, 5)
     for _ in range(rounds):
         best = np.full((h, w), np.inf)
         for k, c in enumerate(centres):
-            y0, y1 = max(0, int(c[4] - reach)), min(h, int(c[4] + reach) + 1)
-            x0, x1 = max(0, int(c[3] - reach)), min(w, int(c[3] + reach) + 1)
-            d = ((colour[y0:y1, x0:x1] - c[:3]) ** 2).sum(-1)
-            d += ((cols[y0:y1, x0:x1] - c[3]) ** 2 + (rows[y0:y1, x0:x1] - c[4]) ** 2) * weight
-            nearer = d < best[y0:y1, x0:x1]
-            best[y0:y1, x0:x1][nearer] = d[nearer]
-            labels[y0:y1, x0:x1][nearer] = k
-        lost = labels < 0
-        if lost.any():
-            place = ((cols[lost][:, None] - centres[:, 3]) ** 2 + (rows[lost][:, None] - centres[:, 4]) ** 2).argmin(axis=1)
-            labels[lost] = place
-        flat = labels.ravel()
+            near = np.s_[max(0, int(c[4] - step)) : max(0, min(h, int(c[4] + step))), max(0, int(c[3] - step)) : max(0, min(w, int(c[3] + step)))]
+            d = ((colour[near] - c[:3]) ** 2).sum(-1) + ((cols[near] - c[3]) ** 2 + (rows[near] - c[4]) ** 2) * weight
+            nearer = d < best[near]
+            best[near][nearer] = d[nearer]
+            labels[near][nearer] = k
+        told = labels.ravel() >= 0
+        flat = labels.ravel()[told]
         counts = np.maximum(np.bincount(flat, minlength=len(centres)), 1)
-        values = np.concatenate([colour, cols[..., None], rows[..., None]], axis=-1).reshape(-1, 5)
-        centres = np.stack([np.bincount(flat, values[:, j], len(centres)) / counts for j in range(5)], axis=1)
-    return connected(labels, (h * w // max(1, len(centres))) >> 2)
+        centres = np.stack([np.bincount(flat, values[told, j], len(centres)) / counts for j in range(5)], axis=1)
+    return connected(labels, (h * w // n) >> 2)
 
 
 def connected(labels: np.ndarray, least: int) -> np.ndarray:
-    """Four-connected pieces numbered in raster order; pieces of `least` pixels or fewer join a neighbour seen before."""
+    """Four-connected pieces numbered in raster order. A piece of `least` pixels or fewer takes the label seen last beside a piece's first pixel, its own or an earlier piece's (left, above, right, below)."""
     h, w = labels.shape
     out = np.full((h, w), -1)
-    n = 0
-    for y in range(h):
-        for x in range(w):
-            if out[y, x] >= 0:
-                continue
-            beside = next((out[b, a] for a, b in ((x - 1, y), (x, y - 1), (x + 1, y), (x, y + 1)) if 0 <= a < w and 0 <= b < h and out[b, a] >= 0), -1)
-            piece, k = [(y, x)], 0
-            out[y, x] = n
-            while k < len(piece):
-                r, c = piece[k]
-                k += 1
-                for b, a in ((r, c - 1), (r - 1, c), (r, c + 1), (r + 1, c)):
-                    if 0 <= a < w and 0 <= b < h and out[b, a] < 0 and labels[b, a] == labels[y, x]:
-                        out[b, a] = n
-                        piece.append((b, a))
-            if len(piece) <= least and beside >= 0:
-                for p in piece:
-                    out[p] = beside
-            else:
-                n += 1
+    n = beside = 0
+
+    def around(y: int, x: int):
+        return ((b, a) for b, a in ((y, x - 1), (y - 1, x), (y, x + 1), (y + 1, x)) if 0 <= a < w and 0 <= b < h)
+
+    for y, x in np.ndindex(h, w):
+        if out[y, x] >= 0:
+            continue
+        for p in around(y, x):
+            beside = out[p] if out[p] >= 0 else beside
+        piece = [(y, x)]
+        out[y, x] = n
+        for p in piece:
+            for q in around(*p):
+                if out[q] < 0 and labels[q] == labels[y, x]:
+                    out[q] = n
+                    piece.append(q)
+        if len(piece) <= least:
+            for p in piece:
+                out[p] = beside
+        else:
+            n += 1
     return out
 
 

@@ -567,3 +567,51 @@ def test_a_cluster_needs_a_shared_checkpoint_folder():
         ensure_checkpoint_dir(session("spark://host:7077", None, made))
     ensure_checkpoint_dir(session("local[4]", None, made))
     assert len(made) == 2
+
+
+@pytest.mark.parametrize("h, w, n, compactness, seed", [(24, 30, 12, 20.0, 1), (17, 11, 5, 1.0, 2), (40, 12, 30, 40.0, 3), (9, 9, 1, 10.0, 4), (6, 5, 40, 5.0, 5)])
+def test_clustering_equals_a_loop_over_pixels(h, w, n, compactness, seed):
+    """Every pixel looks at every centre whose window holds it; pieces are found by union of equal neighbours."""
+    rng = np.random.default_rng(seed)
+    rgb = np.kron(rng.integers(0, 256, (h // 3 + 1, w // 3 + 1, 3)), np.ones((3, 3, 1)))[:h, :w] + rng.integers(0, 9, (h, w, 3))
+    rgb = np.minimum(rgb, 255)
+    lab = superpixel._lab(rgb)
+    step, at = superpixel.seed_grid(w, h, n)
+    centres = [[*lab[y, x], float(x), float(y)] for x, y in at]
+    label = {(y, x): -1 for y in range(h) for x in range(w)}
+    for _ in range(10):
+        for y, x in label:
+            seen = []
+            for k, c in enumerate(centres):
+                if max(int(c[3] - step), 0) <= x < min(int(c[3] + step), w) and max(int(c[4] - step), 0) <= y < min(int(c[4] + step), h):
+                    place = (x - c[3]) ** 2 + (y - c[4]) ** 2
+                    seen.append((round(sum((lab[y, x, j] - c[j]) ** 2 for j in range(3)) + place * (compactness / step) ** 2, 9), k))
+            if seen:
+                label[y, x] = min(seen)[1]
+        for k in range(len(centres)):
+            own = [p for p in label if label[p] == k]
+            centres[k] = [sum(v) / len(own) for v in zip(*((*lab[p], p[1], p[0]) for p in own))] if own else [0.0] * 5
+    group = {p: p for p in label}
+
+    def top(p):
+        while group[p] != p:
+            p = group[p]
+        return p
+
+    for y, x in label:
+        for q in ((y, x + 1), (y + 1, x)):
+            if q in label and label[q] == label[y, x]:
+                a, b = sorted((top((y, x)), top(q)))
+                group[b] = a
+    pieces = {}
+    for p in sorted(label):
+        pieces.setdefault(top(p), []).append(p)
+    want, last, number = {}, 0, 0
+    for first in sorted(pieces):
+        for q in ((first[0], first[1] - 1), (first[0] - 1, first[1]), (first[0], first[1] + 1), (first[0] + 1, first[1])):
+            last = want.get(q, last)
+        small = len(pieces[first]) <= (h * w // n) >> 2
+        want |= dict.fromkeys(pieces[first], last if small else number)
+        number += not small
+    got = superpixel.cluster(rgb, n, compactness)
+    assert {p: int(got[p]) for p in label} == want
