@@ -226,7 +226,7 @@ def test_media_query(spark):
         assert r["bad_frames"] == r["skipped_bytes"] == 0 and r["table_frames"] == r["n_frames"]
         assert r["n_samples"] == 1152 * r["n_frames"]
         media = bytes(stored[i]["media"])
-        assert all(mpeg_audio.parse_header(media[o : o + 4]) for o in r["seek_offsets"])
+        assert all(mpeg_audio.parse_header(media[o : o + 4]) for o in r["seek_offsets"]) and len(r["seek_offsets"]) == r["n_frames"]
 
 
 @pytest.mark.parametrize("n", [0, 1, 64, 184, 185, 1021, 1022, 50_000])
@@ -248,10 +248,84 @@ def test_audio_resynchronises_and_checks():
     z = mpeg_audio.decode(bytes(broken))
     assert z["bad"] == 1 and z["frames"] == x["frames"] - 1
     assert mpeg_audio.decode(b"")["frames"] == 0 and mpeg_audio.decode(b"\xff" * 50)["frames"] == 0
+    assert x["seek_error"] == 0
     total = struct.unpack(">I", media[media.index(b"Xing") + 12 :][:4])[0]
     assert total == len(media) - 128 - mpeg_audio.read_tag(media)[0]
 
 
+def frames(version, layer, index, rate, n, side=b"", crc=False):
+    """n frames made by hand from the header's bits; version 1, 2 or 2.5."""
+    bits = {1: 3, 2: 2, 2.5: 0}[version] << 3 | (4 - layer) << 1 | (not crc)
+    header = bytes([0xFF, 0xE0 | bits, index << 4 | rate << 2, 0xC0])
+    size = mpeg_audio.parse_header(header).size
+    return [header + side + bytes([i % 200 + 1]) * (size - 4 - len(side)) for i in range(n)]
+
+
+@pytest.mark.parametrize(
+    "version, layer, index, rate, size, samples, hz",
+    [(1, 1, 12, 0, 416, 384, 44100), (1, 2, 10, 1, 576, 1152, 48000), (1, 3, 9, 0, 417, 1152, 44100), (2, 3, 8, 0, 208, 576, 22050), (2, 2, 8, 1, 384, 1152, 24000), (2.5, 3, 8, 0, 417, 576, 11025), (2.5, 1, 4, 2, 384, 384, 8000)],
+)
+def test_versions_and_layers(version, layer, index, rate, size, samples, hz):
+    made = frames(version, layer, index, rate, 9)
+    assert len(made[0]) == size
+    x = mpeg_audio.decode(b"junk\xff\xfb" + b"".join(made) + made[0][:50])
+    assert (x["frames"], x["samples"], x["rate"], x["skipped"], x["bad"]) == (9, 9 * samples, hz, 56, 0)
+    assert x["offsets"] == [6 + i * size for i in range(9)]
+
+
+@pytest.mark.parametrize("flags, told", [(0, (-1, -1, b"")), (1, (77, -1, b"")), (2, (-1, 88, b"")), (3, (77, 88, b"")), (5, (77, -1, bytes(range(100)))), (15, (77, 88, bytes(range(100))))])
+def test_table_fields_by_their_flags(flags, told):
+    made = frames(1, 3, 9, 0, 4)
+    body = b"Xing" + struct.pack(">I", flags) + (struct.pack(">I", 77) if flags & 1 else b"") + (struct.pack(">I", 88) if flags & 2 else b"") + (bytes(range(100)) if flags & 4 else b"")
+    first = made[0][:4] + bytes(17) + body
+    x = mpeg_audio.decode(first + bytes(417 - len(first)) + b"".join(made))
+    assert x["table"] == told and x["frames"] == 4
+
+
+def test_other_table_form():
+    made = frames(1, 3, 9, 0, 10)
+    first = made[0][:4] + bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 11 * 417, 10, 5, 1, 2, 2) + b"".join(struct.pack(">H", 834) for _ in range(5))
+    x = mpeg_audio.decode(first + bytes(417 - len(first)) + b"".join(made))
+    assert x["table"][:2] == (10, 4587) and len(x["table"][2]) == 100 and x["frames"] == 10
+    assert 0 <= x["seek_error"] < 60
+
+
+def tag(version, frames_, flags=0, extra=b""):
+    body = extra + frames_
+    return b"ID3" + bytes([version, 0, flags]) + mpeg_audio.syncsafe(len(body)) + body
+
+
+def test_tags_of_all_versions():
+    text = b"\x03payload\x0042"
+    long = b"\x00payload\x00" + b"1" * 200
+    for made, want in (
+        (tag(4, b"TXXX" + mpeg_audio.syncsafe(len(text)) + b"\0\0" + text), "42"),
+        (tag(4, b"TXXX" + mpeg_audio.syncsafe(len(long)) + b"\0\0" + long), "1" * 200),
+        (tag(4, b"TXXX" + mpeg_audio.syncsafe(len(text)) + b"\0\0" + text, 0x40, mpeg_audio.syncsafe(6) + b"\x01\x00"), "42"),
+        (tag(3, b"TXXX" + struct.pack(">I", len(long)) + b"\0\0" + long), "1" * 200),
+        (tag(3, b"TXXX" + struct.pack(">I", len(text)) + b"\0\0" + text, 0x40, struct.pack(">I", 6) + bytes(6)), "42"),
+        (tag(2, b"TXX" + len(text).to_bytes(3, "big") + text), "42"),
+        (tag(3, b"TXXX" + struct.pack(">I", 31) + b"\0\0" + b"\x01" + "payload\0".encode("utf-16") + "no".encode("utf-16") + b"\0" * 6), "no"),
+    ):
+        end, fields = mpeg_audio.read_tag(made + b"rest")
+        assert end == len(made) and fields["payload"].rstrip("\0") == want, made
+    data = tag(3, b"TXXX" + struct.pack(">I", 14) + b"\0\0" + b"\x00payload\x00many") + b"".join(frames(1, 3, 9, 0, 3))
+    assert len(mpeg_audio.decode(data)["payload"]) == 3 * (417 - 4 - 17)
+    assert mpeg_audio.read_tag(b"ID3\x03") == (0, {}) and mpeg_audio.read_tag(b"ID3\x09" + bytes(20)) == (0, {})
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_any_bytes_are_read(seed):
+    rng = random.Random(seed)
+    media = bytearray(mpeg_audio.encode(rng.randbytes(9000)))
+    for _ in range(200):
+        media[rng.randrange(len(media))] = rng.choice((0xFF, 0xFB, 0, rng.randrange(256)))
+    x = mpeg_audio.decode(bytes(media))
+    assert x["frames"] == len(x["offsets"]) and x["skipped"] >= 0
+    mpeg_audio.decode(rng.randbytes(5000))
+    mpeg_audio.decode(b"ID3" + rng.randbytes(300))
+
+
 def test_empty_table(spark):
     empty = table(spark).limit(0)
     assert license_scan.scan(empty).count() == 0
