@@ -63,9 +63,10 @@ def templates(line: Column) -> Column:
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """doc_id, place and template of every line with a word; computed once."""
+    """doc_id, place and templates of every line with a word, a row for each template; computed once, and kept with a row a line."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("__place", "__line")).where(F.col("__line").rlike(NOT_SPACE))
-    return cut(lines.select("doc_id", "__place", F.explode(templates(F.col("__line"))).alias("__template")))
+    lines = cut(lines.select("doc_id", "__place", templates(F.col("__line")).alias("__templates")))
+    return lines.select("doc_id", "__place", F.explode("__templates").alias("__template"))
 
 
 def dropped(docs: DataFrame) -> DataFrame:
