@@ -72,6 +72,8 @@ def places(docs: DataFrame) -> DataFrame:
 def dropped(docs: DataFrame) -> DataFrame:
     """doc_id and the places of its lines to drop, for documents that have any."""
     found = places(docs.select("doc_id", "text"))
+    often = cut(found.groupBy("__template").agg(F.count("*").alias("__n")).where(F.col("__n") >= MIN_DOCS).select("__template"))  # rows first: most templates have one
+    found = cut(found.join(often, "__template"))
     by_doc = found.groupBy("__template", "doc_id").agg(F.min("__place").alias("__place"))
     recurring = by_doc.groupBy("__template").agg(F.count("*").alias("__n"), F.min(F.struct("doc_id", "__place")).alias("__first")).where(F.col("__n") >= MIN_DOCS)
     recurring = cut(recurring.select("__template", "__first"))  # else the join stands in the aggregate's stage, where a hot template can't be split
