@@ -99,24 +99,31 @@ def matching_cmc(pairs: DataFrame, max_rank: int) -> DataFrame:
     return curve(first_match(pairs, ("probe",), "gallery"), F.count("*"), max_rank)
 
 
-def roc(scored: DataFrame) -> DataFrame:
-    """k, tpr, fpr of scored(key, distance, match) by falling similarity, from (0, 0) on: equal distances in the order of keys.
+def accumulated(scored: DataFrame, *by: str) -> DataFrame:
+    """by, k, tpr, fpr of scored(by, key, distance, match) by rising distance: equal distances in the order of keys.
 
-    Counts are accumulated over ranges of distance first and inside a range then, so no task sorts all rows.
+    Counts are accumulated over ranges of distance first and inside a range then, so no task sorts all rows, nor all of a fold.
     """
     edges = scored.agg(F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.count("*").alias("n")).first()
     parts = max(1, int((edges["n"] or 0) ** 0.5))
     span = ((edges["hi"] or 0.0) - (edges["lo"] or 0.0)) or 1.0
     x = scored.withColumn("__part", F.least(F.floor((F.col("distance") - F.lit(edges["lo"] or 0.0)) / F.lit(span) * parts), F.lit(parts - 1)))
     x = x.withColumns({"p": F.col("match").cast("int"), "q": (~F.col("match")).cast("int")})
-    sums = x.groupBy("__part").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("__part", F.coalesce(F.sum("sp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("sq").over(before), F.lit(0)).alias("bq"))
-    w = Window.partitionBy("__part").orderBy("distance", "key").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.join(starts, "__part").select((F.col("bp") + F.sum("p").over(w)).alias("tp"), (F.col("bq") + F.sum("q").over(w)).alias("fp"))
-    total = sums.agg(F.sum("sp").alias("np"), F.sum("sq").alias("nq")).first()
-    points = x.select((F.col("tp") + F.col("fp")).alias("k"), (F.col("tp") / F.lit(total["np"] or 1)).alias("tpr"), (F.col("fp") / F.lit(total["nq"] or 1)).alias("fpr"))
-    return points.unionByName(scored.sparkSession.range(1).select(F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr")))
+    sums = x.groupBy(*by, "__part").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    starts = sums.select(*by, "__part", so_far("sp").alias("bp"), so_far("sq").alias("bq"), F.sum("sp").over(whole).alias("np"), F.sum("sq").over(whole).alias("nq"))
+    w = Window.partitionBy(*by, "__part").orderBy("distance", "key").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.join(starts, [*by, "__part"]).select(*by, "np", "nq", (F.col("bp") + F.sum("p").over(w)).alias("tp"), (F.col("bq") + F.sum("q").over(w)).alias("fp"))
+    rate = lambda a, n: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(n)), F.lit(0.0))
+    return x.select(*by, (F.col("tp") + F.col("fp")).alias("k"), rate("tp", "np").alias("tpr"), rate("fp", "nq").alias("fpr"))
+
+
+def roc(scored: DataFrame) -> DataFrame:
+    """k, tpr, fpr of scored(key, distance, match) by falling similarity, from (0, 0) on."""
+    zero = scored.sparkSession.range(1).select(F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
+    return accumulated(scored).unionByName(zero)
 
 
 def equal_error(points: DataFrame, *by: str) -> DataFrame:
@@ -126,12 +133,8 @@ def equal_error(points: DataFrame, *by: str) -> DataFrame:
 
 
 def fold_errors(scored: DataFrame) -> DataFrame:
-    """fold, eer of scored(fold, key, distance, match); a fold is sorted as a whole."""
-    w = Window.partitionBy("fold").orderBy("distance", "key").rowsBetween(Window.unboundedPreceding, 0)
-    all_rows = Window.partitionBy("fold")
-    p, q = F.col("match").cast("int"), (~F.col("match")).cast("int")
-    x = scored.select("fold", F.count("*").over(w).alias("k"), (F.sum(p).over(w) / F.sum(p).over(all_rows)).alias("tpr"), (F.sum(q).over(w) / F.sum(q).over(all_rows)).alias("fpr"))
-    return equal_error(x, "fold")
+    """fold, eer of scored(fold, key, distance, match)."""
+    return equal_error(accumulated(scored, "fold"), "fold")
 
 
 def error_summary(folds: DataFrame) -> DataFrame:

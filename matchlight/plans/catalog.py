@@ -264,9 +264,14 @@ def resize_nearest(spark, sf):
     return P.resize_nearest(V.pixels(spark, sf).select("image_id", "row", "col", "mask"), 4).select("image_id", "row", "col", "mask")
 
 
-@query()
+O.cte("cubic", "SELECT o, i, sum(CASE WHEN t <= 1 THEN 1.5 * t * t * t - 2.5 * t * t + 1 WHEN t < 2 THEN -0.5 * t * t * t + 2.5 * t * t - 4 * t + 2 ELSE 0 END) AS w FROM (SELECT o, least(greatest(f + k, 0), 7)::INT AS i, abs(a - f - k) AS t FROM (SELECT o, a, floor(a) AS f FROM (SELECT o, (o + 0.5::DOUBLE) / 2 - 0.5::DOUBLE AS a FROM (SELECT unnest(range(0, 16)) AS o))), (SELECT unnest(range(-1, 3)) AS k)) GROUP BY o, i")
+_CUBIC = ", ".join(f"least(255, greatest(0, floor(sum(r.w * c.w * {x}) + 0.5)))::BIGINT AS {x}" for x in ("red", "green", "blue"))
+
+
+@query(f"SELECT image_id, r.o AS row, c.o AS col, {_CUBIC} FROM pixels p JOIN cubic r ON r.i = p.row JOIN cubic c ON c.i = p.col GROUP BY image_id, r.o, c.o", "pixels", "cubic")
 def resize_bicubic(spark, sf):
-    return P.resize_bicubic(V.pixels(spark, sf), 2)
+    x = P.resize_bicubic(V.pixels(spark, sf), 2)
+    return x.select("image_id", *[F.col(c).cast("long").alias(c) for c in ("row", "col", *P.RGB)])
 
 
 # Superpixels and strips
@@ -379,6 +384,7 @@ def descriptor_l2(spark, sf):
 
 
 O.cte("pooled", "SELECT image_id, strip, word, sum(s) / 3 AS p FROM (SELECT b.image_id, b.strip, b.band, v.word, sum(exp(-distance / 9.0)) AS s FROM bands b JOIN votes v ON b.image_id = v.image_id AND b.sp = v.sp GROUP BY ALL) GROUP BY ALL", "bands", "votes")
+O.cte("aligned", "SELECT b.feat, s.strip, m.person, m.cam FROM bins9 b JOIN strips s ON s.image_id = b.image_id AND s.sp = b.sp JOIN samples m ON m.id = b.image_id", "bins9", "strips", "samples")
 O.cte("bands", f"{_BAND(0, 'mid')} UNION ALL {_BAND(1, 'low')} UNION ALL {_BAND(-1, 'high')}", "sp")
 
 
@@ -388,14 +394,13 @@ def strip_hist_pooled(spark, sf):
     return h.select("image_id", "strip", "word", r6("h").alias("h"))
 
 
-@query("SELECT id, k::INT AS piece, round(list_sum(list_transform(x[k * 16 + 1 : k * 16 + 16], lambda v: v)), 6) AS total, round(x[(k * 16 + 5) % 64 + 1], 6) AS second FROM (SELECT id, x, unnest(range(0, 4)) AS k FROM samples)", "samples")
+@query("SELECT id, k::INT AS piece, list_transform(range(0, 11), lambda j: round(list_concat(x, [0.0, 0.0])[(11 * k + j + 5) % 66 + 1], 6) + 0.0) AS x FROM (SELECT id, x, unnest(range(0, 6)) AS k FROM samples)", "samples")
 def opq_split(spark, sf):
-    d = 64
-    rotation = [[1.0 if j == (i + (5 if i % 16 == 0 else 0)) % d and i % 16 else (1.0 if i % 16 == 0 and j == i else 0.0) for j in range(d)] for i in range(d)]
-    m = vec.matrix(rotation)
-    x = V.samples(spark, sf).withColumn("p", F.array(*[F.slice(vec.matvec(m, F.col("x")), 16 * k + 1, 16) for k in range(4)]))
-    x = x.select("id", "x", F.posexplode("p").alias("k", "p"))
-    return x.select("id", F.col("k").alias("piece"), r6(vec.total(F.col("p"))).alias("total"), r6(F.get("x", (F.col("k") * 16 + 5) % 64)).alias("second"))
+    """Four parts and two zeros, turned by a cyclic shift, in six pieces."""
+    turn = vec.matrix([[float(j == (i + 5) % 66) for j in range(66)] for i in range(66)])
+    pieces = vec.opq([F.slice("x", 16 * t + 1, 16) for t in range(4)], turn, 6)
+    x = V.samples(spark, sf).select("id", F.posexplode(F.array(*pieces)).alias("piece", "x"))
+    return x.select("id", "piece", F.transform("x", lambda v: F.round(v, 6) + 0.0).alias("x"))
 
 
 # Vectors
@@ -810,10 +815,10 @@ def distinct_union(spark, sf):
     return pairs.negatives(s).select(*c).union(pairs.positives(s).select(*c)).distinct()
 
 
-@query("SELECT id, array_to_string(list_transform(x[1:4], lambda v: (round(v * 1000))::BIGINT), ',') AS value FROM samples", "samples")
+@query("SELECT array_to_string(list_transform(x, lambda v: (round(v * 1000))::BIGINT), ',') AS value FROM samples", "samples")
 def csv_hist(spark, sf):
-    s = V.samples(spark, sf).select("id", F.transform(F.slice("x", 1, 4), lambda v: F.round(v * 1000).cast("long")).alias("h"))
-    return s.select("id", F.array_join(F.col("h").cast("array<string>"), ",").alias("value"))
+    h = V.samples(spark, sf).select(F.transform("x", lambda v: F.round(v * 1000).cast("long")).alias("h"))
+    return images.histogram_lines(h, "h")
 
 
 @query("SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS row, col::INT AS col, round(v, 6) + 0.0 AS value FROM (SELECT id, unnest(range(0, 64)) AS col, unnest(x) AS v FROM samples WHERE false) UNION ALL SELECT (id)::INT, col::INT, round(v, 6) + 0.0 FROM (SELECT id, unnest(range(0, 64)) AS col, unnest(x) AS v FROM samples)", "samples")
@@ -870,6 +875,95 @@ def camera_pair_cmc(spark, sf):
     return evaluate.matching_cmc(x, 20).select("rank", r6("rate").alias("rate"))
 
 
+def _near(distance: str, others: str) -> str:
+    return f"SELECT t.id AS test, t.person AS truth, g.id AS train, g.person AS label, row_number() OVER (PARTITION BY t.id ORDER BY {distance}, g.id) AS rk FROM samples t JOIN samples g ON {others}"
+
+
+_GENERAL = "round(list_sum(list_transform(range(1, 65), lambda j: (1.0 + ((j - 1) % 5) / 4.0) * (t.x[j] - g.x[j]) * (t.x[j] - g.x[j]))) + 0.05 * pow(list_sum(t.x) - list_sum(g.x), 2), 9)"
+O.cte("near_others", _near(O.sqdist("t.x", "g.x"), "t.id <> g.id"), "samples")
+O.cte("near_factor", _near(_GENERAL, "t.is_query AND NOT g.is_query"), "samples")
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS k, round(avg((truth <> label)::INT), 6) AS error FROM ({_vote(k, '0.01').replace('FROM near ', 'FROM near_others ')})" for k in (1, 3, 5)), "near_others")
+def knn_train_error(spark, sf):
+    """Each row is left out of its own neighbours."""
+    s = V.samples(spark, sf)
+    x = knn.error_rate(cut(knn.neighbours(s, s, 5, skip_self=True)), (1, 3, 5))
+    return x.select("k", r6("error").alias("error"))
+
+
+@query(_vote(5, "0").replace("FROM near ", "FROM near_factor "), "near_factor")
+def knn_under_factor(spark, sf):
+    s = V.samples(spark, sf)
+    moved = s.withColumn("x", protocol.Metric(np.diag(V.diagonal()) + 0.05).project(F.col("x")))
+    return knn.vote(cut(knn.neighbours(V.probes(moved), V.gallery(moved), 5)), 5)
+
+
+def _map(weight: str) -> str:
+    """Mean average precision over distances of weighted cells, from SQL of the other retrieval queries."""
+    scores = f"SELECT p.id AS probe_id, p.person AS probe_person, p.cam AS probe_cam, g.id AS gallery_id, g.person AS gallery_person, g.cam AS gallery_cam, -sqrt(list_sum(list_transform(range(1, 65), lambda j: {weight} * (p.x[j] - g.x[j]) * (p.x[j] - g.x[j])))) AS score FROM samples p, samples g WHERE p.is_query AND NOT g.is_query"
+    ap = O.CTE["ap"][0].replace("FROM ranked", f"FROM ({O.CTE['ranked'][0]})").replace("FROM judged", f"FROM ({O.CTE['judged'][0]})").replace("FROM scores", f"FROM ({scores})")
+    return f"SELECT round(avg(ap), 6) AS map, count(ap) AS n_queries, round(avg(CASE WHEN first_hit = 1 THEN 1.0 WHEN first_hit IS NOT NULL THEN 0.0 END), 6) AS rank1 FROM ({ap})"
+
+
+def camera_metrics(spark) -> DataFrame:
+    rows = [(t, q, np.diag(V.diagonal(64, 2 * q + t)).tolist()) for t in (0, 1) for q in (0, 1)]
+    return spark.createDataFrame(rows, "test_cam int, query_cam int, m array<array<double>>")
+
+
+@query(_map("(1.0 + ((j - 1 + 2 * p.cam + g.cam) % 5) / 4.0)"), "samples")
+def map_by_camera_pair(spark, sf):
+    x = pipeline.map_by_camera_pair(V.samples(spark, sf), camera_metrics(spark))
+    return x.select(r6("map").alias("map"), "n_queries", r6("rank1").alias("rank1"))
+
+
+@query(_map("(1.0 + ((j - 1) % 5 + j % 5 + (j + 1) % 5 + (j + 2) % 5) / 16.0)"), "samples")
+def map_under_mean_metric(spark, sf):
+    x = pipeline.map_by_camera_pair(V.samples(spark, sf), camera_metrics(spark), mean=True)
+    return x.select(r6("map").alias("map"), "n_queries", r6("rank1").alias("rank1"))
+
+
+_PART = lambda t: f"list_dot_product(a[{16 * t + 1}:{16 * t + 16}], b[{16 * t + 1}:{16 * t + 16}])"
+_FUSED = f"round(pow(abs({' * '.join(_PART(t) for t in range(4))}), 0.25), 9)"
+for _t, _s in ((*((f"t{t}", f"round({_PART(t)}, 9)") for t in range(4)), ("fused", _FUSED))):
+    O.cte(f"hits_{_t}", f"SELECT r AS first_hit FROM (SELECT match, rank() OVER (PARTITION BY trial, probe ORDER BY {_s} DESC) AS r FROM matches) WHERE match UNION ALL SELECT r FROM (SELECT match, rank() OVER (PARTITION BY trial, gallery ORDER BY {_s} DESC) AS r FROM matches) WHERE match", "matches")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS type, * FROM ({O.curve(f'hits_{t}', 20)})" for t in ("t0", "t1", "t2", "t3", "fused")), *(f"hits_{t}" for t in ("t0", "t1", "t2", "t3", "fused")))
+def viper_types_and_fusion(spark, sf):
+    """The curve of every feature type (here 16 cells each) and of their fusion."""
+    of = [F.struct(F.lit(f"t{t}").alias("type"), F.round(vec.dot(F.slice("a", 16 * t + 1, 16), F.slice("b", 16 * t + 1, 16)), 9).alias("score")) for t in range(4)]
+    keys = ("trial", "probe", "gallery", "match")
+    m = V.matches(V.samples(spark, sf)).select(*keys, F.explode(F.array(*of)).alias("s"))
+    return pipeline.types_and_fusion(cut(m.select(*keys, "s.type", "s.score")), 20).select("type", "rank", r6("rate").alias("rate"))
+
+
+O.cte("trial_hits", f"SELECT trial, min(r) AS first_hit FROM (SELECT t AS trial, p.id AS probe, p.person = g.person AS match, row_number() OVER (PARTITION BY t, p.id ORDER BY {O.sqdist('p.x', 'g.x')}, g.id) AS r FROM (SELECT unnest([0, 1]) AS t) JOIN samples p ON p.cam = 0 AND (p.id // 2) % 3 = t JOIN samples g ON g.cam = 1 AND (g.id // 2) % 3 = t) WHERE match GROUP BY trial, probe", "samples")
+
+
+@query("SELECT r AS rank, round(avg(rate), 6) AS rate FROM (SELECT trial, r, sum((first_hit <= r)::INT) / count(*) AS rate FROM trial_hits, (SELECT unnest(range(1, 21)) AS r) GROUP BY trial, r) GROUP BY r", "trial_hits")
+def trials_l2(spark, sf):
+    """The loop over trials: train on what the split leaves, match the split."""
+    s = V.samples(spark, sf)
+    t = F.explode(F.array(F.lit(0), F.lit(1)))
+    splits = s.select(t.alias("trial"), F.col("id").alias("idx")).where(F.floor(F.col("idx") / 2) % 3 == F.col("trial"))
+    return pipeline.trials(s, splits, "l2", 20).select("rank", r6("rate").alias("rate"))
+
+
+@query()
+def trials_kissme(spark, sf):
+    s = V.samples(spark, sf)
+    splits = s.select(F.lit(0).alias("trial"), F.col("id").alias("idx")).where("idx % 4 < 2")
+    return pipeline.trials(s, splits, "kissme", 20)
+
+
+@query("SELECT i::INT AS i, j::INT AS j, round(sum((a.feat[i + 1] - b.feat[i + 1]) * (a.feat[j + 1] - b.feat[j + 1])) / count(*), 6) + 0.0 AS v, count(*)::DOUBLE AS n FROM aligned a JOIN aligned b ON a.cam = 0 AND b.cam = 1 AND a.person = b.person AND a.strip = b.strip, (SELECT unnest(range(0, 9)) AS i), (SELECT unnest(range(0, 9)) AS j) GROUP BY i, j", "aligned")
+def strip_aligned_pairs(spark, sf):
+    people = V.samples(spark, sf).select(F.col("id").alias("image_id"), "person", "cam")
+    x = pipeline.aligned_pairs(hog_features(spark, sf), strips.strips(V.superpixels(spark, sf), 8, 4, 2), people, "HOG")
+    return x.select("i", "j", r6(F.col("v") / F.col("n")).alias("v"), "n")
+
+
 @query()
 def half_split_cmc(spark, sf):
     return pipeline.half_split_trials(V.samples(spark, sf), 3, 20)

@@ -101,8 +101,7 @@ def train_metric(samples: DataFrame, learner: str = "kissme", draws: int = 5, di
         samples = cut(samples.withColumn("x", pca.transform(samples, F.col("x"), mean, rows, dims)))
     both = pairs.positives(samples).select("x_a", "x_b", F.lit(True).alias("match")).unionByName(pairs.negatives(samples, draws).select("x_a", "x_b", F.lit(False).alias("match")))
     pos, neg = learners.pair_covariances(both)
-    made = {"kissme": lambda: learners.kissme(pos, neg), "mahal": lambda: learners.mahalanobis(pos), "xqda": lambda: learners.xqda_histograms(pos, neg), "l2": lambda: learners.euclidean(len(pos))}[learner]()
-    return samples, made
+    return samples, covariance_learner(learner, pos, neg)
 
 
 def evaluate_metric(samples: DataFrame, m, max_rank: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -132,31 +131,79 @@ def split_trial(samples: DataFrame, splits: DataFrame, trial: int) -> tuple[Data
 def train_application(pixels: DataFrame, people: DataFrame, settings: Settings, folder: str, learner: str = "kissme") -> BagOfWords:
     """Metrics by type, then codebooks under them; each is written to the folder as soon as it is there, so a failure later loses none before.
 
-    people(image_id, person, cam): superpixel features of one strip-aligned image pair make the pairs; here a type's mean feature of an image stands for it.
+    people(image_id, person, cam): superpixels in one strip make the pairs, of one person under both cameras against all others.
     """
     algorithm = BagOfWords(settings)
-    table, _ = algorithm.features(pixels)
+    table, sp = algorithm.features(pixels)
     table = cut(table)
+    places = strips.strips(sp, settings.height, settings.strip, settings.step)
     metrics = {}
     for t in settings.types:
-        cells = table.where(F.col("type") == t).select("image_id", F.posexplode("feat").alias("i", "v")).groupBy("image_id", "i").agg(F.avg("v").alias("v"))
-        x = cells.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("x"))
-        s = cut(x.join(people, "image_id").withColumnRenamed("image_id", "id"))
-        _, metrics[t] = train_metric(s, learner)
-        m = metrics[t]
+        m = metrics[t] = aligned_metric(table, places, people, t, learner)
         rows = [(t, i, j, float(m[i, j])) for i in range(len(m)) for j in range(len(m))]
         pixels.sparkSession.createDataFrame(rows, "type string, i int, j int, v double").write.mode("append").parquet(f"{folder}/metric")
     algorithm.train(pixels, metrics).write.mode("overwrite").parquet(f"{folder}/codebook")
     return algorithm
 
 
-def aligned_pairs(features_: DataFrame, strip_table: DataFrame, people: DataFrame, type_: str) -> DataFrame:
-    """i, j, v, n: scatter of superpixel differences inside equal strips over all pairs of images of a person, by sums of strips and without the pairs."""
+def aligned_metric(features_: DataFrame, strip_table: DataFrame, people: DataFrame, type_: str, learner: str = "kissme"):
+    """M of one feature type from superpixels in equal strips: pairs of one person, and all others by the difference of sums."""
+    from ..operators import cov
+
+    same, every = cut(aligned_pairs(features_, strip_table, people, type_)), cut(aligned_pairs(features_, strip_table, people, type_, "strip"))
+    n_same, n_all = same.first()["n"], every.first()["n"]
+    pos, whole = cov.to_matrix(same, mean=False), cov.to_matrix(every, mean=False)
+    return covariance_learner(learner, pos / max(n_same, 1), (whole - pos) / max(n_all - n_same, 1))
+
+
+def covariance_learner(learner: str, pos, neg):
+    return {"kissme": lambda: learners.kissme(pos, neg), "mahal": lambda: learners.mahalanobis(pos), "xqda": lambda: learners.xqda_histograms(pos, neg), "l2": lambda: learners.euclidean(len(pos))}[learner]()
+
+
+def aligned_pairs(features_: DataFrame, strip_table: DataFrame, people: DataFrame, type_: str, by: str = "person") -> DataFrame:
+    """i, j, v, n: scatter of superpixel differences inside equal strips over all pairs of images under both cameras, of one person or (by="strip") of any, by sums of strips and without the pairs."""
     from ..operators import cov
 
     x = strip_table.where("band = 'mid'").join(features_.where(F.col("type") == type_), ["image_id", "sp"]).join(people, "image_id")
-    x = x.withColumn("key", F.concat_ws(":", F.col("person").cast("string"), F.col("strip").cast("string")))
-    return cov.class_pair_scatter(x.withColumn("x", F.col("feat")), F.col("x"), label="key")
+    key = F.concat_ws(":", F.col("person").cast("string"), F.col("strip").cast("string")) if by == "person" else F.col("strip").cast("string")
+    return cov.class_pair_scatter(x.withColumns({"key": key, "x": F.col("feat")}), F.col("x"), label="key")
+
+
+def map_by_camera_pair(samples: DataFrame, metrics: DataFrame, mean: bool = False) -> DataFrame:
+    """map, n_queries, rank1 of distances under the metric of each pair of cameras, or under the mean of all: metrics(test_cam, query_cam, m)."""
+    if mean:
+        rows = [r["m"] for r in metrics.select("m").collect()]  # one matrix a pair of cameras
+        m = [[sum(r[i][j] for r in rows) / len(rows) for j in range(len(rows[0]))] for i in range(len(rows[0]))]
+        metrics = samples.sparkSession.createDataFrame([(a, b, m) for a, b in metrics.select("test_cam", "query_cam").collect()], "test_cam int, query_cam int, m array<array<double>>")
+    s = score.score_by_camera_pair(samples.where("is_query"), samples.where("not is_query"), metrics)
+    return evaluate.mean_average_precision(cut(s.withColumn("score", -F.col("score"))))
+
+
+def types_and_fusion(scores: DataFrame, max_rank: int) -> DataFrame:
+    """type, rank, rate of scores(trial, probe, gallery, match, type, score): the symmetric curve of every type and of their fusion."""
+    types = [r["type"] for r in scores.select("type").distinct().collect()]  # a handful of feature types
+    keys = ("trial", "probe", "gallery", "match")
+    product = scores.groupBy(*keys).agg(F.exp(F.sum(F.log(F.abs("score"))) / len(types)).alias("score"), F.min(F.abs("score")).alias("low"))
+    fused = product.select(*keys, F.when(F.col("low") == 0, 0.0).otherwise(F.col("score")).alias("score"))
+    out = evaluate.symmetric_cmc(fused, max_rank).select(F.lit("fused").alias("type"), "rank", "rate")
+    for t in sorted(types):
+        part = evaluate.symmetric_cmc(scores.where(F.col("type") == t).select(*keys, "score"), max_rank)
+        out = out.unionByName(part.select(F.lit(t).alias("type"), "rank", "rate"))
+    return out
+
+
+def trials(samples: DataFrame, splits: DataFrame, learner: str, ranks: int) -> DataFrame:
+    """rank, rate: each trial trains on what its split leaves and matches the split's rows under camera 0 with those under camera 1; averaged over trials."""
+    out = None
+    for r in splits.select("trial").distinct().orderBy("trial").collect():  # a handful of trials
+        train, test = split_trial(samples, splits, r["trial"])
+        _, m = train_metric(train, learner)
+        moved = cut(test.withColumn("x", vec.matvec(vec.matrix(factor(m)), F.col("x"))))
+        s = score.score(moved.where("cam = 0"), moved.where("cam = 1"), vec.squared_distance)
+        s = s.select(F.col("probe_id").alias("probe"), F.col("gallery_id").alias("gallery"), (F.col("probe_person") == F.col("gallery_person")).alias("match"), "score")
+        part = evaluate.matching_cmc(s, ranks)
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("rank").agg(F.avg("rate").alias("rate"))
 
 
 def half_split_trials(samples: DataFrame, trials: int, ranks: int) -> DataFrame:
