@@ -11,7 +11,10 @@ inside their range; the global order is cut the same way in ranges of virtual ti
 
 Null and empty texts have size 0 and are never short of room. A null source is a source
 of its own, last in order. Rows that repeat an id share their place in the queue and
-each counts. Extra columns stay in ``mixed``. Without words all targets are 0.
+each counts; rows without an id share one place, end at one virtual time, and are taken
+or left together. Ties of virtual time go by source, epoch, place and id. Texts are
+counted whole, of any length. Extra columns stay in ``mixed``. Without words all targets
+are 0. One task orders the sources for their targets: it sees a row a source.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ the corpus falls apart into independent groups by gram:
    gram's offset in them, which equal windows share.
 4. Marks return to their documents, where covered bytes are cut.
 
-Texts are UTF-8; null counts as empty; texts under LENGTH bytes keep all. Windows
+Texts are UTF-8 of any length; null counts as empty; texts under LENGTH bytes keep all. Windows
 never cross documents. doc_id orders documents and names a text: rows that repeat an
 id and its text are one place and get equal results; rows without an id keep all and
 cover nothing. Other columns are ignored.
