@@ -200,21 +200,38 @@ class Mat5Reader(DataSourceReader):
                 yield from cells(name, value)
 
 
+#: Cells that one file takes unless told otherwise.
+MAX_CELLS = 10_000_000
+
+
 class _Part(WriterCommitMessage):
     def __init__(self, rows: list):
         self.rows = rows
 
 
 class Mat5Writer(DataSourceWriter):
-    """Numeric rows (name, row, col, value) to one file at path on commit: a sink for driver-sized arrays such as metrics and codebooks."""
+    """Numeric rows (name, row, col, value) to one file at path on commit: a sink for driver-sized arrays such as metrics and codebooks.
+
+    More than maxCells cells (an option, 10 million by default) are refused, in a task as soon as it holds so many, or at the commit.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
+        self.most = int(options.get("maxCells") or options.get("maxcells") or MAX_CELLS)
+
+    def _bounded(self, n: int) -> None:
+        if n > self.most:
+            raise ValueError(f"more than {self.most} cells for one file; raise maxCells or write a table")
 
     def write(self, iterator):
-        return _Part([(r["name"], r["row"], r["col"], r["value"]) for r in iterator])
+        rows = []
+        for r in iterator:
+            rows.append((r["name"], r["row"], r["col"], r["value"]))
+            self._bounded(len(rows))
+        return _Part(rows)
 
     def commit(self, messages):
+        self._bounded(sum(len(m.rows) for m in messages))
         arrays: dict = {}
         for m in messages:
             for name, i, j, v in m.rows:

@@ -615,3 +615,11 @@ def test_clustering_equals_a_loop_over_pixels(h, w, n, compactness, seed):
         number += not small
     got = superpixel.cluster(rgb, n, compactness)
     assert {p: int(got[p]) for p in label} == want
+
+
+def test_the_array_sink_refuses_tables(spark, tmp_path):
+    cells = spark.range(50).selectExpr("'a' AS name", "cast(id AS int) AS row", "0 AS col", "0.5D AS value")
+    with pytest.raises(Exception, match="maxCells"):
+        spark.dataSource.register(mat5.Mat5DataSource)
+        cells.write.format("mat5").option("path", str(tmp_path / "x.mat")).option("maxCells", 20).mode("append").save()
+    assert not (tmp_path / "x.mat").exists()
