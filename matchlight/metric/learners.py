@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,7 +199,7 @@ def lmnn(samples: DataFrame, k: int = 3, pull: float = 0.5, rate: float = 1e-3,
 
     first = samples.select("x").first()
     d = len(first["x"]) if first else 0
-    x = samples.select("id", "person", "x")
+    x = cut(samples.select("id", "person", "x").repartition(samples.sparkSession.sparkContext.defaultParallelism))
     targets = cut(knn.target_neighbours(x, k))
     away = targets.join(x.select(F.col("id").alias("i"), F.col("x").alias("xi")), "i").join(x.select(F.col("id").alias("j"), F.col("x").alias("xj")), "j")
     away = cut(away.select("i", vec.subtract(F.col("xi"), F.col("xj")).alias("d")))
@@ -210,24 +211,35 @@ def lmnn(samples: DataFrame, k: int = 3, pull: float = 0.5, rate: float = 1e-3,
         def make(scores: np.ndarray, p: dict, g: dict) -> dict:
             hinge, push = 0.0, np.zeros((d, d))
             weight = np.zeros_like(scores)
-            for a in range(scores.shape[1]):
-                dij = np.asarray(p["away"][a], float).reshape(-1, d)
-                far = ((dij @ l.T) ** 2).sum(axis=1)
-                h = np.where((g["person"] != p["person"][a])[:, None], 1 + far[None, :] - scores[:, a][:, None], 0.0)
+            sizes = [len(v) // d for v in p["away"]]
+            away_ = np.concatenate([np.asarray(v, float) for v in p["away"]]).reshape(-1, d)
+            far = ((away_ @ l.T) ** 2).sum(axis=1)
+            nth = np.concatenate([np.arange(n) for n in sizes])
+            at = np.repeat(np.arange(len(sizes)), sizes)
+            other = g["person"][:, None] != p["person"][None, :]
+            for r in range(max(sizes)):  # the r-th targets of all probes at once
+                of, which = np.flatnonzero(nth == r), at[nth == r]
+                h = np.where(other[:, which], 1 + far[of][None, :] - scores[:, which], 0.0)
                 active = h > 0
                 hinge += h[active].sum()
-                push += (dij * active.sum(axis=0)[:, None]).T @ dij
-                weight[:, a] = active.sum(axis=1)
+                push += (away_[of] * active.sum(axis=0)[:, None]).T @ away_[of]
+                weight[:, which] += active
             cross = g["x"].T @ weight @ p["x"]
             push -= (g["x"] * weight.sum(axis=1)[:, None]).T @ g["x"] + (p["x"] * weight.sum(axis=0)[:, None]).T @ p["x"] - cross - cross.T
             return {"v": [[float(hinge), *push.ravel().tolist()]]}
 
-        under = lambda g, p: score.squared(g @ l.T, p @ l.T)
-        rows = score.compare(held, x, under, make=make, made="v array<double>")
-        rows = rows.select(F.posexplode("v").alias("c", "v")).groupBy("c").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(d * d + 1)
-        for r in rows:
-            out[r["c"]] = r["v"]
+        def under(g: np.ndarray, p: np.ndarray) -> np.ndarray:
+            a, b = g @ l.T, p @ l.T
+            return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0.0)
+
+        def add(batches):
+            total = np.zeros(d * d + 1)
+            for b in batches:
+                total += b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).sum(axis=0) if b.num_rows else 0
+            yield pa.RecordBatch.from_pydict({"v": [total.tolist()]})
+
+        parts = score.compare(held, x, under, make=make, made="v array<double>").mapInArrow(add, "v array<double>").toArrow()  # d by d cells a task
+        out = np.array(parts.column("v").to_pylist()).sum(axis=0)
         push = out[1:].reshape(d, d)
         return (1 - pull) * float(np.trace(l @ pulled @ l.T)) + pull * out[0], 2 * l @ ((1 - pull) * pulled + pull * push)
 

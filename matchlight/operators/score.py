@@ -95,7 +95,8 @@ def compare(probes: Probes, gallery: DataFrame, kernel, columns: tuple[str, ...]
     target = to_arrow_schema(schema)
 
     def vectors(t: pa.Table) -> np.ndarray:
-        return np.array(t.column("x").to_pylist(), float).reshape(t.num_rows, -1 if t.num_rows else 0)
+        cells = pa.chunked_array(t.column("x")).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return cells.astype(float).reshape(t.num_rows, -1 if t.num_rows else 0)
 
     def plain(t: pa.Table) -> dict:
         values = {c: t.column(c).to_pylist() for c in t.column_names if c != "x"}
