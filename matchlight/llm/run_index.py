@@ -424,16 +424,23 @@ def cut_ranges(data: bytes, ranges: np.ndarray) -> tuple[int, int, bytes]:
     return int((last - first).sum()), len(first), b"".join(kept)
 
 
+def by_bucket(dealt: DataFrame, kernel) -> DataFrame:
+    """kernel on each bucket; partitions get buckets in turn, so their numbers differ by one at most."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.withColumn("__part", F.pmod(F.col("__bucket"), F.lit(n)).cast("int")).repartitionById(n, F.col("__part"))
+    return dealt.groupBy("__part", "__bucket").applyInArrow(kernel, "doc_id long, __values binary")
+
+
 def marked(docs: DataFrame) -> DataFrame:
     """doc_id, __z and __values: blobs of the (start, end) ranges to cut, null where there are none."""
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    grams = deal_grams(docs.where("doc_id is not null"), buckets).groupBy("__bucket").applyInArrow(repeated, "doc_id long, __values binary")
+    grams = by_bucket(deal_grams(docs.where("doc_id is not null"), buckets), repeated)
     asked = grams.groupBy("doc_id").agg(F.collect_list("__values").alias("__values"))
     texts = packed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     contexts = deal_contexts(texts.join(asked, "doc_id"), buckets)
-    marks = cut(contexts.groupBy("__bucket").applyInArrow(mark, "doc_id long, __values binary"))
+    marks = cut(by_bucket(contexts, mark))
     return texts.join(marks.groupBy("doc_id").agg(F.collect_list("__values").alias("__values")), "doc_id", "left")
 
 
