@@ -24,6 +24,25 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
+def add(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def multiply(a: Column, b: Column) -> Column:
+    """Cell by cell."""
+    return F.zip_with(a, b, lambda x, y: x * y)
+
+
+def shift(x: Column, c: Column) -> Column:
+    """A number added to every cell."""
+    return F.transform(x, lambda v: v + c)
+
+
+def scale(x: Column, c: Column) -> Column:
+    """Every cell times a number."""
+    return F.transform(x, lambda v: v * c)
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 

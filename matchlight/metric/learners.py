@@ -19,9 +19,10 @@ def pair_covariances(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return cov.to_matrix(rows.where("grp = 'true'")), cov.to_matrix(rows.where("grp = 'false'"))
 
 
-def kissme(positive: np.ndarray, negative: np.ndarray, share: float = 1.0) -> np.ndarray:
+def kissme(positive: np.ndarray, negative: np.ndarray, share: float = 1.0, repair: bool = True) -> np.ndarray:
     """inverse(positive) - share * inverse(negative), made positive semidefinite."""
-    return psd(inverse(positive) - share * inverse(negative))
+    m = inverse(positive) - share * inverse(negative)
+    return psd(m) if repair else m
 
 
 def mahalanobis(positive: np.ndarray) -> np.ndarray:
@@ -58,7 +59,16 @@ def directions(positive: np.ndarray, negative: np.ndarray) -> tuple[np.ndarray,
 
 
 def xqda(samples: DataFrame, ridge: float = 0.001, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """W and M from labels alone: within-person covariances by class sums, all others from the total."""
+    """W and M from labels alone: within-person covariances by class sums, all others from the total.
+
+    Vectors longer than there are rows are first turned into the space that the rows span (fewer rows than cells, so they fit on the driver).
+    """
+    head = samples.select("x").first()
+    d = len(head["x"]) if head else 0
+    if d and samples.limit(d).count() < d:
+        span = np.linalg.qr(np.array([r["x"] for r in samples.select("x").collect()], float).T)[0]
+        w, m = xqda(samples.withColumn("x", vec.matvec(vec.matrix(span.T), F.col("x"))), ridge, dims)
+        return span @ w, m
     within = cov.class_pair_scatter(samples, F.col("x"))
     positive, n_within = cov.to_matrix(within, mean=False), within.first()["n"]
     whole = samples.withColumn("__one", F.lit(0))
@@ -115,8 +125,30 @@ def distance_bounds(samples: DataFrame, low: float = 5, high: float = 95, draws:
     return dist.agg(at(low).alias("l"), at(high).alias("u"))
 
 
+def between(low: tuple[float, float, float], high: tuple[float, float]) -> float:
+    """Where the parabola through both values and the lower slope is least, a tenth of the bracket off its ends."""
+    (a, va, sa), (b, vb) = low, high
+    width = b - a
+    bend = vb - va - sa * width
+    t = -sa * width * width / (2 * bend) if np.isfinite(bend) and bend > 0 else width / 2
+    return a + min(max(t, 0.1 * width), 0.9 * width)
+
+
+def beyond(before: tuple[float, float, float], now: tuple[float, float, float]) -> float:
+    """Where the cubic through two values and slopes is least next, from a half to three times the last step ahead."""
+    (a, va, sa), (b, vb, sb) = before, now
+    width = b - a
+    p = sa + sb - 3 * (vb - va) / width
+    root = p * p - sa * sb
+    t = 2 * width
+    if root >= 0 and (below := sb - sa + 2 * np.sqrt(root)) != 0:
+        least = a + width * (1 - (sb + np.sqrt(root) - p) / below)
+        t = least - b if least > b else t
+    return b + min(max(t, 0.5 * width), 3 * width)
+
+
 def conjugate_gradient(f, x: np.ndarray, steps: int = 50) -> tuple[np.ndarray, list[float]]:
-    """Minimise f(x) -> (value, gradient) by Polak-Ribiere directions and a backtracking search under the Wolfe conditions."""
+    """Minimise f(x) -> (value, gradient) by Polak-Ribiere directions and a search under the Wolfe conditions that interpolates values and slopes."""
     value, g = f(x)
     told, d, step = [value], -g, 1.0 / (1.0 + np.linalg.norm(g))
     for _ in range(steps):
@@ -125,17 +157,18 @@ def conjugate_gradient(f, x: np.ndarray, steps: int = 50) -> tuple[np.ndarray, l
             d, slope = -g, -(g @ g)
         if slope == 0:
             break
-        low, high, t, best = 0.0, np.inf, step, None
+        low, high, t, best = (0.0, value, slope), None, step, None
         for _ in range(25):
             v, h = f(x + t * d)
             if not np.isfinite(v) or v > value + 1e-4 * t * slope:
-                high = t
+                high = (t, v)
+                t = between(low, high)
             elif h @ d < 0.5 * slope:
-                low, best = t, (t, v, h)
+                best, before, low = (t, v, h), low, (t, v, h @ d)
+                t = between(low, high) if high else beyond(before, low)
             else:
                 best = (t, v, h)
                 break
-            t = (low + high) / 2 if np.isfinite(high) else 2 * t
         if best is None:
             break
         step, v, h = best
@@ -150,10 +183,21 @@ def conjugate_gradient(f, x: np.ndarray, steps: int = 50) -> tuple[np.ndarray, l
 
 def ldml(pairs: DataFrame, dim: int, start: np.ndarray, bias: float = 1.0, steps: int = 20) -> tuple[np.ndarray, float, list[float]]:
     """L and bias of the pair likelihood 1 / (1 + exp(|L(a-b)|^2 - bias)), classes balanced; value and gradient are summed in tasks."""
+    return likelihood(pairs.select("match", vec.subtract(F.col("x_a"), F.col("x_b")).alias("d")), dim, start, bias, steps)
+
+
+def mildml(bags: DataFrame, dim: int, start: np.ndarray, bias: float = 1.0, steps: int = 20) -> tuple[np.ndarray, float, list[float]]:
+    """As ldml for bags(match, bag_a, bag_b), arrays of vectors: the members nearest under the current L stand for their bags. Empty bags are left out."""
+    every = F.flatten(F.transform("bag_a", lambda a: F.flatten(F.transform("bag_b", lambda b: vec.subtract(a, b)))))
+    return likelihood(bags.select("match", every.alias("d")).where(F.size("d") > 0), dim, start, bias, steps)
+
+
+def likelihood(pairs: DataFrame, dim: int, start: np.ndarray, bias: float, steps: int) -> tuple[np.ndarray, float, list[float]]:
+    """L, bias and the falling values for pairs(match, d): d holds the differences of a pair's members, of which the nearest counts."""
     from ..scratch import cut
 
     d0 = start.shape[0]
-    diffs = cut(pairs.select("match", vec.subtract(F.col("x_a"), F.col("x_b")).alias("d")))
+    diffs = cut(pairs)
     counts = {r["match"]: r["n"] for r in diffs.groupBy("match").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = max(counts.get(True, 0), 1), max(counts.get(False, 0), 1)
 
@@ -167,10 +211,14 @@ def ldml(pairs: DataFrame, dim: int, start: np.ndarray, bias: float = 1.0, steps
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                d = batch.column("d").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                d = batch.column("d").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("d").offsets.to_numpy()) // dim)
                 y = np.array(batch.column("match").to_pylist(), float)
                 ld = d @ l.T
                 z = (ld * ld).sum(axis=1) - b
+                order = np.lexsort((z, owner))
+                near = order[np.concatenate(([True], np.diff(owner[order]) > 0))]
+                d, ld, z = d[near], ld[near], z[near]
                 w = np.where(y > 0, 1 / n_pos, 1 / n_neg)
                 value += (w * np.where(y > 0, np.logaddexp(0, z), np.logaddexp(0, -z))).sum()
                 r = w * (1 / (1 + np.exp(-z)) - (1 - y))

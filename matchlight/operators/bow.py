@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +45,17 @@ def vote_weight(weight: str, sigma: float = SIGMA) -> Column:
     return {"soft": vec.soft_weight(F.col("distance"), sigma), "index": F.col("word").cast("double"), "hard": F.lit(1.0)}[weight]
 
 
-def strip_histograms(v: DataFrame, strips: DataFrame, weight: str = "soft", pooling: str = "mean") -> DataFrame:
-    """image_id, type, strip, word, h: votes summed in each strip and band, pooled over the bands, divided by sqrt(tf)."""
+def strip_histograms(v: DataFrame, strips: DataFrame, weight: str = "soft", pooling: str | Callable[..., Column] = "mean") -> DataFrame:
+    """image_id, type, strip, word, h: votes summed in each strip and band, pooled over the bands, divided by sqrt(tf).
+
+    A pooling of one's own gets the bands' columns and gives one.
+    """
     summed = strips.join(v, ["image_id", "sp"]).groupBy("image_id", "type", "strip", "band", "word").agg(F.sum(vote_weight(weight)).alias("s"))
     pivot = [F.coalesce(F.max(F.when(F.col("band") == b, F.col("s"))), F.lit(0.0)).alias(b) for b in ("low", "mid", "high")]
     wide = summed.groupBy("image_id", "type", "strip", "word").agg(*pivot)
     has = {r["band"] for r in strips.select("band").distinct().limit(4).collect()}
     cols = [F.col(b) for b in ("low", "mid", "high") if b in has] or [F.col("mid")]
-    pooled = {"mean": sum(cols[1:], cols[0]) / len(cols), "max": F.greatest(*cols) if len(cols) > 1 else cols[0], "min": F.least(*cols) if len(cols) > 1 else cols[0]}[pooling]
+    pooled = pooling(*cols) if callable(pooling) else {"mean": sum(cols[1:], cols[0]) / len(cols), "max": F.greatest(*cols) if len(cols) > 1 else cols[0], "min": F.least(*cols) if len(cols) > 1 else cols[0]}[pooling]
     x = wide.withColumn("h", pooled).join(term_frequency(v), ["image_id", "type", "word"])
     return x.select("image_id", "type", "strip", "word", (F.col("h") / F.sqrt(F.col("tf").cast("double"))).alias("h"))
 

@@ -65,9 +65,14 @@ def dense(long: DataFrame, size: int) -> DataFrame:
 REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {"HSV": hsv, "HOG": hog}
 
 
-def table(superpixels: DataFrame, radii: tuple[int, int] = (12, 20), types=("HSV", "CN", "HOG", "SILTP")) -> DataFrame:
-    """image_id, sp, type, feat for the named types; further types come from REGISTRY."""
-    made = REGISTRY | {"SILTP": lambda x: siltp(x, radii), "CN": lambda x: colour_names(x, colour_table(x.sparkSession))}
+def register(type_: str, size: int, make: Callable[[DataFrame], DataFrame]) -> None:
+    """Add a feature type: make(superpixels) gives image_id, sp, bin, v with bins from 0 to size - 1."""
+    REGISTRY[type_], SIZES[type_] = make, size
+
+
+def table(superpixels: DataFrame, radii: tuple[int, int] = (12, 20), types=("HSV", "CN", "HOG", "SILTP"), colours: DataFrame | None = None) -> DataFrame:
+    """image_id, sp, type, feat for the named types; further types come from REGISTRY. colours(idx, p) replaces the generated colour names."""
+    made = {"SILTP": lambda x: siltp(x, radii), "CN": lambda x: colour_names(x, colour_table(x.sparkSession) if colours is None else colours)} | REGISTRY
     out = None
     for t in types:
         part = dense(made[t](superpixels), SIZES[t]).withColumn("type", F.lit(t))

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import cut
 from .pairs import PRIME, mixed
 
 STRATEGIES = ("largest_variance", "largest_points_number", "farthest_point", "error")
@@ -142,5 +143,58 @@ def mllib(samples: DataFrame, k: int, max_iter: int = 100, seed_: int = 1) -> np
     return np.array(model.clusterCenters())
 
 
+def fit_bounds(samples: DataFrame, k: int, max_iter: int = -1, strategy: str = "largest_variance", centres: np.ndarray | None = None) -> np.ndarray:
+    """As fit, with bounds kept over the rounds: each row carries an upper bound of its distance and a lower one for every centre, so most distances are never computed."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}")
+    if k < 1 or samples.limit(k).count() < k:
+        raise ValueError("fewer points than clusters, or no cluster asked for")
+    c = seed(samples, k) if centres is None else np.asarray(centres, float)
+    state = samples.select("id", "x", F.lit(0).alias("cluster"), F.lit(float("inf")).alias("d"), F.array_repeat(F.lit(0.0), k).alias("low"))
+    moved, done = np.zeros(k), 0
+    while max_iter < 0 or done < max_iter:
+        state = cut(bounded_round(state, c, moved))
+        new, used = c.copy(), set()
+        for r in means(state).collect():  # k times d cells
+            new[r["cluster"], r["i"]] = r["v"]
+            used.add(r["cluster"])
+        empty = [j for j in range(k) if j not in used]
+        for j in empty:
+            new[j] = replacement(assign(samples, np.delete(new, empty, axis=0)), strategy)
+            empty = [e for e in empty if e != j]
+        done += 1
+        if np.allclose(new, c, rtol=0, atol=1e-12):
+            return new
+        moved, c = np.sqrt(((new - c) ** 2).sum(axis=1)), new
+    return c
+
+
+def bounded_round(state: DataFrame, centres: np.ndarray, moved: np.ndarray) -> DataFrame:
+    """state(id, x, cluster, d, low) after the centres moved so far; d is an upper bound, rows that it settles are not compared."""
+    apart = np.sqrt(((centres[:, None] - centres) ** 2).sum(axis=2)) / 2
+    k = len(centres)
+    nearest = np.where(np.eye(k, dtype=bool), np.inf, apart).min(axis=1)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(float)
+            at = b.column("cluster").to_numpy(zero_copy_only=False).copy()
+            low = np.maximum(b.column("low").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, k) - moved, 0.0)
+            high = b.column("d").to_numpy(zero_copy_only=False) + moved[at]
+            open_ = np.flatnonzero(high >= nearest[at])
+            high[open_] = np.sqrt(((x[open_] - centres[at[open_]]) ** 2).sum(axis=1))
+            low[open_, at[open_]] = high[open_]
+            for j in range(k):
+                o = open_[(at[open_] != j) & (high[open_] >= low[open_, j]) & (high[open_] >= apart[at[open_], j])]
+                d = low[o, j] = np.sqrt(((x[o] - centres[j]) ** 2).sum(axis=1))
+                nearer = (d < high[o]) | ((d == high[o]) & (j < at[o]))
+                high[o[nearer]], at[o[nearer]] = d[nearer], j
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(at), pa.array(high), pa.array(low.tolist(), pa.list_(pa.float64()))], names=["id", "x", "cluster", "d", "low"])
+
+    return state.mapInArrow(run, state.schema)
+
+
 def codebook(samples: DataFrame, type_: str, centres: np.ndarray) -> DataFrame:
     return samples.sparkSession.createDataFrame([(type_, i, [float(v) for v in c]) for i, c in enumerate(centres)], "type string, word int, center array<double>")

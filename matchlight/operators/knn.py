@@ -115,8 +115,9 @@ def value_counts(df: DataFrame, value: str, bins: DataFrame) -> DataFrame:
 
 
 def bag_match(bags: DataFrame) -> DataFrame:
-    """a, b, overlaps, shared of pairs of label sets: bags(a, b, la, lb)."""
-    return bags.select("a", "b", F.arrays_overlap("la", "lb").alias("overlaps"), F.size(F.array_intersect("la", "lb")).alias("shared"))
+    """a, b, overlaps, shared and logistic, a weight from 0 to 1 of the shared, of pairs of label sets: bags(a, b, la, lb)."""
+    shared = F.size(F.array_intersect("la", "lb"))
+    return bags.select("a", "b", F.arrays_overlap("la", "lb").alias("overlaps"), shared.alias("shared"), F.tanh(shared / 2).alias("logistic"))
 
 
 def nearest_impostors(samples: DataFrame, k: int) -> DataFrame:

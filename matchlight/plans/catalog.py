@@ -443,10 +443,12 @@ def pair_distances(spark, sf):
     return pairs.positives(V.samples(spark, sf)).select("id_a", "id_b", r6(vec.squared_distance(F.col("x_a"), F.col("x_b"))).alias("d"))
 
 
-@query("SELECT id, round(x[1] + 2 * x[2] + id % 3, 6) AS c, round(x[1] * x[2], 6) AS m FROM samples", "samples")
+@query("SELECT id, p::INT AS p, round((x[p + 1] + 1 + p % 5 / 4.0) * 2 + id % 3, 6) + 0.0 AS c, round(x[p + 1] * (1 + p % 5 / 4.0), 6) + 0.0 AS m FROM (SELECT id, x, unnest(range(0, 64)) AS p FROM samples)", "samples")
 def broadcast_vector_ops(spark, sf):
-    x = V.samples(spark, sf)
-    return x.select("id", r6(F.get("x", F.lit(0)) + 2 * F.get("x", F.lit(1)) + F.col("id") % 3).alias("c"), r6(F.get("x", F.lit(0)) * F.get("x", F.lit(1))).alias("m"))
+    """A vector added to and multiplied with every row's, cell by cell; numbers added and multiplied."""
+    fixed, x = F.array(*map(F.lit, V.diagonal())), F.col("x")
+    both = F.arrays_zip(vec.shift(vec.scale(vec.add(x, fixed), F.lit(2.0)), F.col("id") % 3).alias("c"), vec.multiply(x, fixed).alias("m"))
+    return V.samples(spark, sf).select("id", F.posexplode(both).alias("p", "v")).select("id", "p", r6("v.c").alias("c"), r6("v.m").alias("m"))
 
 
 @query("SELECT id, list_transform(x[1:8], lambda v: round(v, 6) + 0.0) AS x FROM samples", "samples")
@@ -552,13 +554,14 @@ def _learn(make):
     def f(spark, sf):
         pos, neg = learners.pair_covariances(labelled_pairs(V.samples(spark, sf)))
         x = dense.cells(spark, make(pos, neg))
-        return x.select("i", "j", F.round("v", 6).alias("v"))
+        return x.select("i", "j", r6("v").alias("v"))
 
     return f
 
 
 for _name, _make in {
     "kissme_metric": learners.kissme,
+    "kissme_unrepaired": lambda pos, neg: learners.kissme(pos, neg, repair=False),
     "mahal_metric": lambda pos, neg: learners.mahalanobis(pos),
     "identity_metric": lambda pos, neg: learners.euclidean(len(pos)),
     "xqda_metric": learners.xqda_histograms,
@@ -566,6 +569,8 @@ for _name, _make in {
     "psd_repair": lambda pos, neg: dense.psd(pos - neg),
 }.items():
     _QUERIES[_name] = _learn(_make)
+_SQL["mahal_metric"] = O.sql("SELECT i, j, round(v, 6) + 0.0 AS v FROM pos_cov_inverse", "pos_cov_inverse")
+_SQL["kissme_unrepaired"] = O.sql("SELECT i, j, round(p.v - n.v, 6) + 0.0 AS v FROM pos_cov_inverse p JOIN neg_cov_inverse n USING (i, j)", "pos_cov_inverse", "neg_cov_inverse")
 _SQL["identity_metric"] = "SELECT i::INT AS i, j::INT AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 64)) AS j)"
 
 
@@ -586,9 +591,60 @@ def ldml_fit(spark, sf):
     return dense.cells(spark, l.T @ l)
 
 
+_LOSS = "SELECT round(sum(CASE WHEN match THEN ln(1 + exp(z)) ELSE ln(1 + exp(-z)) END / n), 6) AS loss FROM (SELECT *, count(*) OVER (PARTITION BY match) AS n FROM ({}))"
+
+
+def loss_at_start(spark, told: list[float]) -> DataFrame:
+    return spark.createDataFrame([(round(float(told[0]), 6),)], "loss double")
+
+
+@query(_LOSS.format(" UNION ALL ".join(f"SELECT {m} AS match, {O.sqdist('xa', 'xb')} - 1 AS z FROM {t}" for t, m in (("pos", "true"), ("neg", "false")))), "pos", "neg")
+def ldml_start_loss(spark, sf):
+    """The likelihood that ldml_fit lowers, where it begins."""
+    return loss_at_start(spark, learners.ldml(labelled_pairs(V.samples(spark, sf)), 64, np.eye(64), steps=0)[2])
+
+
+_NEAREST = f"least({O.sqdist('xa', 'xb')}, {O.sqdist('list_reverse(xa)', 'xb')})"
+
+
+@query(_LOSS.format(" UNION ALL ".join(f"SELECT {m} AS match, {_NEAREST} - 1 AS z FROM {t}" for t, m in (("pos", "true"), ("neg", "false")))), "pos", "neg")
+def mildml_start_loss(spark, sf):
+    """The same for bags of a vector and its mirror image: the nearest members stand for their bags."""
+    return loss_at_start(spark, learners.mildml(mirrored_bags(spark, sf), 64, np.eye(64), steps=0)[2])
+
+
+def mirrored_bags(spark, sf) -> DataFrame:
+    return labelled_pairs(V.samples(spark, sf)).select("match", F.array("x_a", F.reverse("x_a")).alias("bag_a"), F.array("x_b", F.reverse("x_b")).alias("bag_b"))
+
+
+@query()
+def mildml_fit(spark, sf):
+    l, _, _ = learners.mildml(mirrored_bags(spark, sf), 64, np.eye(64))
+    return dense.cells(spark, l.T @ l)
+
+
+def tenfold(spark, sf) -> DataFrame:
+    return V.samples(spark, sf).withColumn("x", F.transform("x", lambda v: 10 * v))  # the margin is 1
+
+
+O.cte("pushes", f"SELECT sum(greatest(1 + 100 * t.d - 100 * {O.sqdist('a.x', 'b.x')}, 0.0)) AS push FROM targets t JOIN samples a ON a.id = t.i JOIN samples b ON b.person <> a.person", "targets", "samples")
+
+
+@query("SELECT round(0.5 * (SELECT sum(100 * d) FROM targets) + 0.5 * push, 3) AS loss FROM pushes", "targets", "pushes")
+def lmnn_start_loss(spark, sf):
+    """Pulls and pushes that lmnn_fit lowers, where it begins."""
+    return spark.createDataFrame([(round(float(learners.lmnn(tenfold(spark, sf), steps=1)[1][0]), 3),)], "loss double")
+
+
+@query()
+def large_margin_errors(spark, sf):
+    s = tenfold(spark, sf)
+    return pipeline.large_margin_errors(V.gallery(s), V.probes(s), 3)
+
+
 @query()
 def lmnn_fit(spark, sf):
-    s = V.samples(spark, sf).withColumn("x", F.transform("x", lambda v: 10 * v))  # the margin is 1
+    s = tenfold(spark, sf)
     l, _ = learners.lmnn(s)
     return dense.cells(spark, l.T @ l)
 
@@ -649,6 +705,30 @@ def kmeanspp_seed(spark, sf):
     return kmeans.weighted_draw(assigned(spark, sf).select("id", (F.col("d") * F.col("d")).alias("w")), 3)
 
 
+def first_centres(s: DataFrame, k: int = 8) -> np.ndarray:
+    return np.array([r["x"] for r in s.where(F.col("id") < k).orderBy("id").collect()])
+
+
+def codebook_cells(spark, s: DataFrame, centres: np.ndarray) -> DataFrame:
+    return kmeans.codebook(s, "ALL", centres).select("word", F.posexplode("center").alias("i", "v")).select("word", "i", r6("v").alias("v"))
+
+
+_ROUNDS = O.rounds(5, 8)
+
+
+@query(f"SELECT k::INT AS word, i::INT AS i, round(c[i + 1], 6) + 0.0 AS v FROM (SELECT k, c, unnest(range(0, 64)) AS i FROM {_ROUNDS})", _ROUNDS)
+def kmeans_rounds(spark, sf):
+    s = V.samples(spark, sf)
+    return codebook_cells(spark, s, kmeans.fit(s, 8, 5, "farthest_point", centres=first_centres(s)))
+
+
+@query(f"SELECT k::INT AS word, i::INT AS i, round(c[i + 1], 6) + 0.0 AS v FROM (SELECT k, c, unnest(range(0, 64)) AS i FROM {_ROUNDS})", _ROUNDS)
+def kmeans_bounded_rounds(spark, sf):
+    """The same with bounds kept over the rounds."""
+    s = V.samples(spark, sf)
+    return codebook_cells(spark, s, kmeans.fit_bounds(s, 8, 5, "farthest_point", centres=first_centres(s)))
+
+
 @query()
 def kmeans_codebook(spark, sf):
     s = V.samples(spark, sf)
@@ -672,6 +752,14 @@ def pca_project(spark, sf):
     return s.select("id", pca.transform(s, F.col("x"), mean, rows, 8).alias("x"))
 
 
+@query(f"SELECT id_a, id_b, round({O.sqdist('xa', 'xb')}, 6) AS d FROM pos", "pos")
+def pca_keeps_distances(spark, sf):
+    """All components together turn the vectors and change no distance."""
+    s, mean, rows, _ = components_of(spark, sf)
+    turned = cut(s.withColumn("x", pca.transform(s, F.col("x"), mean, rows, 64)))
+    return pairs.positives(turned).select("id_a", "id_b", r6(vec.squared_distance(F.col("x_a"), F.col("x_b"))).alias("d"))
+
+
 @query("SELECT round(sum(var_pop * n), 6) AS total FROM (SELECT i, var_pop(v) AS var_pop, count(*) AS n FROM (SELECT unnest(x) AS v, unnest(range(0, 64)) AS i FROM samples) GROUP BY i)", "samples")
 def pca_eigenvalue_sum(spark, sf):
     _, _, _, values = components_of(spark, sf)
@@ -741,11 +829,12 @@ def hist_count(spark, sf):
     return knn.value_counts(V.samples(spark, sf), "person", spark.range(-1, 12).select(F.col("id").alias("bin")))
 
 
-@query("SELECT id_a AS a, id_b AS b, len(list_intersect(la, lb)) > 0 AS overlaps, len(list_intersect(la, lb))::INT AS shared FROM (SELECT *, [id_a % 5, 5 + id_a % 3] AS la, [id_b % 5, 5 + id_b % 3] AS lb FROM neg)", "neg")
+@query("SELECT id_a AS a, id_b AS b, len(list_intersect(la, lb)) > 0 AS overlaps, len(list_intersect(la, lb))::INT AS shared, round(2 / (1 + exp(-len(list_intersect(la, lb)))) - 1, 6) AS logistic FROM (SELECT *, [id_a % 5, 5 + id_a % 3] AS la, [id_b % 5, 5 + id_b % 3] AS lb FROM neg)", "neg")
 def bag_match(spark, sf):
     n = pairs.negatives(V.samples(spark, sf))
     bag = lambda c: F.array(F.col(c) % 5, 5 + F.col(c) % 3)
-    return knn.bag_match(n.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), bag("id_a").alias("la"), bag("id_b").alias("lb")))
+    x = knn.bag_match(n.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), bag("id_a").alias("la"), bag("id_b").alias("lb")))
+    return x.withColumn("logistic", r6("logistic"))
 
 
 @query("SELECT probe_id, gallery_id FROM scores WHERE score < -0.2", "scores")

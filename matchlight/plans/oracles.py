@@ -21,7 +21,7 @@ def sql(body: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    return ("WITH " + ",\n".join(f"{n} AS ({CTE[n][0]})" for n in order) + "\n" if order else "") + body
+    return ("WITH " + ("RECURSIVE " if any(f"FROM {n} " in CTE[n][0] for n in order) else "") + ",\n".join(f"{n} AS ({CTE[n][0]})" for n in order) + "\n" if order else "") + body
 
 
 def dot(a: str, b: str) -> str:
@@ -83,6 +83,30 @@ cte("centres", "SELECT k, list_transform(range(0, 64), lambda j: ((k * 5 + j * 3
 cte("assigned", f"SELECT id, x, k AS cluster, d FROM (SELECT id, x, k, sqrt({sqdist('x', 'c')}) AS d, row_number() OVER (PARTITION BY id ORDER BY {sqdist('x', 'c')}, k) AS r FROM samples, centres) WHERE r = 1", "samples", "centres")
 
 
+def inverse(name: str) -> None:
+    """name_rows: the rows of the inverse of the positive definite matrix name(i, j, v), column by column without exchanging rows."""
+    d = f"(SELECT count(DISTINCT i) FROM {name})"
+    cte(f"{name}_wide", f"SELECT i, list_concat(list(v ORDER BY j), list_transform(range(0, {d}), lambda k: (k = any_value(i))::DOUBLE)) AS r FROM {name} GROUP BY i".replace("any_value(i)", "i"), name)
+    step = "CASE WHEN a.i = a.k THEN list_transform(a.r, lambda v: v / a.r[a.k + 1]) ELSE list_transform(list_zip(a.r, b.r), lambda z: z[1] - z[2] * a.r[a.k + 1] / b.r[a.k + 1]) END"
+    cte(f"{name}_steps", f"SELECT 0::BIGINT AS k, i, r FROM {name}_wide UNION ALL SELECT a.k + 1, a.i, {step} FROM {name}_steps a JOIN {name}_steps b ON b.i = a.k WHERE a.k < {d}", f"{name}_wide")
+    cte(f"{name}_inverse", f"SELECT i::INT AS i, j::INT AS j, r[{d} + j + 1] AS v FROM (SELECT i, r, unnest(range(0, {d})) AS j FROM {name}_steps WHERE k = {d})", f"{name}_steps")
+
+
+for _side in ("pos", "neg"):
+    cte(f"{_side}_cov", f"SELECT i, j, avg((xa[i + 1] - xb[i + 1]) * (xa[j + 1] - xb[j + 1])) AS v FROM {_side}, (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 64)) AS j) GROUP BY i, j", _side)
+    inverse(f"{_side}_cov")
+
+
+def rounds(n: int, k: int) -> str:
+    """Name of the table k, c of k centres after n Lloyd rounds from the first k samples."""
+    cte("round_0", f"SELECT id AS k, x AS c FROM samples WHERE id < {k}", "samples")
+    for t in range(n):
+        near = f"SELECT x, k AS cluster FROM (SELECT x, k, row_number() OVER (PARTITION BY id ORDER BY {sqdist('x', 'c')}, k) AS r FROM samples, round_{t}) WHERE r = 1"
+        cells = f"SELECT cluster AS k, i, avg(v) AS v FROM (SELECT cluster, unnest(x) AS v, unnest(range(0, 64)) AS i FROM ({near})) GROUP BY cluster, i"
+        cte(f"round_{t + 1}", f"SELECT k, list(v ORDER BY i) AS c FROM ({cells}) GROUP BY k", f"round_{t}")
+    return f"round_{n}"
+
+
 def curve(hits: str, n: int | str) -> str:
     """rank, rate over the table expression hits(first_hit)."""
     return f"SELECT r AS rank, round((SELECT count(*) FROM {hits} WHERE first_hit <= r) / (SELECT count(*) FROM {hits}), 6) AS rate FROM (SELECT unnest(range(1, {n} + 1)) AS r)"

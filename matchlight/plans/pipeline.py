@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..metric import learners
 from ..metric.dense import factor
-from ..operators import bow, evaluate, features, kmeans, pairs, pca, score, strips, superpixel
+from ..operators import bow, evaluate, features, kmeans, knn, pairs, pca, score, strips, superpixel
 from ..scratch import cut
 
 
@@ -36,7 +36,8 @@ class Settings:
     word_level: bool = False
     segment: str = "slic"
     parts: bool = False
-    pooling: str = "mean"
+    pooling: str | Callable = "mean"
+    colours: DataFrame | None = None
     segmenters: dict[str, Callable] = field(default_factory=dict)
 
 
@@ -59,7 +60,7 @@ class BagOfWords:
         """Features of all foreground superpixels, and the superpixels."""
         sp = cut(self.segment(pixels))
         sp = sp.join(superpixel.foreground(sp), ["image_id", "sp"], "left_semi")
-        table = features.table(sp, self.settings.radii, self.settings.types)
+        table = features.table(sp, self.settings.radii, self.settings.types, self.settings.colours)
         return (table.unionByName(features.fused(table)) if self.settings.word_level else table), sp
 
     def train(self, pixels: DataFrame, metrics: dict | None = None) -> DataFrame:
@@ -192,6 +193,20 @@ def types_and_fusion(scores: DataFrame, max_rank: int) -> DataFrame:
     return out
 
 
+def large_margin_errors(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
+    """measure, error: the share of rows of another person that vote or energy give, before and under a large-margin metric fitted on train."""
+    l, _ = learners.lmnn(train, k)
+    moved = lambda x: cut(x.withColumn("x", vec.matvec(vec.matrix(l), F.col("x"))))
+    out = None
+    for name, a, b in (("euclid", train, test), ("metric", moved(train), moved(test))):
+        own, other = cut(knn.neighbours(a, a, k, skip_self=True)), cut(knn.neighbours(b, a, k))
+        for what, near in (("train", own), ("test", other)):
+            part = knn.error_rate(near, (k,)).select(F.lit(f"{name}_{what}").alias("measure"), "error")
+            out = part if out is None else out.unionByName(part)
+    wrong = (F.col("truth") != F.col("label")).cast("double")
+    return out.unionByName(knn.energy_classify(b, a, k).agg(F.lit("energy_test").alias("measure"), F.avg(wrong).alias("error")))
+
+
 def trials(samples: DataFrame, splits: DataFrame, learner: str, ranks: int) -> DataFrame:
     """rank, rate: each trial trains on what its split leaves and matches the split's rows under camera 0 with those under camera 1; averaged over trials."""
     out = None

@@ -80,6 +80,13 @@ def text_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(line != "").select(F.split(line, r"\s+").cast("array<double>").alias("x"))
 
 
+def colour_names(spark: SparkSession, path: str, name: str = "w2c") -> DataFrame:
+    """idx, p: the colour-name probabilities of a MAT file, an array of one row for each of the 32**3 colours."""
+    from . import mat5
+
+    return mat5.codebook(mat5.read(spark, path, name)).select(F.col("word").alias("idx"), F.col("center").alias("p"))
+
+
 def histogram_lines(df: DataFrame, h: str) -> DataFrame:
     """value: one line a histogram, joined by commas; written with df.write.text."""
     return df.select(F.array_join(F.col(h).cast("array<string>"), ",").alias("value"))

@@ -623,3 +623,73 @@ def test_the_array_sink_refuses_tables(spark, tmp_path):
         spark.dataSource.register(mat5.Mat5DataSource)
         cells.write.format("mat5").option("path", str(tmp_path / "x.mat")).option("maxCells", 20).mode("append").save()
     assert not (tmp_path / "x.mat").exists()
+
+
+@pytest.mark.parametrize("strategy", ["farthest_point", "largest_variance"])
+def test_kept_bounds_equal_plain_rounds(spark, strategy):
+    x = np.random.default_rng(8).normal(size=(400, 4))
+    s = points(spark, x).repartition(3)
+    for turns in (1, 4, -1):
+        assert np.allclose(kmeans.fit_bounds(s, 9, turns, strategy, centres=x[:9]), kmeans.fit(s, 9, turns, strategy, centres=x[:9]))
+    far = np.vstack([x[:3], np.full(4, 90.0)])  # one centre loses all rows
+    assert np.allclose(kmeans.fit_bounds(s, 4, -1, strategy, centres=far), kmeans.fit(s, 4, -1, strategy, centres=far))
+
+
+def test_bags_of_one_are_pairs_and_the_nearest_members_count(spark):
+    r = np.random.default_rng(3)
+    rows = [(bool(i % 2), r.normal(size=(1 + i % 3, 2)).tolist(), r.normal(size=(1 + i % 2, 2)).tolist()) for i in range(40)]
+    bags = spark.createDataFrame([*rows, (True, [], [[1.0, 2.0]])], "match boolean, bag_a array<array<double>>, bag_b array<array<double>>").repartition(3)
+    told = learners.mildml(bags, 2, np.eye(2), steps=5)[2]
+    want = 0.0
+    for match, a, b in rows:
+        z = min(float(((np.array(u) - np.array(v)) ** 2).sum()) for u in a for v in b) - 1
+        want += np.logaddexp(0, z if match else -z) / 20
+    assert abs(told[0] - want) < 1e-9 and told == sorted(told, reverse=True) and told[-1] < told[0]
+    pairs_ = spark.createDataFrame([(m, a[0], b[0]) for m, a, b in rows], "match boolean, x_a array<double>, x_b array<double>")
+    ones = pairs_.select("match", F.array("x_a").alias("bag_a"), F.array("x_b").alias("bag_b"))
+    assert np.allclose(learners.ldml(pairs_, 2, np.eye(2), steps=3)[0], learners.mildml(ones, 2, np.eye(2), steps=3)[0])
+
+
+def test_line_search_on_a_curved_valley():
+    def f(v):
+        a, b = v
+        return (1 - a) ** 2 + 100 * (b - a * a) ** 2, np.array([-2 * (1 - a) - 400 * a * (b - a * a), 200 * (b - a * a)])
+
+    x, told = learners.conjugate_gradient(f, np.array([-1.2, 1.0]), 400)
+    assert x == pytest.approx([1, 1], abs=1e-2) and all(b <= a for a, b in zip(told, told[1:]))
+
+
+def test_vectors_longer_than_rows_are_learned_in_their_span(spark):
+    r = np.random.default_rng(5)
+    low = r.normal(size=(24, 4)) + np.repeat(r.normal(size=(6, 4)) * 3, 4, axis=0)
+    turn = np.linalg.qr(r.normal(size=(60, 4)))[0]
+    table = lambda x: spark.createDataFrame([(i, i // 4, i % 2, v.tolist()) for i, v in enumerate(x)], "id long, person int, cam int, x array<double>")
+    w, m = learners.xqda(table(low @ turn.T))
+    assert w.shape[0] == 60 and len(m) == w.shape[1]
+    v, n = learners.xqda(table(low))
+    gap = lambda a, b, x, w, m: (x[a] - x[b]) @ w @ m @ w.T @ (x[a] - x[b])
+    for a, b in ((0, 5), (3, 20), (7, 8)):
+        assert gap(a, b, low @ turn.T, w, m) == pytest.approx(gap(a, b, low, v, n), rel=1e-6)
+
+
+def test_colour_names_from_a_file(spark, tmp_path):
+    w2c = np.random.default_rng(1).random((32**3, 11))
+    (tmp_path / "w2c.mat").write_bytes(mat5.dumps({"w2c": w2c}))
+    table = images.colour_names(spark, str(tmp_path / "w2c.mat"))
+    row = table.where("idx = 4321").first()
+    assert table.count() == 32**3 and row["p"] == pytest.approx(w2c[4321])
+    sp = spark.createDataFrame([(1, 0, 0, 0, 8, 16, 24)], "image_id int, sp int, row int, col int, red int, green int, blue int")
+    got = features.table(sp, types=("CN",), colours=table).first()["feat"]
+    assert got == pytest.approx(np.sqrt(w2c[1 + 32 * 2 + 1024 * 3]))
+
+
+def test_own_feature_types_and_pooling(spark, monkeypatch):
+    monkeypatch.setattr(features, "REGISTRY", dict(features.REGISTRY))
+    monkeypatch.setattr(features, "SIZES", dict(features.SIZES))
+    features.register("MEAN_RED", 2, lambda x: x.groupBy("image_id", "sp").agg(F.avg("red").alias("v")).select("image_id", "sp", F.lit(1).alias("bin"), "v"))
+    sp = spark.createDataFrame([(1, 0, 10), (1, 0, 20)], "image_id int, sp int, red int")
+    assert features.table(sp, types=("MEAN_RED",)).first()["feat"] == [0.0, 15.0]
+    v = spark.createDataFrame([(1, "HOG", 0, 3, 0.0, 1)], "image_id int, type string, sp int, word int, distance double, rank int")
+    bands = spark.createDataFrame([(1, 0, 0, "low"), (1, 0, 0, "mid")], "image_id int, sp int, strip int, band string")
+    got = bow.strip_histograms(v, bands, pooling=lambda *c: sum(c[1:], c[0]) * 5).first()["h"]
+    assert got == pytest.approx(10.0)
