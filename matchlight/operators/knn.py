@@ -97,7 +97,7 @@ def energy_classify(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
         for j, (labels, margins) in enumerate(zip(p["labels"], p["margins"])):
             h = np.maximum(np.array(margins)[None, :] - scores[:, j][:, None], 0.0) * (g["person"][:, None] != np.array(labels)[None, :])
             out["id"] += [p["id"][j]] * len(labels)
-            out["label"] += labels
+            out["label"] += list(labels)
             out["push"] += h.sum(axis=0).tolist()
         return out
 

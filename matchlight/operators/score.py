@@ -58,14 +58,52 @@ def fused(pieces: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return kernel
 
 
+def vectors(t: pa.Table) -> np.ndarray:
+    cells = pa.chunked_array(t.column("x")).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return cells.astype(float).reshape(t.num_rows, -1 if t.num_rows else 0)
+
+
+def plain(t: pa.Table) -> dict:
+    """The other columns: an array each, lists of numbers as a list of arrays."""
+    out = {}
+    for c in t.column_names:
+        kind, column = t.schema.field(c).type, t.column(c)
+        if c == "x":
+            continue
+        if not pa.types.is_nested(kind):
+            out[c] = np.array(column.to_pylist())
+        elif pa.types.is_list(kind) and pa.types.is_primitive(kind.value_type) and not column.null_count and t.num_rows:
+            lists = pa.chunked_array(column).combine_chunks()
+            sizes = np.diff(lists.offsets.to_numpy())
+            out[c] = np.split(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)[:-1])
+        else:
+            out[c] = column.to_pylist()
+    return out
+
+
+def split(t: pa.Table, keys: tuple[str, ...]) -> dict:
+    if not keys:
+        return {(): t}
+    at: dict = {}
+    for i, key in enumerate(zip(*(t.column(c).to_pylist() for c in keys))):
+        at.setdefault(key, []).append(i)
+    return {key: t.take(pa.array(i)) for key, i in at.items()}
+
+
+def prepared(t: pa.Table, keys: tuple[str, ...]) -> dict:
+    return {key: (part, vectors(part), plain(part)) for key, part in split(t, keys).items()}
+
+
 class Probes:
-    """The probes' columns and vectors; with up to BROADCAST_BLOCKS blocks of them they are read once and go along with the tasks."""
+    """The probes' columns and vectors; with up to BROADCAST_BLOCKS blocks of them they are read and broadcast once, for all comparisons."""
 
     def __init__(self, probes: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = ()):
         self.columns, self.keys = columns, keys
         self.rows = probes.select(*dict.fromkeys((*keys, *columns)), F.col("x"))
         self.n = self.rows.count()
-        self.table = self.rows.toArrow() if self.n <= BROADCAST_BLOCKS * BLOCK else None
+        self.held = None
+        if self.n <= BROADCAST_BLOCKS * BLOCK:
+            self.held = probes.sparkSession.sparkContext.broadcast(prepared(self.rows.toArrow(), keys))
 
 
 def nearest(k: int, apart: Callable[[dict, dict], np.ndarray] | None = None):
@@ -94,27 +132,8 @@ def compare(probes: Probes, gallery: DataFrame, kernel, columns: tuple[str, ...]
     schema = StructType.fromDDL(made) if made else StructType([StructField(f"probe_{c}", probes.rows.schema[c].dataType) for c in probes.columns] + [StructField(f"gallery_{c}", g.schema[c].dataType) for c in columns] + [StructField("score", DoubleType())])
     target = to_arrow_schema(schema)
 
-    def vectors(t: pa.Table) -> np.ndarray:
-        cells = pa.chunked_array(t.column("x")).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return cells.astype(float).reshape(t.num_rows, -1 if t.num_rows else 0)
-
-    def plain(t: pa.Table) -> dict:
-        values = {c: t.column(c).to_pylist() for c in t.column_names if c != "x"}
-        return {c: v if pa.types.is_nested(t.schema.field(c).type) else np.array(v) for c, v in values.items()}
-
-    def split(t: pa.Table) -> dict:
-        if not keys:
-            return {(): t}
-        at: dict = {}
-        for i, key in enumerate(zip(*(t.column(c).to_pylist() for c in keys))):
-            at.setdefault(key, []).append(i)
-        return {key: t.take(pa.array(i)) for key, i in at.items()}
-
-    def prepared(t: pa.Table) -> dict:
-        return {key: (part, vectors(part), plain(part)) for key, part in split(t).items()}
-
     def meet(left: dict, right: pa.Table):
-        for key, part in split(right).items():
+        for key, part in split(right, keys).items():
             if key not in left:
                 continue
             pt, px, pc = left[key]
@@ -131,11 +150,11 @@ def compare(probes: Probes, gallery: DataFrame, kernel, columns: tuple[str, ...]
                 cells = [*(a.column(c) for c in own), *(b.column(c) for c in columns), pa.array(scores[i, j])]
                 yield pa.table(cells, names=target.names).cast(target)
 
-    if probes.table is not None:
-        held = probes.table
+    if probes.held is not None:
+        held = probes.held
 
         def run(batches):
-            left = prepared(held)
+            left = held.value
             for b in batches:
                 if b.num_rows:
                     for t in meet(left, pa.Table.from_batches([b])):
@@ -152,7 +171,7 @@ def compare(probes: Probes, gallery: DataFrame, kernel, columns: tuple[str, ...]
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.drop_columns(["__block", "__part"]).rename_columns(names)
-        found = list(meet(prepared(left.drop_columns(["__block", "__part"])), right)) if left.num_rows and right.num_rows else []
+        found = list(meet(prepared(left.drop_columns(["__block", "__part"]), keys), right)) if left.num_rows and right.num_rows else []
         return pa.concat_tables(found) if found else target.empty_table()
 
     return blocks.groupBy("__block", "__part").cogroup(parts.groupBy("__block", "__part")).applyInArrow(both, schema)
