@@ -286,26 +286,31 @@ def lmnn(samples: DataFrame, k: int = 3, pull: float = 0.5, rate: float = 1e-3,
                 total += b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).sum(axis=0) if b.num_rows else 0
             yield pa.RecordBatch.from_pydict({"v": [total.tolist()]})
 
-        parts = score.compare(held, x, under, make=make, made="v array<double>").mapInArrow(add, "v array<double>").toArrow()  # d by d cells a task
+        parts = score.compare(held, x, under, make=make, made="v array<double>", fold=add).toArrow()  # d by d cells a task
         out = np.array(parts.column("v").to_pylist()).sum(axis=0)
         push = out[1:].reshape(d, d)
         return (1 - pull) * float(np.trace(l @ pulled @ l.T)) + pull * out[0], 2 * l @ ((1 - pull) * pulled + pull * push)
 
-    best = np.eye(d)
-    told, slope = [], None
-    trial = best
+    at = best = trial = np.eye(d)
+    told, recent, slope = [], [], None
     for _ in range(steps):
         loss, grad = whole(trial)
-        if told and loss > told[-1]:
-            rate /= 2
+        if recent and loss > max(recent[-4:]):  # a step may climb, but not over the last four
+            rate /= 4
         else:
-            fell = told[-1] - loss if told else np.inf
-            best, slope = trial, grad
-            told.append(loss)
+            fell = abs(recent[-1] - loss) if recent else np.inf
+            if recent:  # the next step is as long as this one's change of slope says
+                step, turn = trial - at, grad - slope
+                bend = (step * turn).sum()
+                rate = (step * step).sum() / bend if bend > 0 else 2 * rate
+            at, slope = trial, grad
+            recent.append(loss)
+            if not told or loss < told[-1]:
+                best = trial
+                told.append(loss)
             if fell < tolerance * abs(loss):
                 break
-            rate *= 1.2
-        trial = best - rate * slope
+        trial = at - rate * slope
     return best, told
 
 

@@ -121,9 +121,11 @@ def nearest(k: int, apart: Callable[[dict, dict], np.ndarray] | None = None):
     return pick
 
 
-def compare(probes: Probes, gallery: DataFrame, kernel, columns: tuple[str, ...] = ("id", "person"), pick=None, make=None, made: str | None = None) -> DataFrame:
+def compare(probes: Probes, gallery: DataFrame, kernel, columns: tuple[str, ...] = ("id", "person"), pick=None, make=None, made: str | None = None, fold=None) -> DataFrame:
     """probe and gallery columns with score for each pair that pick takes (all without), or what make gives of a block's scores.
 
+    fold takes a task's batches of what make gave and gives fewer, sums for instance.
+
     Of probes with keys only gallery rows of equal keys count. More probes than go along with
     the tasks are dealt in blocks, the gallery in parts, and each pair of both is one group.
     """
@@ -155,10 +157,8 @@ def compare(probes: Probes, gallery: DataFrame, kernel, columns: tuple[str, ...]
 
         def run(batches):
             left = held.value
-            for b in batches:
-                if b.num_rows:
-                    for t in meet(left, pa.Table.from_batches([b])):
-                        yield from t.combine_chunks().to_batches()
+            found = (x for b in batches if b.num_rows for t in meet(left, pa.Table.from_batches([b])) for x in t.combine_chunks().to_batches())
+            yield from found if fold is None else fold(found)
 
         return g.mapInArrow(run, schema)
     n_blocks, n_parts = -(-n // BLOCK), max(1, -(-gallery.count() // PART))
@@ -174,7 +174,8 @@ def compare(probes: Probes, gallery: DataFrame, kernel, columns: tuple[str, ...]
         found = list(meet(prepared(left.drop_columns(["__block", "__part"]), keys), right)) if left.num_rows and right.num_rows else []
         return pa.concat_tables(found) if found else target.empty_table()
 
-    return blocks.groupBy("__block", "__part").cogroup(parts.groupBy("__block", "__part")).applyInArrow(both, schema)
+    found = blocks.groupBy("__block", "__part").cogroup(parts.groupBy("__block", "__part")).applyInArrow(both, schema)
+    return found if fold is None else found.mapInArrow(fold, schema)
 
 
 def score(probes: DataFrame, gallery: DataFrame, measure=vec.dot, columns=("id", "person", "cam"), keys: tuple[str, ...] = (), pick=None) -> DataFrame:
