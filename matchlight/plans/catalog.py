@@ -988,9 +988,14 @@ def knn_under_factor(spark, sf):
     return knn.vote(cut(knn.neighbours(V.probes(moved), V.gallery(moved), 5)), 5)
 
 
-def _map(weight: str) -> str:
-    """Mean average precision over distances of weighted cells, from SQL of the other retrieval queries."""
-    scores = f"SELECT p.id AS probe_id, p.person AS probe_person, p.cam AS probe_cam, g.id AS gallery_id, g.person AS gallery_person, g.cam AS gallery_cam, -sqrt(list_sum(list_transform(range(1, 65), lambda j: {weight} * (p.x[j] - g.x[j]) * (p.x[j] - g.x[j])))) AS score FROM samples p, samples g WHERE p.is_query AND NOT g.is_query"
+def _weighted(weight: str) -> str:
+    """Mean average precision over distances of weighted cells."""
+    return _map(f"-sqrt(list_sum(list_transform(range(1, 65), lambda j: {weight} * (p.x[j] - g.x[j]) * (p.x[j] - g.x[j]))))")
+
+
+def _map(score: str, table: str = "samples") -> str:
+    """Mean average precision over a score of p and g, from SQL of the other retrieval queries."""
+    scores = f"SELECT p.id AS probe_id, p.person AS probe_person, p.cam AS probe_cam, g.id AS gallery_id, g.person AS gallery_person, g.cam AS gallery_cam, {score} AS score FROM {table} p, {table} g WHERE p.is_query AND NOT g.is_query"
     ap = O.CTE["ap"][0].replace("FROM ranked", f"FROM ({O.CTE['ranked'][0]})").replace("FROM judged", f"FROM ({O.CTE['judged'][0]})").replace("FROM scores", f"FROM ({scores})")
     return f"SELECT round(avg(ap), 6) AS map, count(ap) AS n_queries, round(avg(CASE WHEN first_hit = 1 THEN 1.0 WHEN first_hit IS NOT NULL THEN 0.0 END), 6) AS rank1 FROM ({ap})"
 
@@ -1000,13 +1005,13 @@ def camera_metrics(spark) -> DataFrame:
     return spark.createDataFrame(rows, "test_cam int, query_cam int, m array<array<double>>")
 
 
-@query(_map("(1.0 + ((j - 1 + 2 * p.cam + g.cam) % 5) / 4.0)"), "samples")
+@query(_weighted("(1.0 + ((j - 1 + 2 * p.cam + g.cam) % 5) / 4.0)"), "samples")
 def map_by_camera_pair(spark, sf):
     x = pipeline.map_by_camera_pair(V.samples(spark, sf), camera_metrics(spark))
     return x.select(r6("map").alias("map"), "n_queries", r6("rank1").alias("rank1"))
 
 
-@query(_map("(1.0 + ((j - 1) % 5 + j % 5 + (j + 1) % 5 + (j + 2) % 5) / 16.0)"), "samples")
+@query(_weighted("(1.0 + ((j - 1) % 5 + j % 5 + (j + 1) % 5 + (j + 2) % 5) / 16.0)"), "samples")
 def map_under_mean_metric(spark, sf):
     x = pipeline.map_by_camera_pair(V.samples(spark, sf), camera_metrics(spark), mean=True)
     return x.select(r6("map").alias("map"), "n_queries", r6("rank1").alias("rank1"))
@@ -1070,10 +1075,39 @@ def metric_evaluation(spark, sf):
     return pipeline.evaluate_metric(samples, m)[0]
 
 
+O.cte("turned", "SELECT s.*, y FROM samples s JOIN (SELECT id, list(list_dot_product(r, x) ORDER BY i) AS y FROM samples, (SELECT i, list(v ORDER BY j) AS r FROM pos_cov_inverse GROUP BY i) GROUP BY id) USING (id)", "samples", "pos_cov_inverse")
+
+
+@query(_map("-sqrt(greatest(list_dot_product(p.x, p.y) + list_dot_product(g.x, g.y) - 2 * list_dot_product(p.y, g.x), 0.0))", "turned"), "turned")
+def metric_evaluation_mahal(spark, sf):
+    """Pairs, the metric of their differences and its mean average precision."""
+    x = pipeline.evaluate_metric(*pipeline.train_metric(V.samples(spark, sf), "mahal"))[0]
+    return x.select(r6("map").alias("map"), "n_queries", r6("rank1").alias("rank1"))
+
+
+def folded_pairs(spark, sf) -> DataFrame:
+    return labelled_pairs(V.samples(spark, sf)).withColumns({"fold": (F.col("id_a") % 2).cast("int"), "key": F.col("id_a") * 100_000 + F.col("id_b")})
+
+
 @query()
 def learner_cross_validation(spark, sf):
-    p = labelled_pairs(V.samples(spark, sf)).withColumns({"fold": (F.col("id_a") % 2).cast("int"), "key": F.col("id_a") * 100_000 + F.col("id_b")})
-    return evaluate.fold_errors(pipeline.cross_validate(p, learners.kissme, [0, 1]))
+    return evaluate.fold_errors(pipeline.cross_validate(folded_pairs(spark, sf), learners.kissme, [0, 1]))
+
+
+O.cte("labelled", "SELECT id_a, id_b, true AS match, xa, xb FROM pos UNION ALL SELECT id_a, id_b, false, xa, xb FROM neg", "pos", "neg")
+for _f in (0, 1):
+    O.cte(f"fold_{_f}", f"SELECT i, j, avg((xa[i + 1] - xb[i + 1]) * (xa[j + 1] - xb[j + 1])) AS v FROM pos, (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 64)) AS j) WHERE id_a % 2 <> {_f} GROUP BY i, j", "pos")
+    O.inverse(f"fold_{_f}")
+_ROWS = " UNION ALL ".join(f"SELECT {f} AS fold, i, list(v ORDER BY j) AS r FROM fold_{f}_inverse GROUP BY i" for f in (0, 1))
+O.cte("fold_metrics", f"SELECT fold, list(r ORDER BY i) AS m FROM ({_ROWS}) GROUP BY fold", "fold_0_inverse", "fold_1_inverse")
+O.cte("fold_scored", "SELECT fold, key, match, sqrt(greatest(list_dot_product(d, list_transform(m, lambda r: list_dot_product(r, d))), 0.0)) AS distance FROM (SELECT id_a % 2 AS fold, id_a * 100000 + id_b AS key, match, list_transform(list_zip(xa, xb), lambda z: z[1] - z[2]) AS d FROM labelled) JOIN fold_metrics USING (fold)", "labelled", "fold_metrics")
+
+
+@query(f"SELECT fold::INT AS fold, round(eer, 6) AS eer FROM ({O.CTE['folds'][0].replace('key % 5', 'fold').replace('fold AS fold', 'fold').replace('FROM scored', 'FROM fold_scored')})", "fold_scored")
+def mahal_cross_validation(spark, sf):
+    """Each fold's pairs under the metric of the other's."""
+    x = evaluate.fold_errors(pipeline.cross_validate(folded_pairs(spark, sf), lambda pos, neg: learners.mahalanobis(pos), [0, 1]))
+    return x.select("fold", r6("eer").alias("eer"))
 
 
 @query()
