@@ -70,8 +70,30 @@ def along_cols():
     return Window.partitionBy("image_id", "row").orderBy("col")
 
 
+#: Tangent, as two doubles, of the angle with the x axis at which nine times the correctly rounded phase over a turn
+#: passes 3 (near 120 degrees) and 6 (near 240).
+CUT_TANGENT = (1.7320508075688774, -9.118075616770985e-17)
+
+
+def beyond_cut(iy: Column, ix: Column) -> Column:
+    """|iy| - |ix| CUT_TANGENT, with the product in two doubles."""
+
+    def halves(x):
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        return high, x - high
+
+    a, b, (t, rest) = F.abs(iy), F.abs(ix), CUT_TANGENT
+    (b1, b2), (t1, t2) = halves(b), halves(t)
+    error = ((b1 * t1 - b * t) + b1 * t2 + b2 * t1) + b2 * t2
+    return (a - b * t) - error - b * rest
+
+
 def gradients(pixels: DataFrame) -> DataFrame:
-    """image_id, row, col, magnitude and bin (1 to 9) of the gradient of sqrt(grey); one-sided at the borders."""
+    """image_id, row, col, magnitude and bin (1 to 9) of the gradient of sqrt(grey); one-sided at the borders.
+
+    Roots of grey values meet 120 and 240 degrees, where bins end, and there libraries' arc tangents
+    differ in the last bit; such rows get the bin that the correctly rounded one gives, by CUT_TANGENT.
+    """
     x = with_grey(pixels).withColumn("v", F.sqrt(F.col("gray").cast("double")))
 
     def slope(window) -> Column:
@@ -81,8 +103,11 @@ def gradients(pixels: DataFrame) -> DataFrame:
     x = x.withColumns({"iy": slope(along_cols()), "ix": slope(down_rows())})
     phase = F.atan2("iy", "ix")
     turns = 9 * F.when(phase < 0, phase + 2 * 3.141592653589793).otherwise(phase) / (2 * 3.141592653589793)
+    past = beyond_cut(F.col("iy"), F.col("ix"))
+    near = lambda k: F.abs(turns - k) < 1e-9
     grid_bin = F.greatest(F.lit(1), F.least(F.lit(9), F.ceil(turns)))
-    return x.withColumns({"magnitude": F.hypot("ix", "iy"), "bin": grid_bin.cast("int")})
+    grid_bin = F.when(near(3), F.when(past >= 0, 3).otherwise(4)).when(near(6), F.when(past <= 0, 6).otherwise(7)).otherwise(grid_bin)
+    return x.withColumns({"magnitude": F.sqrt(F.col("ix") * F.col("ix") + F.col("iy") * F.col("iy")), "bin": grid_bin.cast("int")})
 
 
 def siltp(pixels: DataFrame, radius: int, tolerance: float = 0.3) -> DataFrame:

@@ -139,6 +139,35 @@ def test_itml_meets_its_constraints(spark):
     assert m == pytest.approx(m.T) and np.linalg.eigvalsh(m).min() > 0 and m[1, 1] > m[0, 0]
 
 
+def test_gradient_bins_at_cuts_agree_with_sql(spark):
+    """Grey values a, b, c, d whose roots' gradient points at 120 or 240 degrees, where the last bit decides."""
+    import duckdb
+    import pandas as pd
+
+    from matchlight.plans import oracles as O
+
+    root = np.sqrt(np.arange(256.0))
+    slopes = {}
+    for a, b in itertools.product(range(256), repeat=2):
+        slopes.setdefault(root[a] - root[b], (a, b))
+    values = np.array(sorted(slopes))
+    rows = []
+    for iy in values[values != 0]:
+        ix = -abs(iy) / 3**0.5
+        for v in values[np.searchsorted(values, ix - 1e-13 * max(1, -ix)) : np.searchsorted(values, ix + 1e-13 * max(1, -ix))]:
+            (right, left), (down, up), image = slopes[iy], slopes[v], len(rows) // 9
+            rows += [(image, r, c, g, 0) for r, line in enumerate(((0, up, 0), (left, 0, right), (0, down, 0))) for c, g in enumerate(line)]
+    assert len(rows) > 60_000
+    x = pd.DataFrame(rows, columns=["image_id", "row", "col", "gray", "sp"]).astype({"row": "int32", "col": "int32"})
+    con = duckdb.connect()
+    con.register("grey", x)
+    want = con.sql(f"WITH slopes AS ({O.CTE['slopes'][0]}), grads AS ({O.CTE['grads'][0]}) SELECT image_id, row, col, bin, magnitude FROM grads ORDER BY ALL").df()
+    got = pixels.gradients(spark.createDataFrame(x.assign(red=x.gray, green=x.gray, blue=x.gray)))
+    assert got.where("gray <> red").count() == 0
+    got = got.select("image_id", "row", "col", "bin", "magnitude").toPandas().sort_values(["image_id", "row", "col"]).reset_index(drop=True)
+    assert (got.bin == want.bin).all() and (got.magnitude == want.magnitude).all()
+
+
 def test_conjugate_gradient():
     a = np.diag([1.0, 10.0, 100.0])
     x, told = learners.conjugate_gradient(lambda v: (0.5 * v @ a @ v - v.sum(), a @ v - 1), np.zeros(3), 200)
