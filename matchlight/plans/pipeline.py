@@ -117,8 +117,7 @@ def cross_validate(pairs_: DataFrame, learner: Callable, folds: list[int]) -> Da
     out = None
     for f in folds:
         pos, neg = learners.pair_covariances(pairs_.where(F.col("fold") != f))
-        m = vec.matrix(learner(pos, neg))
-        part = pairs_.where(F.col("fold") == f).select("fold", "key", vec.mahalanobis(F.col("x_a"), F.col("x_b"), m).alias("distance"), "match")
+        part = score.pair_distances(pairs_.where(F.col("fold") == f), learner(pos, neg), ("fold", "key", "match")).select("fold", "key", "distance", "match")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -168,6 +168,16 @@ def test_gradient_bins_at_cuts_agree_with_sql(spark):
     assert (got.bin == want.bin).all() and (got.magnitude == want.magnitude).all()
 
 
+def test_pair_distances_equal_the_expression(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, i % 2 == 0, [float(v) for v in r.normal(size=3)], [float(v) for v in r.normal(size=3)]) for i in range(40)]
+    p = spark.createDataFrame(rows, "key long, match boolean, x_a array<double>, x_b array<double>")
+    m = r.normal(size=(3, 3))
+    want = {v["key"]: v["d"] for v in p.select("key", vec.mahalanobis(F.col("x_a"), F.col("x_b"), vec.matrix(m)).alias("d")).collect()}
+    got = {v["key"]: v["distance"] for v in score.pair_distances(p, m, ("key", "match")).collect()}
+    assert got == pytest.approx(want)
+
+
 @pytest.mark.parametrize("blocks", [8, 0])
 def test_scored_positives_are_the_positives(spark, monkeypatch, blocks):
     monkeypatch.setattr(score, "BROADCAST_BLOCKS", blocks)
