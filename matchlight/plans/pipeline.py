@@ -100,8 +100,7 @@ def train_metric(samples: DataFrame, learner: str = "kissme", draws: int = 5, di
     if dims:
         mean, rows, _ = pca.fit(samples, F.col("x"))
         samples = cut(samples.withColumn("x", pca.transform(samples, F.col("x"), mean, rows, dims)))
-    both = pairs.positives(samples).select("x_a", "x_b", F.lit(True).alias("match")).unionByName(pairs.negatives(samples, draws).select("x_a", "x_b", F.lit(False).alias("match")))
-    pos, neg = learners.pair_covariances(both)
+    pos, neg = learners.sample_covariances(samples, draws)
     return samples, covariance_learner(learner, pos, neg)
 
 

@@ -168,6 +168,27 @@ def test_gradient_bins_at_cuts_agree_with_sql(spark):
     assert (got.bin == want.bin).all() and (got.magnitude == want.magnitude).all()
 
 
+def test_label_pair_mean_makes_no_pairs(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, i % 5 if i % 11 else None, i % 3, [float(v) for v in 1e6 + r.normal(size=4)]) for i in range(90)]
+    s = spark.createDataFrame(rows, "id long, person int, cam int, x array<double>")
+    x = np.array([v[3] for v in rows])
+    d = np.array([x[i] - x[j] for i, j in itertools.combinations(range(90), 2) if rows[i][1] is not None and rows[i][1] == rows[j][1] and rows[i][2] != rows[j][2]])
+    assert cov.label_pair_mean(s) == pytest.approx(d.T @ d / len(d), rel=1e-7, abs=1e-7)
+    assert cov.label_pair_mean(s.where("cam = 0")).size == cov.label_pair_mean(s.where("false")).size == 0
+    pos, neg = learners.sample_covariances(s, 3)
+    assert pos.shape == neg.shape == (4, 4)
+
+
+def test_covariance_learners_make_no_positive_pairs(spark, monkeypatch):
+    s, _ = labelled(spark)
+    both = pairs.positives(s).select("x_a", "x_b", F.lit(True).alias("match")).unionByName(pairs.negatives(s).select("x_a", "x_b", F.lit(False).alias("match")))
+    want = learners.mahalanobis(learners.pair_covariances(both)[0])
+    monkeypatch.setattr(pairs, "positives", lambda *_: pytest.fail("pairs were made"))
+    assert protocol.mahalanobis().fit_labels(s).m == pytest.approx(want)
+    assert pipeline.train_metric(s, "mahal")[1] == pytest.approx(want)
+
+
 def test_pair_distances_equal_the_expression(spark):
     r = np.random.default_rng(4)
     rows = [(i, i % 2 == 0, [float(v) for v in r.normal(size=3)], [float(v) for v in r.normal(size=3)]) for i in range(40)]
