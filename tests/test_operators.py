@@ -910,3 +910,31 @@ def test_draws_are_sent_as_gaps(spark, monkeypatch):
     first, _ = draws.chosen(s, h, spark.sparkContext.broadcast(h), pairs.negatives_there(s))
     r = first.select("n", *[c for t, c in (("draws", "draws"), ("codes", "codes")) if c in first.columns]).collect()
     assert sum(len(v) for x in r for v in x[1:]) <= 3 * sum(x["n"] for x in r)
+
+
+def test_many_probes_go_along_and_keep_their_nearest(spark, monkeypatch):
+    """Vectors with ties; the exact scores and ids are those of a sort of all pairs, and no side is shuffled to the other."""
+    s = two_classes(spark, 200)
+    rows = s.collect()
+    want = []
+    for a in rows:
+        near = sorted((sum((u - v) ** 2 for u, v in zip(a["x"], b["x"])), b["id"]) for b in rows if b["person"] == a["person"] and b["id"] != a["id"])[:3]
+        want += [(a["id"], i, d, k + 1) for k, (d, i) in enumerate(near)]
+    monkeypatch.setattr(score, "BROADCAST_BLOCKS", 0)
+    monkeypatch.setattr(score, "CHUNK", 64)
+    monkeypatch.setattr(score, "CELLS", 64 * 64 * 16)
+    assert score.Probes(s, ("id", "person")).held is not None
+    assert sorted(map(tuple, knn.target_neighbours(s, 3).collect())) == sorted(want)
+    assert knn.neighbours(s, s, 4).count() == 800
+
+
+def test_lmnn_of_repeated_ids_is_that_of_target_ids(spark):
+    from matchlight.operators import held as along
+
+    s = two_classes(spark, 60)
+    plain = learners.lmnn(s, 2, steps=3)[1]
+    keep, along.gathered = along.gathered, lambda *_: None
+    try:
+        assert np.allclose(learners.lmnn(s, 2, steps=3)[1], plain)
+    finally:
+        along.gathered = keep
