@@ -106,9 +106,9 @@ def train_metric(samples: DataFrame, learner: str = "kissme", draws: int = 5, di
 
 def evaluate_metric(samples: DataFrame, m, max_rank: int = 20) -> tuple[DataFrame, DataFrame]:
     """Mean average precision and match curve of distances under M: queries against all other rows."""
-    moved = samples.withColumn("x", vec.matvec(vec.matrix(factor(m)), F.col("x")))
-    s = cut(score.score(moved.where("is_query"), moved.where("not is_query"), vec.euclidean))
-    return evaluate.mean_average_precision(s, "worst_first"), evaluate.market_cmc(s, max_rank, "worst_first")
+    moved = cut(samples.withColumn("x", vec.matvec(vec.matrix(factor(m)), F.col("x"))))
+    ap = cut(evaluate.precision(moved.where("is_query"), moved.where("not is_query"), vec.euclidean, "worst_first"))
+    return evaluate.mean_precision(ap), evaluate.precision_curve(ap, max_rank)
 
 
 def cross_validate(pairs_: DataFrame, learner: Callable, folds: list[int]) -> DataFrame:

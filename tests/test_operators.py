@@ -963,3 +963,20 @@ def test_folds_of_repeated_ids_and_small_classes_go_by_pairs(spark):
     s, rows = labelled(spark)
     assert folds.Folded.of(s.unionByName(s.limit(1)), learners.kissme, 2) is None
     assert folds.Folded.of(s.withColumn("person", F.col("id").cast("int")), learners.kissme, 2) is None
+
+
+@pytest.mark.parametrize("order", ["best_first", "worst_first"])
+def test_precision_without_stored_scores(spark, monkeypatch, order):
+    monkeypatch.setattr(evaluate, "ROWS", 7)
+    _, rows = labelled(spark)
+    rows = [(i, -1 if i % 11 == 3 else p, c, i % 5 == 0, [float(round(v)) for v in x]) for i, p, c, _, x in rows]  # ties, junk
+    rows += [(200, 9, 0, True, rows[0][4]), (201, 8, 0, True, rows[1][4]), (202, 8, 0, False, rows[1][4])]
+    s = spark.createDataFrame(rows, "id long, person int, cam int, is_query boolean, x array<double>")
+    p, g = s.where("is_query"), s.where("not is_query")
+    for a, b in ((p, g), (p, g.where("person = -1")), (p.limit(0), g), (p.unionByName(p.limit(1)).where("id > 0"), g), (p, g.withColumn("cam", F.when(F.col("id") > 9, F.col("cam"))))):
+        want = {r["probe_id"]: r for r in evaluate.average_precision(score.score(a, b, vec.euclidean), order).collect()}
+        got = {r["probe_id"]: r for r in evaluate.precision(a, b, vec.euclidean, order).collect()}
+        assert want.keys() == got.keys()
+        assert all((want[k]["first_hit"], want[k]["n_good"]) == (got[k]["first_hit"], got[k]["n_good"]) and want[k]["ap"] == pytest.approx(got[k]["ap"]) for k in want)
+    plan = evaluate.precision(p, g, vec.euclidean, order)._jdf.queryExecution().toString()
+    assert "Window" not in plan
